@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality_mcd, suffix_dedup, toxicity
+from . import embed_dedup, licenses, packing, partenum, quality_mcd, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -29,13 +37,26 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op6_license_scan, op7_quality_rules, op8_best_fit_packing, op10_toxicity)
+    for f in (
+        op1_suffix_dedup,
+        op4_embedding_near_dedup,
+        op5_hypergeometric_shards,
+        op6_license_scan,
+        op7_quality_rules,
+        op8_best_fit_packing,
+        op9_ngram_jaccard,
+        op10_toxicity,
+    )
 }
 
 ORACLE: dict[str, str] = {}
