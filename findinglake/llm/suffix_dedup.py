@@ -92,7 +92,7 @@ class _Chunk:
         key = pdf["id"].to_numpy().astype(np.int64)
         order = np.argsort(key, kind="stable")
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"].to_numpy()[order]]
-        self.ids, self.length = key[order], length
+        self.rows, self.ids, self.length = order, key[order], length
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.empty(0, np.int64)
         self.data = b"".join(texts)
         self.buf = np.frombuffer(self.data, np.uint8)
@@ -260,19 +260,25 @@ def _marks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, hot: int = 4000, chunk_bytes: int = 6 << 20, range_bytes: int = 12 << 20
+    docs: DataFrame,
+    length: int = 50,
+    hot: int = 4000,
+    chunk_bytes: int = 6 << 20,
+    range_bytes: int = 12 << 20,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Removes repeated passages; returns doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes).
+    """Removes repeated passages; returns doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and `keep`.
 
     One row per input row.  Texts are UTF-8; a null text is empty.  Documents with equal ids (repeated rows) are
     not earlier than each other, and one without id is earlier than none, so neither loses bytes to the other.
-    Columns other than doc_id and text are not read.
+    Columns other than doc_id, text and those named in keep (which must not be called like a result) are not read.
 
     hot: anchors of more documents than this are resolved window by window.  chunk_bytes, range_bytes: text for each
     chunk of documents and each range of anchors; their numbers follow from the size of the input.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "text")
+    types = dict(docs.dtypes)
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "text", *keep)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, ranges = max(least, total // chunk_bytes), max(least, total // range_bytes)
@@ -308,7 +314,7 @@ def remove_repeats(
     def cut(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
         if not len(pdf):
-            return pd.DataFrame([], columns=names)
+            return pd.DataFrame([], columns=[*names, *keep])
         chunk = _Chunk(pdf, length)
         mark = np.zeros(chunk.buf.size + 1, np.int32)
         cold, many = known(told[told["kind"] == "known"])
@@ -351,7 +357,8 @@ def remove_repeats(
             (d, e - s, int(lost[e] - lost[s]), int(new[e] - new[s]), rest[left[s] : left[e]])
             for d, s, e in zip(chunk.ids.tolist(), starts.tolist(), chunk.ends.tolist())
         ]
-        return pd.DataFrame(rows, columns=names)
+        out = pd.DataFrame(rows, columns=names)
+        return out.assign(**{c: pdf[c].to_numpy()[chunk.rows] for c in keep})
 
     shared = (
         parts.applyInPandas(anchors, "range int, chunk int, keys binary, counts binary")
@@ -366,9 +373,9 @@ def remove_repeats(
     )
     told = marks.unionByName(shared.withColumn("kind", F.lit("known")), allowMissingColumns=True)
     out = parts.cogroup(told.groupBy("chunk")).applyInPandas(
-        cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+        cut, ", ".join(["id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"`{c}` {types[c]}" for c in keep)])
     )
-    return out.select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    return out.select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *keep)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
