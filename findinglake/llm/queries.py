@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, licenses, lm_score, packing, partenum, quality_mcd, sharding, suffix_dedup, toxicity
+from . import embed_dedup, licenses, lm_score, packing, partenum, piece_lattice, quality_mcd, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encode(_table(spark, sf_dir, "documents"))
+
+
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is the documents labelled as of good quality."""
     target = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_dedup,
+        op2_sentencepiece_lattice,
         op3_cross_entropy_difference,
         op4_embedding_near_dedup,
         op5_hypergeometric_shards,
