@@ -32,6 +32,7 @@ from .tables import cut_lineage
 from .textarrays import _C, blocks, mix, shingles, span_hashes, words
 
 _KEEP = np.uint64((1 << 48) - 1)
+_CENTRE = -(1 << 63)  # no doc_id: marks a centre
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -171,7 +172,7 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
 
 def _verify(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """One task of a star: the centre, and the members of one or two blocks; edges that link what is similar."""
-    pdf = pdf.sort_values(["is_centre", "id"], ascending=[False, True], ignore_index=True)
+    pdf = pdf.sort_values(["is_centre", "id", "elements"], ascending=[False, True, True], ignore_index=True)
     pdf = pdf.drop_duplicates("id", ignore_index=True)
     ids, side = pdf["id"].to_numpy(), pdf["side"].to_numpy()
     sets = [unpack_sorted(x) for x in pdf["elements"]]
@@ -206,8 +207,9 @@ def jaccard_groups(
     """Per row of docs: doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union of their sets.  Empty sets link with nothing.
-    component_id is the smallest doc_id reachable by links, the document's own included.  Rows that share a doc_id are
-    one document for links, and each counts its own shingles; a null doc_id links with nothing and has a null component.
+    component_id is the smallest doc_id reachable by links, the document's own included.  Rows that share a doc_id have
+    one component; each counts its own shingles.  A null doc_id links with nothing and has a null
+    component.
     """
     spark: SparkSession = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -233,18 +235,25 @@ def jaccard_groups(
         rows = [(r, pack_sorted(sig[i]), pack(owner[i])) for r, i in _split(where)]
         return pd.DataFrame(rows, columns=["range", "sigs", "ids"])
 
-    pairs = cut_lineage(
+    stars = (
         parts.applyInPandas(sign, "range int, sigs binary, ids binary")
         .groupBy("range")
         .applyInPandas(lambda pdf: _centres(pdf, ranges), "bucket int, centre binary, other binary")
         .groupBy("bucket")
         .applyInPandas(_distinct_pairs, "centre long, other long")
     )
-    wanted = pairs.select(F.explode(F.array("centre", "other")).alias("id")).distinct().select("id", chunk("id"))
+    # Each document with a candidate learns its centres; a centre learns that it is one.  Pairs come back with
+    # the documents' sets, so all this is one job and the texts are shuffled once.
+    sides = F.array(F.struct(F.col("other").alias("id"), "centre"), F.struct(F.col("centre").alias("id"), F.lit(_CENTRE).alias("centre")))
+    wanted = stars.select(F.explode(sides).alias("x")).select("x.id", "x.centre", chunk("x.id"))
 
     def tell(pdf: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         ids, sets = _sets_of(pdf, size)
-        want = set(want["id"].tolist())
+        centres: dict[int, list[int]] = {}
+        for i, c in zip(want["id"].tolist(), want["centre"].tolist()):
+            own = centres.setdefault(i, [])
+            if c != _CENTRE:
+                own.append(c)
         none = pdf["no_id"].to_numpy()
         rows = [
             (
@@ -252,20 +261,24 @@ def jaccard_groups(
                 x.size,
                 int(np.add.reduce(mix(x ^ _C[8])).view(np.int64)),
                 int(np.add.reduce(mix(x ^ _C[9])).view(np.int64)),
-                pack_sorted(x) if not no and i in want else None,
+                pack_sorted(x) if not no and i in centres else None,
+                sorted(centres.get(i, ())) if not no else [],
             )
             for i, x, no in zip(ids.tolist(), sets, none)
         ]
-        out = pd.DataFrame(rows, columns=["id", "n", "key1", "key2", "elements"])
+        out = pd.DataFrame(rows, columns=["id", "n", "key1", "key2", "elements", "centres"])
         return out.astype({"id": "Int64", "key1": "int64", "key2": "int64"})
 
     told = cut_lineage(
-        parts.cogroup(wanted.groupBy("chunk")).applyInPandas(tell, "id long, n long, key1 long, key2 long, elements binary")
+        parts.cogroup(wanted.groupBy("chunk")).applyInPandas(
+            tell, "id long, n long, key1 long, key2 long, elements binary, centres array<long>"
+        )
     )
     same = told.where("n > 0 and id is not null").groupBy("n", "key1", "key2").agg(F.min("id").alias("b"), F.max("id").alias("m"))
     copies = told.join(same.where("m > b"), ["n", "key1", "key2"]).select(F.col("id").alias("a"), "b")
 
-    sets = told.where("elements is not null").groupBy("id").agg(F.max("elements").alias("elements"))
+    sets = told.where("elements is not null").select("id", "elements")
+    pairs = told.select(F.explode("centres").alias("centre"), F.col("id").alias("other"))
     sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     members = pairs.join(sizes, "centre").select(
         "centre", F.col("other").alias("id"), "nb", F.pmod(F.xxhash64("other"), F.col("nb")).cast("int").alias("block")

@@ -71,4 +71,71 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+_COMPONENTS = """
+reach(x, y) as (
+    select id, id from nodes
+    union
+    select r.x, l.y from reach r join links l on r.y = l.x
+),
+least as (select x, min(y) as component_id from reach group by x)
+"""
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        n as (select doc_id, h, length(h) // 2 as n_bytes from d),
+        places as (select doc_id, h, n_bytes, unnest(range(0, n_bytes)) as p from n),
+        windows as (select doc_id, p, substr(h, 2 * p + 1, 100) as w from places where p + 50 <= n_bytes),
+        firsts as (select w, min(doc_id) as first from windows group by w having min(doc_id) < max(doc_id)),
+        starts as (select doc_id, p from windows join firsts using (w) where first < doc_id),
+        marked as (
+            select places.doc_id, places.p, substr(h, 2 * places.p + 1, 2) as b,
+                max(case when starts.p is null then 0 else 1 end) over (
+                    partition by places.doc_id order by places.p rows between 49 preceding and current row) as gone
+            from places left join starts on starts.doc_id = places.doc_id and starts.p = places.p),
+        runs as (select *, lag(gone, 1, 0) over (partition by doc_id order by p) as before from marked),
+        sums as (
+            select doc_id, sum(gone) as n_removed, sum(case when gone = 1 and before = 0 then 1 else 0 end) as n_spans,
+                string_agg(b, '' order by p) filter (where gone = 0) as kept
+            from runs group by doc_id)
+        select n.doc_id, cast(n_bytes as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+            cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+        from n left join sums using (doc_id)
+    """,
+    "op4_embedding_near_dedup": f"""
+        with recursive v as (select vec_id as id, label, embedding::double[] as e from embeddings),
+        nodes as (
+            select * from v
+            where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+                and list_dot_product(e, e) > 0),
+        links as (
+            select a.id as x, b.id as y from nodes a join nodes b
+            on a.label = b.label and a.id <> b.id and list_cosine_similarity(a.e, b.e) >= 0.98),
+        {_COMPONENTS},
+        counts as (select x, count(*) as n from links group by x)
+        select v.id as vec_id, cast(coalesce(n, 0) as bigint) as n_links,
+            coalesce(component_id, v.id) as component_id, v.id = coalesce(component_id, v.id) as kept
+        from v left join counts on counts.x = v.id left join least on least.x = v.id
+    """,
+    "op9_ngram_jaccard": f"""
+        with recursive w as (
+            select doc_id as id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        nodes as (
+            select id, list_distinct(list_transform(
+                range(1, case when len(w) = 0 then 1 else greatest(len(w) - 3, 2) end),
+                lambda i: array_to_string(w[i : i + 4], ' '))) as s
+            from w),
+        items as (select id, unnest(s) as item from nodes),
+        shared as (
+            select a.id as x, b.id as y, count(*) as n from items a join items b on a.item = b.item and a.id <> b.id
+            group by all),
+        links as (
+            select x, y from shared join nodes a on a.id = x join nodes b on b.id = y
+            where 100 * n >= 80 * (len(a.s) + len(b.s) - n)),
+        {_COMPONENTS}
+        select id as doc_id, cast(len(s) as bigint) as n_shingles, component_id
+        from nodes join least on least.x = nodes.id
+    """,
+}
