@@ -1,10 +1,10 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
 A table's key is the signs of `bits` random projections.  Vectors at cosine c agree in one sign with probability
-1 - acos(c) / pi, so with 14 bits and 24 tables a pair at 0.98 is missed with probability 6e-6, closer pairs less.
+1 - acos(c) / pi, so with 16 bits and 28 tables a pair at 0.98 is missed with probability 7e-6, closer pairs less.
 Equal vectors are folded to one with a count first.  Keys are counted before vectors move, so only vectors with a
-companion do.  A bucket of more than `block` vectors is compared in several tasks, one for each pair of its blocks, and
-a pair that meets in several tables counts in the first of them.
+companion do.  Buckets of at most `small` vectors share tasks.  A bucket of more than `block` vectors is compared in
+several tasks, one for each pair of its blocks, and a pair that meets in several tables counts in the first of them.
 """
 
 from __future__ import annotations
@@ -28,33 +28,65 @@ def table_keys(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def _small_pairs(x: np.ndarray, code: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs, at cosine `least` or more, of rows (in order of code) with equal codes; for codes of few rows."""
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    size = np.diff(np.append(first, code.size))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s in np.unique(size[size > 1]):
+        heads = first[size == s]
+        for part in np.array_split(heads, -(-heads.size * int(s) // 8192)):
+            at = part[:, None] + np.arange(s)
+            near = np.einsum("bik,bjk->bij", x[at], x[at]) >= least
+            b, i, j = np.nonzero(np.triu(near, 1))
+            left.append(part[b] + i)
+            right.append(part[b] + j)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _linked(pdf: pd.DataFrame, least: float, tables: int, bits: int) -> pd.DataFrame:
-    """One task: links of each vector that first meet in this table, and edges that connect what is linked."""
-    pdf = pdf.sort_values("rep", ignore_index=True)
+    """One task: links of each vector that first meet in their bucket's table, and edges that connect what is linked.
+
+    A task is one pair of blocks of a large bucket (i, j not both -1) or many whole small buckets.
+    """
+    pdf = pdf.sort_values(["dim", "table", "key", "label", "rep"], ignore_index=True)
+    if pdf["dim"].iloc[0] != pdf["dim"].iloc[-1] or (pdf["i"].iloc[0] >= 0 and pdf[["table", "key", "label"]].drop_duplicates().shape[0] > 1):
+        by = "dim" if pdf["i"].iloc[0] < 0 else ["dim", "table", "key", "label"]
+        return pd.concat([_linked(own, least, tables, bits) for _, own in pdf.groupby(by)])
     x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
     keys = table_keys(x, tables, bits)
     x /= np.sqrt((x * x).sum(1))[:, None]
-    table, n, rep, side = int(pdf["table"].iloc[0]), pdf["n"].to_numpy(), pdf["rep"].to_numpy(), pdf["side"].to_numpy()
-    link = x @ x.T >= least
-    np.fill_diagonal(link, False)
-    if side.max():
-        link &= side[:, None] != side[None, :]
-    new = link.copy()
-    for t in range(table):
-        new &= keys[:, t][:, None] != keys[:, t][None, :]
-    count = new @ n
-    label = np.arange(rep.size)
+    n, rep, side, table = (pdf[c].to_numpy() for c in ("n", "rep", "side", "table"))
+    if pdf["i"].iloc[0] < 0:
+        a, b = _small_pairs(x, pdf.groupby(["dim", "table", "key", "label"], sort=True).ngroup().to_numpy(), least)
+    else:
+        near = np.triu(x @ x.T >= least, 1)
+        if side.max():
+            near &= side[:, None] != side[None, :]
+        if table[0]:  # most pairs of a dense bucket met in the first table
+            near &= keys[:, 0][:, None] != keys[:, 0][None, :]
+        a, b = np.nonzero(near)
+    met = np.zeros(a.size, bool)
+    for t in range(tables):
+        met |= (t < table[a]) & (keys[a, t] == keys[b, t])
+    a, b = a[~met], b[~met]
+    count = np.bincount(a, n[b], rep.size).astype(np.int64) + np.bincount(b, n[a], rep.size).astype(np.int64)
+    low = np.arange(rep.size)
     while True:  # smallest linked index, until nothing changes
-        low = np.minimum(label, np.where(link, label[None, :], rep.size).min(1, initial=rep.size))
-        low = low[low]
-        if (low == label).all():
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
             break
-        label = low
-    return pd.DataFrame({"rep": rep, "links": count, "to": rep[label]})
+        low = new
+    # One row for each vector of a linked set, not for each pair; a vector of several buckets can stand here twice.
+    found = np.flatnonzero(count)
+    return pd.DataFrame({"rep": rep[found], "links": count[found], "to": rep[low[found]]})
 
 
 def embedding_groups(
-    vectors: DataFrame, least: float = 0.98, tables: int = 24, bits: int = 14, block: int = 1024
+    vectors: DataFrame, least: float = 0.98, tables: int = 28, bits: int = 16, block: int = 1024, small: int = 64
 ) -> DataFrame:
     """Per row of (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -94,16 +126,19 @@ def embedding_groups(
     several = keys.groupBy(*bucket).agg(F.count("*").alias("m")).where("m > 1")
     members = keys.join(several, bucket).withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    spread = max(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() * tables // 100_000)
+    alone, hash_ = F.col("m") > min(small, block), F.xxhash64(*bucket)
     tasks = members.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         *bucket,
         "rep",
-        F.least("block", "x").alias("i"),
-        F.greatest("block", "x").alias("j"),
+        F.when(alone, hash_).otherwise(F.pmod(hash_, F.lit(spread))).alias("task"),
+        F.when(alone, F.least("block", "x")).otherwise(-1).alias("i"),
+        F.when(alone, F.greatest("block", "x")).otherwise(-1).alias("j"),
         (F.col("block") > F.col("x")).cast("int").alias("side"),
     )
     found = cut_lineage(
         tasks.join(reps.select("rep", "v", "n"), "rep")
-        .groupBy(*bucket, "i", "j")
+        .groupBy("task", "i", "j")
         .applyInPandas(lambda pdf: _linked(pdf, least, tables, bits), "rep long, links long, to long")
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
