@@ -40,8 +40,8 @@ def unpack_sorted(blob: bytes | None) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def pack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=_LEVEL).compress(data) if data else b""
+def pack_bytes(data: bytes, level: int = _LEVEL) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data) if data else b""
 
 
 def unpack_bytes(blob: bytes | None) -> bytes:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from .blobs import pack, pack_bytes, unpack, unpack_bytes
 
 SPACE = "▁"
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
 def default_model() -> str:
@@ -57,9 +57,23 @@ def piece_table(path: str) -> tuple[list[tuple[str, float, int]], list[bytes], i
     return normal, text, first
 
 
-def units_of(text: str) -> list[str]:
-    """A text's words with their spaces before them; line ends are words of their own."""
-    return _UNITS.findall((SPACE + text).replace(" ", SPACE)) if text else []
+@functools.lru_cache(2)
+def _units(path: str) -> re.Pattern:
+    """Words of a text, cut also before the signs that no piece holds behind anything but other such signs and spaces."""
+    pairs = {p[i : i + 2] for p, _, _ in piece_table(path)[0] for i in range(len(p) - 1)}
+    if any(b == SPACE != a or "\n" in (a, b) for a, b in pairs):
+        raise ValueError("a piece reaches over a word's end")
+    signs = set(string.punctuation)
+    while late := {b for a, b in pairs if b in signs and a != SPACE and a not in signs}:
+        signs -= late
+    cut = re.escape("".join(sorted(signs)))
+    plain = f"[^{SPACE}\n{cut}]"
+    return re.compile(f"{SPACE}*{plain}+|{SPACE}*[{cut}]+{plain}*|{SPACE}+|\n" if signs else f"{SPACE}*{plain}+|{SPACE}+|\n")
+
+
+def units_of(text: str, path: str | None = None) -> list[str]:
+    """A text's words with their spaces before them; line ends are words of their own.  No piece reaches over a cut."""
+    return _units(path or default_model()).findall((SPACE + text).replace(" ", SPACE)) if text else []
 
 
 def decode_ids(ids: np.ndarray, path: str | None = None) -> str:
@@ -69,8 +83,12 @@ def decode_ids(ids: np.ndarray, path: str | None = None) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def best_paths(units: DataFrame, path: str) -> DataFrame:
-    """unit -> ids of its best path; characters without a piece as minus their code point."""
+def best_paths(units: DataFrame, path: str, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """The rows of units (distinct by `keys`, unit among them) with ids of the unit's best path.
+
+    Characters without a piece stand as minus their code point.  The time for a word grows with the square of its
+    length; words of some ten thousand characters take seconds.
+    """
     spark: SparkSession = units.sparkSession
     normal, _, _ = piece_table(path)
     longest = max(len(p) for p, _, _ in normal)
@@ -78,6 +96,7 @@ def best_paths(units: DataFrame, path: str) -> DataFrame:
     # The vocabulary: tens of thousands of rows, whatever the corpus.
     pieces = F.broadcast(spark.createDataFrame(normal, "piece string, score double, id int"))
     n = F.length("unit")
+    others = [c for c in units.columns if c not in keys]
     edges = (
         units.withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
         .withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))))
@@ -85,13 +104,16 @@ def best_paths(units: DataFrame, path: str) -> DataFrame:
         .join(pieces, "piece", "left")
         .where("id is not null or e = s + 1")
         .select(
-            "unit",
+            *keys,
             F.struct(
                 "e", "s", F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", -F.ascii("piece")).alias("id")
             ).alias("x"),
+            *(F.when((F.col("s") == 0) & (F.col("e") == 1), F.col(c)).alias(c) for c in others),
         )
     )
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list("x")).alias("edges"))
+    lattice = edges.groupBy(*keys).agg(
+        F.array_sort(F.collect_list("x")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in others)
+    )
     step = "struct(acc[x.s].score + x.score as score, x.s as s, x.id as id)"
     best = F.expr(f"""
         aggregate(edges, array(struct(0D as score, -1 as s, -1 as id)), (acc, x) -> case
@@ -101,7 +123,7 @@ def best_paths(units: DataFrame, path: str) -> DataFrame:
     ids = F.expr("""
         aggregate(best, struct(size(best) - 1 as at, cast(array() as array<int>) as ids), (st, x) ->
             if(st.at = 0, st, struct(best[st.at].s as at, concat(array(best[st.at].id), st.ids) as ids))).ids""")
-    return lattice.select("unit", best.alias("best")).select("unit", ids.alias("ids"))
+    return lattice.select(*keys, *others, best.alias("best")).select(*keys, *others, ids.alias("ids"))
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20, pack_bytes_: int = 1 << 20) -> DataFrame:
@@ -124,7 +146,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20
             none = np.array([d is None for d, _ in held], np.uint8)
             data = [(t or "").encode("utf-8", "surrogatepass") for _, t in held]
             sizes = np.array([len(x) for x in data], np.int64)
-            row = (int(ids[0]), pack(ids), pack(none), pack(sizes), pack_bytes(b"".join(data)))
+            row = (int(ids[0]), pack(ids), pack(none), pack(sizes), pack_bytes(b"".join(data), 6))
             return pd.DataFrame([row], columns=["first", "ids", "none", "sizes", "data"])
 
         for pdf in batches:
@@ -153,11 +175,13 @@ def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20
     def units(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[str] = set()
         for _, t in texts_of(pdf):
-            found.update(units_of(t))
+            found.update(units_of(t, path))
         return pd.DataFrame({"unit": sorted(found), "chunk": pdf["chunk"].iloc[0]})
 
+    # A word is solved once for 65,536 chunks (a terabyte of text), which also bounds the list of chunks that hold it.
     pairs = parts.applyInPandas(units, "unit string, chunk int").repartition("unit")
-    solved = pairs.join(best_paths(pairs.select("unit").distinct(), path), "unit")
+    pairs = pairs.groupBy("unit", F.shiftright("chunk", 16).alias("many")).agg(F.collect_list("chunk").alias("chunks"))
+    solved = best_paths(pairs, path, ("unit", "many")).select("unit", "ids", F.explode("chunks").alias("chunk"))
 
     def assemble(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         _, table, first = piece_table(path)
@@ -171,7 +195,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20
             text_of[u] = b"".join(map(table.__getitem__, ids.tolist()))
         rows = []
         for d, t in texts_of(pdf):
-            own = units_of(t)
+            own = units_of(t, path)
             ids = np.frombuffer(b"".join(map(ids_of.__getitem__, own)), np.int32)
             back = b"".join(map(text_of.__getitem__, own))[1:]
             rows.append((d, ids.size, ids, back == t.encode("utf-8", "surrogatepass")))
