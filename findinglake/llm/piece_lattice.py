@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text's segmentation is the path of pieces with the largest sum of scores (Viterbi), as SentencePiece's unigram mode
-computes it from a piece table.  No piece reaches from one word into the next, so the distinct words of the corpus are
-solved once each: their substrings of at most the longest piece's length are exploded and equi-joined to the piece
-table, which gives the lattice's edges; the edges are grouped by word; and a higher-order aggregate folds them, in the
-order of their ends, into the best score and last piece at each position.  Words go back to the chunks of documents
+computes it from a piece table.  No piece reaches from one word into the next, nor over two characters that stand side
+by side in no piece, so the distinct parts between such places ("units") of the corpus are solved once each: their
+substrings of at most the longest piece's length are exploded and equi-joined to the piece
+table, which gives the lattice's edges; the edges are grouped by unit; and a higher-order aggregate folds them, in the
+order of their ends, into the best score and last piece at each position.  Units go back to the chunks of documents
 that hold them, and each chunk puts its texts together from its words.
 
 Rules, as in the model's own settings (identity normaliser): a space becomes U+2581, one more is put before a text
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import re
-import string
 
 import numpy as np
 import pandas as pd
@@ -57,23 +57,32 @@ def piece_table(path: str) -> tuple[list[tuple[str, float, int]], list[bytes], i
     return normal, text, first
 
 
+_WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+
+
 @functools.lru_cache(2)
-def _units(path: str) -> re.Pattern:
-    """Words of a text, cut also before the signs that no piece holds behind anything but other such signs and spaces."""
-    pairs = {p[i : i + 2] for p, _, _ in piece_table(path)[0] for i in range(len(p) - 1)}
+def neighbours(path: str) -> frozenset[str]:
+    """The pairs of characters that stand side by side in some piece; a text can be cut between all others."""
+    pairs = frozenset(p[i : i + 2] for p, _, _ in piece_table(path)[0] for i in range(len(p) - 1))
     if any(b == SPACE != a or "\n" in (a, b) for a, b in pairs):
         raise ValueError("a piece reaches over a word's end")
-    signs = set(string.punctuation)
-    while late := {b for a, b in pairs if b in signs and a != SPACE and a not in signs}:
-        signs -= late
-    cut = re.escape("".join(sorted(signs)))
-    plain = f"[^{SPACE}\n{cut}]"
-    return re.compile(f"{SPACE}*{plain}+|{SPACE}*[{cut}]+{plain}*|{SPACE}+|\n" if signs else f"{SPACE}*{plain}+|{SPACE}+|\n")
+    return pairs
+
+
+def words_of(text: str) -> list[str]:
+    """A text's words with their spaces before them; line ends are words of their own."""
+    return _WORDS.findall((SPACE + text).replace(" ", SPACE)) if text else []
 
 
-def units_of(text: str, path: str | None = None) -> list[str]:
-    """A text's words with their spaces before them; line ends are words of their own.  No piece reaches over a cut."""
-    return _units(path or default_model()).findall((SPACE + text).replace(" ", SPACE)) if text else []
+def units_of(word: str, pairs: frozenset[str]) -> list[str]:
+    """A word's parts, cut where no piece reaches over, so that best paths of the parts make the word's."""
+    out, s = [], 0
+    for i in range(1, len(word)):
+        if word[i - 1 : i + 1] not in pairs:
+            out.append(word[s:i])
+            s = i
+    out.append(word[s:])
+    return out
 
 
 def decode_ids(ids: np.ndarray, path: str | None = None) -> str:
@@ -83,11 +92,10 @@ def decode_ids(ids: np.ndarray, path: str | None = None) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def best_paths(units: DataFrame, path: str, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
-    """The rows of units (distinct by `keys`, unit among them) with ids of the unit's best path.
+def best_paths(units: DataFrame, path: str) -> DataFrame:
+    """unit -> ids of its best path; characters without a piece as minus their code point.  Units are distinct.
 
-    Characters without a piece stand as minus their code point.  The time for a word grows with the square of its
-    length; words of some ten thousand characters take seconds.
+    The time for a unit grows with the square of its length; units of some ten thousand characters take seconds.
     """
     spark: SparkSession = units.sparkSession
     normal, _, _ = piece_table(path)
@@ -96,7 +104,6 @@ def best_paths(units: DataFrame, path: str, keys: tuple[str, ...] = ("unit",)) -
     # The vocabulary: tens of thousands of rows, whatever the corpus.
     pieces = F.broadcast(spark.createDataFrame(normal, "piece string, score double, id int"))
     n = F.length("unit")
-    others = [c for c in units.columns if c not in keys]
     edges = (
         units.withColumn("s", F.explode(F.sequence(F.lit(0), n - 1)))
         .withColumn("e", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + longest))))
@@ -104,16 +111,13 @@ def best_paths(units: DataFrame, path: str, keys: tuple[str, ...] = ("unit",)) -
         .join(pieces, "piece", "left")
         .where("id is not null or e = s + 1")
         .select(
-            *keys,
+            "unit",
             F.struct(
                 "e", "s", F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", -F.ascii("piece")).alias("id")
             ).alias("x"),
-            *(F.when((F.col("s") == 0) & (F.col("e") == 1), F.col(c)).alias(c) for c in others),
         )
     )
-    lattice = edges.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("x")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in others)
-    )
+    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list("x")).alias("edges"))
     step = "struct(acc[x.s].score + x.score as score, x.s as s, x.id as id)"
     best = F.expr(f"""
         aggregate(edges, array(struct(0D as score, -1 as s, -1 as id)), (acc, x) -> case
@@ -123,7 +127,7 @@ def best_paths(units: DataFrame, path: str, keys: tuple[str, ...] = ("unit",)) -
     ids = F.expr("""
         aggregate(best, struct(size(best) - 1 as at, cast(array() as array<int>) as ids), (st, x) ->
             if(st.at = 0, st, struct(best[st.at].s as at, concat(array(best[st.at].id), st.ids) as ids))).ids""")
-    return lattice.select(*keys, *others, best.alias("best")).select(*keys, *others, ids.alias("ids"))
+    return lattice.select("unit", best.alias("best")).select("unit", ids.alias("ids"))
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20, pack_bytes_: int = 1 << 20) -> DataFrame:
@@ -172,32 +176,39 @@ def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20
                 yield (None if no else d), data[s : s + n].decode("utf-8", "surrogatepass")
                 s += n
 
-    def units(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: set[str] = set()
+    def parts_of(pdf: pd.DataFrame) -> tuple[list[str], list[str]]:
+        """The chunk's distinct words, and their distinct units in order."""
+        pairs_, found, units = neighbours(path), set(), set()
         for _, t in texts_of(pdf):
-            found.update(units_of(t, path))
-        return pd.DataFrame({"unit": sorted(found), "chunk": pdf["chunk"].iloc[0]})
+            found.update(words_of(t))
+        for w in found:
+            units.update(units_of(w, pairs_))
+        return sorted(found), sorted(units)
+
+    def units(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = parts_of(pdf)[1]
+        return pd.DataFrame({"unit": own, "chunk": pdf["chunk"].iloc[0], "k": np.arange(len(own), dtype=np.int32)})
 
-    # A word is solved once for 65,536 chunks (a terabyte of text), which also bounds the list of chunks that hold it.
-    pairs = parts.applyInPandas(units, "unit string, chunk int").repartition("unit")
-    pairs = pairs.groupBy("unit", F.shiftright("chunk", 16).alias("many")).agg(F.collect_list("chunk").alias("chunks"))
-    solved = best_paths(pairs, path, ("unit", "many")).select("unit", "ids", F.explode("chunks").alias("chunk"))
+    pairs = parts.applyInPandas(units, "unit string, chunk int, k int").repartition("unit")
+    # All columns are named, so that the distinct units are taken from the same exchange as the pairs.
+    distinct = pairs.groupBy("unit").agg(F.min(F.col("chunk") + F.col("k")).alias("_")).where("_ is not null").select("unit")
+    solved = pairs.join(best_paths(distinct, path), "unit").select("chunk", "k", "ids")
 
     def assemble(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         _, table, first = piece_table(path)
-        ids_of, text_of = {}, {}
-        for u, ids in zip(known["unit"].tolist(), known["ids"].tolist()):
+        pairs_, (found, own) = neighbours(path), parts_of(pdf)
+        ids_of: dict[str, bytes] = {}
+        for k, ids in zip(known["k"].tolist(), known["ids"]):
             ids = np.asarray(ids, np.int32)
             if ids.min() < 0:
                 parts_ = [[i] if i >= 0 else [first + b for b in chr(-i).encode("utf-8", "surrogatepass")] for i in ids.tolist()]
                 ids = np.array([i for p in parts_ for i in p], np.int32)
-            ids_of[u] = ids.tobytes()
-            text_of[u] = b"".join(map(table.__getitem__, ids.tolist()))
+            ids_of[own[k]] = ids.tobytes()
+        of_word = {w: b"".join(map(ids_of.__getitem__, units_of(w, pairs_))) for w in found}
         rows = []
         for d, t in texts_of(pdf):
-            own = units_of(t, path)
-            ids = np.frombuffer(b"".join(map(ids_of.__getitem__, own)), np.int32)
-            back = b"".join(map(text_of.__getitem__, own))[1:]
+            ids = np.frombuffer(b"".join(map(of_word.__getitem__, words_of(t))), np.int32)
+            back = b"".join(map(table.__getitem__, ids.tolist()))[1:]
             rows.append((d, ids.size, ids, back == t.encode("utf-8", "surrogatepass")))
         out = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids", "round_trip"])
         return out.astype({"doc_id": "Int64"})
