@@ -130,7 +130,7 @@ def best_paths(units: DataFrame, path: str) -> DataFrame:
     return lattice.select("unit", best.alias("best")).select("unit", ids.alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 16 << 20, pack_bytes_: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, chunk_bytes: int = 10 << 20, pack_bytes_: int = 1 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_pieces, ids, round_trip (the decoded ids are the text).
 
     A null text counts as empty and has no ids.  Texts of any length are encoded whole; repeated rows as often as they
