@@ -62,31 +62,51 @@ def _kind(event: Column) -> Column:
     return F.when(has("introduced"), "introduced").when(has("fixed"), "fixed").when(has("last_affected"), "last_affected").when(has("limit"), "limit")
 
 
-def is_affected(ecosystem: Column, version: Column, versions: Column, ranges: Column) -> Column:
-    """Whether an advisory's entry covers a version: it is listed, or the last event of some range that applies to it,
-    in version order ("0" first, ties as written), introduces the flaw.
+def _keys(version: Column) -> Column:
+    """What versions are compared by: (text, is PEP 440, its key, release key)."""
+    return F.struct(version.alias("v"), is_pep440(version).alias("is_pep"), F.when(is_pep440(version), pep440_key(version)).alias("pep"), release_key(version).alias("key"))
 
-    ranges: array of (type, events), an event being a map with one of introduced, fixed, last_affected and limit.  A
-    range of PyPI versions is put in PEP 440 order if all its values are such versions.
-    """
 
-    def covers(r: Column) -> Column:
+def _prepared(ecosystem: Column, ranges: Column) -> Column:
+    """The ranges' events with their keys, in version order ("0" first, ties as written)."""
+
+    def one(r: Column) -> Column:
         pep = (ecosystem == "PyPI") & F.forall(r["events"], lambda e: (_value(e) == "0") | is_pep440(_value(e)))
 
         def place(e: Column, i: Column) -> Column:
-            v, kind = _value(e), _kind(e)
-            order = compare_versions(ecosystem, version, v)
-            applies = F.when(kind == "introduced", (v == "0") | (order >= 0)).when(kind == "last_affected", order > 0).otherwise(order >= 0)
+            v = _value(e)
             return F.struct(
-                (v != "0").cast("int").alias("later"), F.when(pep, pep440_key(v)).alias("pep"), F.when(~pep, release_key(v)).alias("key"),
-                i.alias("i"), (kind == "introduced").alias("on"), (applies & kind.isNotNull()).alias("applies"),
+                (v != "0").cast("int").alias("later"), F.when(pep, pep440_key(v)).alias("by_pep"), F.when(~pep, release_key(v)).alias("by_key"),
+                i.alias("i"), _kind(e).alias("kind"), _keys(v).alias("k"),
             )
 
-        last = F.array_max(F.filter(F.transform(r["events"], place), lambda p: p["applies"]))
-        return F.coalesce(last["on"], F.lit(False))
+        return F.transform(F.array_sort(F.transform(r["events"], place)), lambda p: F.struct(p["kind"].alias("kind"), p["k"].alias("k")))
+
+    return F.transform(_kept(ranges), one)
+
 
-    listed = F.coalesce(F.array_contains(versions, version), F.lit(False))
-    return F.coalesce(listed | F.exists(_kept(ranges), covers), F.lit(False))
+def _covered(ecosystem: Column, version: Column, versions: Column, events: Column) -> Column:
+    def applies(e: Column) -> Column:
+        k = e["k"]
+        use_pep = (ecosystem == "PyPI") & version["is_pep"] & k["is_pep"]
+        above = F.when(use_pep, version["pep"] > k["pep"]).otherwise(version["key"] > k["key"])
+        equal = (version["v"] == k["v"]) | F.when(use_pep, version["pep"] == k["pep"]).otherwise(version["key"] == k["key"])
+        return ((e["kind"] == "introduced") & (k["v"] == "0")) | F.when(e["kind"] == "last_affected", above & ~equal).otherwise(above | equal)
+
+    # `get` counts from 0 and gives null for an empty list.
+    last = lambda r: F.get(F.reverse(F.filter(r, applies)), F.lit(0))["kind"]
+    inside = F.exists(events, lambda r: F.coalesce(last(r) == "introduced", F.lit(False)))
+    return F.coalesce(F.array_contains(versions, version["v"]), F.lit(False)) | F.coalesce(inside, F.lit(False))
+
+
+def is_affected(ecosystem: Column, version: Column, versions: Column, ranges: Column) -> Column:
+    """Whether an advisory's entry covers a version: it is listed, or the last event of some range that applies to it,
+    in version order ("0" first, ties as written), introduces the flaw.
+
+    ranges: array of (type, events), an event being a map with one of introduced, fixed, last_affected and limit.  A
+    range of PyPI versions is put in PEP 440 order if all its values are such versions.
+    """
+    return _covered(ecosystem, _keys(version), versions, _prepared(ecosystem, ranges))
 
 
 def _value(event: Column) -> Column:
@@ -138,10 +158,12 @@ def advisory_matches(deps: DataFrame, entries: DataFrame) -> DataFrame:
     deps: dep_id, ecosystem, name, version; entries: advisory_id, ecosystem, name, versions, ranges.  The join is on
     the package; its popular packages are left to AQE's skew join, as each pair is judged by itself.
     """
-    d = deps.where("version is not null").select("dep_id", "version", F.col("ecosystem").alias("eco"), package_name(F.col("ecosystem"), F.col("name")).alias("package"))
-    e = entries.select("advisory_id", "versions", "ranges", F.col("ecosystem").alias("eco"), package_name(F.col("ecosystem"), F.col("name")).alias("package"))
+    package = package_name(F.col("ecosystem"), F.col("name")).alias("package")
+    # Versions and events are parsed once per row, before the join; a pair only compares keys.
+    d = deps.where("version is not null").select("dep_id", _keys(F.col("version")).alias("k"), F.col("ecosystem").alias("eco"), package)
+    e = entries.select("advisory_id", "versions", _prepared(F.col("ecosystem"), F.col("ranges")).alias("events"), F.col("ecosystem").alias("eco"), package)
     pairs = d.join(e, ["eco", "package"])
-    return pairs.where(is_affected(F.col("eco"), F.col("version"), F.col("versions"), F.col("ranges"))).select("dep_id", "advisory_id").distinct()
+    return pairs.where(_covered(F.col("eco"), F.col("k"), F.col("versions"), F.col("events"))).select("dep_id", "advisory_id").distinct()
 
 
 def enrich(deps: DataFrame, entries: DataFrame, answered: bool = True) -> DataFrame:
