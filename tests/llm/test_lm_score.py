@@ -58,3 +58,18 @@ def test_no_target_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert all(r.score == 0 for r in cross_entropy_difference(docs, none).collect())
     assert cross_entropy_difference(docs.limit(0), none).count() == 0
+
+
+def test_every_word_is_its_own_class(spark):
+    # 3,000 words twice each: more than any fixed table holds.  Rows 9001 and 9002 differ in one rare word only.
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(100)] * 2
+    rows += [(9001, "w3x7 w3x8"), (9002, "w5x1 w3x8"), (None, "w3x7 w3x8")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    target = spark.createDataFrame([(3,), (None,)], "doc_id long")
+    got = {r.doc_id: r for r in cross_entropy_difference(docs, target).collect()}
+    for d, n, t, b in _brute(rows, {3}, 1 << 20):
+        r = got[d]
+        assert r.n_words == n and abs(r.target_loss - t) < 1e-5 and abs(r.background_loss - b) < 1e-5
+    assert got[9001].score > got[9002].score and got[None].score == got[9001].score
+    cut = cross_entropy_difference(docs, target, chunk_bytes=2000, range_bytes=3000)
+    assert {r.doc_id: r for r in cut.collect()} == got
