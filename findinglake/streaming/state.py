@@ -1,11 +1,14 @@
 """Stateful operators over streams of events: rate limits, lockouts, sessions and the state of findings.
 
 Each takes a streaming DataFrame.  State is kept per key, and its size is bounded: by the limit of hits, or by a few
-numbers.  Within a micro-batch a key's rows are taken in Arrow chunks, each in the order of time and id.
+numbers.  All of a key's rows in a micro-batch are taken in the order of time and id, however many Arrow chunks they fill.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,48 +18,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+_HELD = 1_000_000  # rows of a key sorted in memory
+_BLOCK = 10_000  # rows read from disk or passed on at once
 
-def rate_limit(hits: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
+
+def _timed(rows: DataFrame, *more) -> DataFrame:
+    """key, t, none (no id), event_id and more columns; rows without time go."""
+    own = F.col("event_id").cast("long")
+    out = rows.select(F.col("key").cast("string").alias("key"), F.col("t").cast("double").alias("t"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("event_id"), *more)
+    return out.where("t is not null")
+
+
+def _in_order(chunks: Iterator[pd.DataFrame], names: list[str], held: int) -> Iterator[tuple]:
+    """All rows of a key's micro-batch as tuples in the order of `names`; runs of `held` rows are sorted, and merged from disk."""
+    runs, rows, n = [], [], 0
+    for pdf in chunks:
+        rows.append(pdf[names])
+        n += len(pdf)
+        if n >= held:
+            run, rows, n = _sorted(rows, names), [], 0
+            runs.append(tempfile.TemporaryFile())  # noqa: SIM115 (closed and gone with the task)
+            while block := list(itertools.islice(run, _BLOCK)):
+                pickle.dump(block, runs[-1])
+    rest = _sorted(rows, names) if rows else iter(())
+    return heapq.merge(*map(_read, runs), rest, key=lambda r: (r[0] != r[0], *r)) if runs else rest  # NaN is last
+
+
+def _sorted(rows: list[pd.DataFrame], names: list[str]) -> Iterator[tuple]:
+    return pd.concat(rows).sort_values(names).itertuples(index=False, name=None)
+
+
+def _read(file) -> Iterator[tuple]:
+    file.seek(0)
+    while True:
+        try:
+            yield from pickle.load(file)
+        except EOFError:
+            return
+
+
+def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while block := list(itertools.islice(rows, _BLOCK)):
+        yield pd.DataFrame(block, columns=columns).astype({"event_id": "Int64"})
+
+
+def rate_limit(hits: DataFrame, limit: int, window: float = 60.0, held: int = _HELD) -> DataFrame:
     """key, event_id, t, allowed, retry_after of each hit (key, event_id, t in seconds).
 
     A hit is allowed if fewer than `limit` allowed ones lie in the last `window` seconds; one exactly `window` old
-    still counts, and rejected hits aren't counted.  Hits older than the newest one seen are judged as if at its time.
+    still counts, and rejected hits aren't counted.  Hits older than the newest one of earlier micro-batches are judged
+    as if at its time.  held: so many rows of a key are sorted in memory; more are merged from disk.
     """
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState):
         times = list(state.get[0]) if state.exists else []
         last = state.get[1] if state.exists else float("-inf")
-        for pdf in chunks:
-            rows = []
-            for i, t in pdf.sort_values(["t", "event_id"])[["event_id", "t"]].itertuples(index=False):
+
+        def judged():
+            nonlocal last
+            for t, none, i in _in_order(chunks, ["t", "none", "event_id"], held):
                 now = last = max(last, t)
                 while times and now - times[0] > window:
                     times.pop(0)
                 ok = len(times) < limit
-                rows.append((key[0], i, t, ok, 0.0 if ok else max(0.0, window - (now - times[0]))))
+                yield key[0], None if none else i, t, ok, 0.0 if ok else max(0.0, window - (now - times[0]))
                 if ok:
                     times.append(now)
-            yield pd.DataFrame(rows, columns=["key", "event_id", "t", "allowed", "retry_after"])
+
+        yield from _frames(judged(), ["key", "event_id", "t", "allowed", "retry_after"])
         state.update((times, last))
 
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    out, held = "key string, event_id long, t double, allowed boolean, retry_after double", "times array<double>, last double"
-    rows = hits.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("t").cast("double").alias("t"))
-    return rows.where("t is not null").groupBy("key").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.NoTimeout)
+    out, kept = "key string, event_id long, t double, allowed boolean, retry_after double", "times array<double>, last double"
+    return _timed(hits).groupBy("key").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def lockout(logins: DataFrame, most: int = 5, minutes: float = 15.0) -> DataFrame:
+def lockout(logins: DataFrame, most: int = 5, minutes: float = 15.0, held: int = _HELD) -> DataFrame:
     """key, event_id, t, outcome of each login (key, event_id, t in seconds, ok): DENIED while locked, else SUCCESS or
-    FAILURE.  The `most`-th failure in a row locks for some minutes; success and locking set the count to 0."""
+    FAILURE.  The `most`-th failure in a row locks for some minutes; success and locking set the count to 0.
+    held: so many rows of a key are sorted in memory; more are merged from disk."""
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState):
         failed, until = state.get if state.exists else (0, float("-inf"))
-        for pdf in chunks:
-            rows = []
-            for i, t, ok in pdf.sort_values(["t", "event_id"])[["event_id", "t", "ok"]].itertuples(index=False):
+
+        def judged():
+            nonlocal failed, until
+            for t, none, i, ok in _in_order(chunks, ["t", "none", "event_id", "ok"], held):
+                i = None if none else i
                 if until > t:
-                    rows.append((key[0], i, t, "DENIED"))
+                    yield key[0], i, t, "DENIED"
                     continue
                 if ok:
                     failed, until = 0, float("-inf")
@@ -64,12 +115,13 @@ def lockout(logins: DataFrame, most: int = 5, minutes: float = 15.0) -> DataFram
                     failed += 1
                     if failed >= most:
                         failed, until = 0, t + 60 * minutes
-                rows.append((key[0], i, t, "SUCCESS" if ok else "FAILURE"))
-            yield pd.DataFrame(rows, columns=["key", "event_id", "t", "outcome"])
+                yield key[0], i, t, "SUCCESS" if ok else "FAILURE"
+
+        yield from _frames(judged(), ["key", "event_id", "t", "outcome"])
         state.update((failed, until))
 
-    rows = logins.select(F.col("key").cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("t").cast("double").alias("t"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    return rows.where("t is not null").groupBy("key").applyInPandasWithState(step, "key string, event_id long, t double, outcome string", "failed int, until double", "append", GroupStateTimeout.NoTimeout)
+    rows = _timed(logins, F.coalesce("ok", F.lit(False)).alias("ok"))
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, t double, outcome string", "failed int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:

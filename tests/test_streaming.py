@@ -38,6 +38,43 @@ def test_lockout(spark, tmp_path):
     assert "".join(out) == "FFSFFFDDSF"
 
 
+def _shuffled(spark, tmp_path, limited, locked):
+    """What the two give for one key's rows that come in any order in Arrow chunks of three rows."""
+    rows = [("u", i, float(7 * i // 2), i % 5 == 0) for i in range(100)] + [("u", None, 20.0, False)]
+    random.Random(2).shuffle(rows)
+    df = stream(spark, tmp_path, rows, "key string, event_id long, t double, ok boolean", 1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        one, two = (S.run_available(x).collect() for x in (limited(df.drop("ok")), locked(df)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    order = lambda r: (r[2], r[1] is None, r[1])
+    rows = sorted(((k, i, t, ok) for k, i, t, ok in rows), key=order)
+    times, failed, until, want_one, want_two = [], 0, -1.0, [], []
+    for _, i, t, ok in rows:
+        times = [x for x in times if t - x <= 60]
+        want_one.append((i, len(times) < 4))
+        times += [t] * (len(times) < 4)
+        want_two.append((i, "DENIED" if until > t else "SUCCESS" if ok else "FAILURE"))
+        if until <= t:
+            failed = 0 if ok else failed + 1
+            if failed == 3:
+                failed, until = 0, t + 30.0
+    assert len({x for _, x in want_one}) == 2 and len({x for _, x in want_two}) == 3
+    by_id = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    assert by_id((r.event_id, r.allowed) for r in one) == by_id(want_one)
+    assert by_id((r.event_id, r.outcome) for r in two) == by_id(want_two)
+
+
+def test_order_across_chunks(spark, tmp_path):
+    _shuffled(spark, tmp_path, lambda x: S.rate_limit(x, 4), lambda x: S.lockout(x, 3, 0.5))
+
+
+def test_order_across_runs_on_disk(spark, tmp_path):
+    _shuffled(spark, tmp_path, lambda x: S.rate_limit(x, 4, held=10), lambda x: S.lockout(x, 3, 0.5, held=10))
+
+
 def test_sessions_stream(spark, tmp_path):
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     rows = [(1, at(0)), (1, at(29)), (1, at(60)), (2, at(5)), (3, at(5000))]
