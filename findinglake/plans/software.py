@@ -67,6 +67,29 @@ def _merged(spark, sf):
     return manifests.merge_manifests(rows).groupBy("manifest_path", "locked", "direct").agg(F.count("*").alias("n"))
 
 
+def _manifest_texts(spark, sf):
+    """One manifest per part, its kind by the key; version 1 package locks nest as many levels as the part's size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name, version = F.concat(F.lit("pkg"), (k % 97).cast("string")), F.concat_ws(".", size, k % 10, k % 7)
+    level = lambda i: F.concat(F.lit(',"dependencies":{"'), name, F.lit("-"), i.cast("string"), F.lit('":{"version":"'), i.cast("string"), F.lit('.0.0"'))
+    nested = F.concat(F.lit('{"lockfileVersion":1'), F.array_join(F.transform(F.sequence(F.lit(1), size), level), ""), F.repeat(F.lit("}}"), size), F.lit("}"))
+    texts = {
+        "requirements.txt": "# c\nNAME==VERSION\n", "pyproject.toml": '[project]\ndependencies=["NAME==VERSION"]\n',
+        "Pipfile.lock": '{"develop":{"NAME":{"version":"==VERSION"}}}', "poetry.lock": '[[package]]\nname="NAME"\nversion="VERSION"\n',
+        "uv.lock": '[[package]]\nname="NAME"\nversion="VERSION"\n', "package.json": '{"dependencies":{"NAME":"VERSION"}}', "package-lock.json": "",
+        "yarn.lock": '# yarn\n\nNAME@^1:\n  version "VERSION"\n', "pnpm-lock.yaml": "packages:\n\n  /NAME@VERSION:\n    dev: true\n\n",
+        "composer.json": '{"require":{"a/NAME":"VERSION"}}', "composer.lock": '{"packages":[{"name":"a/NAME","version":"vVERSION"}]}',
+    }
+    at = (k % len(texts) + 1).cast("int")
+    path = F.concat(F.lit("d"), k.cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, texts)), at))
+    plain = F.replace(F.replace(F.element_at(F.array(*map(F.lit, texts.values())), at), F.lit("NAME"), name), F.lit("VERSION"), version)
+    return A.table(spark, sf, "part").select(path.alias("path"), F.when(plain == "", nested).otherwise(plain).alias("text"))
+
+
+def _parsed(spark, sf):
+    return manifests.parse_manifests(_manifest_texts(spark, sf)).drop("version_spec")
+
+
 def _inventory(spark, sf):
     f = A.files(spark, sf)
     content = F.encode("text", "UTF-8")
@@ -134,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dependency_status": _enriched,
     "semver_order": _compare,
     "manifest_merge": _merged,
+    "manifest_parse": _parsed,
     "file_inventory": _inventory,
     "path_classify": _classify,
     "sarif_rules": _sarif_rules,
@@ -171,6 +195,14 @@ ORACLE: dict[str, str] = {
             select 'd' || s || '/lock' as manifest_path, true as locked, exists (select 1 from r where not r.locked and r.s = l.s and r.name = l.name) as direct from l
             union all select 'd' || s || '/manifest', false, true from r where not locked and s not in (select s from h))
         select manifest_path, locked, direct, count(*) as n from x group by 1, 2, 3""",
+    "manifest_parse": """with p as (select p_partkey as k, p_size as s, p_partkey % 11 as f, 'pkg' || (p_partkey % 97) as n, p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) as v from part),
+        t(f, file, ecosystem, locked, direct, dev) as (values (0, 'requirements.txt', 'PyPI', false, true, false), (1, 'pyproject.toml', 'PyPI', false, true, false),
+            (2, 'Pipfile.lock', 'PyPI', true, false, true), (3, 'poetry.lock', 'PyPI', true, false, false), (4, 'uv.lock', 'PyPI', true, false, false),
+            (5, 'package.json', 'npm', false, true, false), (7, 'yarn.lock', 'npm', true, false, false), (8, 'pnpm-lock.yaml', 'npm', true, false, false),
+            (9, 'composer.json', 'Packagist', false, true, false), (10, 'composer.lock', 'Packagist', true, false, false)),
+        d as (select k, n, unnest(range(1, s + 1)) as i from p where f = 6)
+        select 'd' || k || '/' || file as manifest_path, ecosystem, locked, case when ecosystem = 'Packagist' then 'a/' else '' end || n as name, v as version, direct, dev from p join t using (f)
+        union all select 'd' || k || '/package-lock.json', 'npm', true, n || '-' || i, i || '.0.0', i = 1, false from d""",
     "file_inventory": """with f as (select source || '/' || doc_id || '.txt' as path, coalesce(text, '') as t from documents)
         select path, cast(strlen(t) as bigint) as size, 'ANALYZED' as status,
             cast(length(t) - length(replace(t, chr(10), '')) + case when t <> '' and not suffix(t, chr(10)) then 1 else 0 end as int) as lines, sha256(t) as sha256 from f""",
