@@ -96,7 +96,8 @@ PHRASES = [
     ("terms", 0.4, "terms of service"),
 ]
 
-_GAP = "[^0-9a-z\x80-\xff]{1,8}"
+_SEP = "[^0-9a-z\x80-\xff]+"  # between words, however far a line is indented
+_GAP = "[^0-9a-z\x80-\xff]{1,8}"  # before a version's number
 _LEFT, _RIGHT = "(?<![0-9a-z\x80-\xff])", "(?![0-9a-z\x80-\xff])"
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -112,7 +113,7 @@ class Rule:
 
 
 def _phrase(text: str) -> str:
-    return _GAP.join(text.split(" ")) if "?" not in text else text.replace(" ?", "[^0-9a-z]?").replace(" ", _GAP)
+    return _SEP.join(text.split(" ")) if "?" not in text else text.replace(" ?", "[^0-9a-z]?").replace(" ", _SEP)
 
 
 def _version(v: str) -> str:
@@ -132,14 +133,14 @@ def rules() -> list[Rule]:
         for name in names:
             key = max(name.split(" "), key=len)
             for v in versions:
-                mid = f"{_GAP}(?:(?:version|v|ver){_GAP[:-5]}{{0,3}})?"
+                mid = f"(?:{_SEP}(?:version|v|ver){_GAP[:-5]}{{0,3}}|{_GAP})"
                 out.append(_rule(f"{label}-{v}", 10, 0.97, _phrase(name) + mid + _version(v), key))
             out.append(_rule(label, 20, 0.85, _phrase(name), key))
     for c in CC_CONDITIONS:
-        short = _GAP.join(["cc", *c.split("-")])
-        full = "creative" + _GAP + "commons" + "".join(_GAP + _phrase(CC_WORDS[x]) for x in c.split("-"))
+        short = _SEP.join(["cc", *c.split("-")])
+        full = "creative" + _SEP + "commons" + "".join(_SEP + _phrase(CC_WORDS[x]) for x in c.split("-"))
         for v in CC_VERSIONS:
-            tail = f"{_GAP}(?:(?:international|unported|generic|license){_GAP})?{_version(v)}"
+            tail = f"(?:{_SEP}(?:international|unported|generic|license))?{_GAP}{_version(v)}"
             out.append(_rule(f"cc-{c}-{v}", 10, 0.97, short + tail, "cc"))
             out.append(_rule(f"cc-{c}-{v}", 10, 0.97, full + tail, "creative"))
         out.append(_rule(f"cc-{c}", 19 - c.count("-"), 0.85, short, "cc"))
@@ -166,7 +167,6 @@ def _keywords():
     return found, by
 
 
-_SEP = "[^0-9a-z\x80-\xff]+"
 _BASE = [
     (label, text.split(" ")[0], re.compile(f"(?={_LEFT}{_SEP.join(text.split(' '))}{_RIGHT})")) for text, label in BASE.items()
 ]

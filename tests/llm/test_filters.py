@@ -40,6 +40,14 @@ def test_license_base_by_brute_force(spark, sf):
         assert got[want], want
 
 
+def test_license_names_over_indented_lines():
+    labels = lambda t: [x for _, _, x, _ in scan(t.lower())]
+    wrap = "\n" + " " * 12 + "# "
+    assert labels(f"GNU Lesser General{wrap}Public License") == labels("GNU Lesser General Public License") == ["lgpl"]
+    assert labels(f"the Apache{wrap}License,{wrap}Version 2.0") == ["apache-2.0"]
+    assert labels(f"Creative{wrap}Commons Attribution{wrap}International 4.0") == labels("Creative Commons Attribution International 4.0")
+
+
 def test_license_rules():
     assert len(rules()) > 250
     labels = lambda t: [x[2] for x in scan(t.lower())]
