@@ -3,7 +3,8 @@
 Every byte covered by a `length`-byte string that also starts in a document with a smaller id is removed.  In terms
 of a longest-previous-factor (LPF) array over the documents in id order, where "previous" means "in a document with
 a smaller id", a window start is marked when its LPF is at least `length`.  The LPF of a suffix is the longer common
-prefix with its previous or next smaller position in suffix order, so one sort answers all windows at once.
+prefix with its previous or next smaller position in suffix order (the nearest suffixes before and after it that are
+of a smaller document), so one sort answers all windows at once.
 
 A suffix array of the whole corpus would ship fifty bytes for each byte of text.  It is built piecewise instead:
 
@@ -11,13 +12,15 @@ A suffix array of the whole corpus would ship fifty bytes for each byte of text.
    windows whose anchor occurs in two or more documents can be repeated.  Anchors meet by hash range.
 2. Consecutive windows with one anchor form a run.  Runs with shared anchors are sent, with their bytes, to the
    range of their anchor; equal runs are folded to their smallest document before they leave a chunk.
-3. A range sorts the windows of its distinct runs (the suffix array, cut at `length` bytes; ties by document), and
-   takes previous smaller documents there.  Ties in document order put a smaller document always before a larger
-   one, so the next smaller position never gives a longer factor.
-4. Anchors found in more than `hot` documents do not meet in one place: their windows are dealt out one by one by
-   two 64-bit hashes, each chunk sending only its smallest document, and the smallest document of a window decides.
-
-Chunks, ranges and all tables grow with the input; no step holds more than a chunk or a range.
+3. A range builds the suffix array of its distinct runs (up to `length` bytes; ties by document), the common prefixes
+   of neighbours, and from the previous and next smaller documents each suffix's LPF.  Equal runs would be neighbours
+   there, so all but that of the smallest document are repeated whole and only that one takes part.
+4. An anchor found in more than `hot` documents, such as a frequent phrase, would bring its many contexts to one range.
+   The windows of such anchors are anchored again, by their smallest hashed substring of ten bytes less than a window,
+   and take the same way; what shares such an anchor is a repeated passage and folds.
+
+All comparisons are of bytes; hashes only bring together what may be equal.  Chunks, ranges and all tables grow with
+the input; no step holds more than a chunk or a range.
 """
 
 from __future__ import annotations
@@ -32,11 +35,10 @@ from pyspark.sql import functions as F
 from .blobs import pack, pack_bytes, pack_sorted, unpack, unpack_bytes, unpack_sorted
 from .textarrays import loads, mix, spans, window_hash
 
-_NULL_ID = np.iinfo(np.int64).max  # a document without id is never earlier than another
-
 
-def _anchor_size(length: int) -> int:
-    return max(8, min(16, length // 2), length - 62)
+def _anchor_size(length: int, level: int = 0) -> int:
+    """Bytes of an anchor; no run has more than 64 windows.  Level 1 is for windows whose first anchor is hot."""
+    return max(8, length - 10) if level else max(8, min(16, length // 2), length - 62)
 
 
 def _runs(buf: np.ndarray, ends: np.ndarray, length: int, block: int = 1 << 18):
@@ -86,18 +88,20 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
 
 
 class _Chunk:
-    """The documents of one chunk as one buffer, in id order."""
+    """The documents of one chunk as one buffer, in a fixed order: by id, then text, those without id last."""
 
     def __init__(self, pdf: pd.DataFrame, length: int):
-        key = pdf["id"].to_numpy().astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"].to_numpy()[order]]
-        self.rows, self.ids, self.length = order, key[order], length
+        self.pdf = pdf = pdf.assign(text=pdf["text"].fillna("")).sort_values(["no_id", "id", "text"], ignore_index=True)
+        texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+        self.ids, self.length = pdf["id"].to_numpy(), length
         self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.empty(0, np.int64)
         self.data = b"".join(texts)
         self.buf = np.frombuffer(self.data, np.uint8)
         self.start, self.count, self.anchor, self.key = _runs(self.buf, self.ends, length)
-        self.doc = self.ids[np.searchsorted(self.ends, self.start, "right")] if self.start.size else self.start
+        self.doc = self._doc(self.start)
+
+    def _doc(self, at: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.ends, at, "right")] if at.size else at
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct anchor keys and in how many documents of the chunk each occurs."""
@@ -117,37 +121,43 @@ class _Chunk:
         at = np.minimum(np.searchsorted(keys, self.key), keys.size - 1)
         return np.flatnonzero(keys[at] == self.key)
 
-    def contexts(self, keys: np.ndarray, ranges: int):
-        """Distinct runs in a fixed order: (run index -> entry, entries' bytes, smallest ids, anchor offsets, ranges)."""
-        runs = self.among(keys)
-        seen: dict[bytes, int] = {}
-        entry = np.empty(runs.size, np.int64)
-        first = []
+    def _anchored_again(self, runs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The windows of some runs as runs of level 1: start, number, anchor start, anchor key."""
+        k = _anchor_size(self.length, 1)
+        w, c = self.length - k + 1, self.count[runs]
+        nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        at = np.repeat(self.start[runs], c) + nth
+        best, where = np.full(at.size, np.iinfo(np.uint64).max), at.copy()
+        for o in range(w):
+            h = window_hash(self.buf, k, 4, at + o)
+            less = h < best
+            best[less], where[less] = h[less], (at + o)[less]
+        new = nth == 0
+        new[1:] |= where[1:] != where[:-1]
+        first = np.flatnonzero(new)
+        return at[first], np.diff(np.append(first, at.size)), where[first], mix(best[first] ^ np.uint64(0x5DEECE66D))
+
+    def contexts(self, cold: np.ndarray, hot: np.ndarray, ranges: int):
+        """For each level that has any: level, runs' starts, sizes and documents, each run's entry among the distinct
+        runs (in a fixed order), and of the entries bytes, smallest ids, anchor offsets and ranges."""
+        some = self.among(cold)
+        runs = [(0, self.start[some], self.count[some], self.anchor[some], self.key[some])]
+        runs.append((1, *self._anchored_again(self.among(hot))))
         data, size = self.data, self.length - 1
-        for i, (r, s, c) in enumerate(zip(runs.tolist(), self.start[runs].tolist(), self.count[runs].tolist())):
-            x = data[s : s + c + size]
-            e = seen.get(x)
-            if e is None:
-                e = seen[x] = len(seen)
-                first.append(r)
-            entry[i] = e
-        first = np.array(first, np.int64)
-        return runs, entry, list(seen), self.doc[first], (self.anchor - self.start)[first], _range_of(self.key[first], ranges)
-
-    def windows(self, keys: np.ndarray, ranges: int):
-        """Distinct windows of runs with hot anchors: (positions, their entry, two hashes, smallest ids, ranges)."""
-        runs = self.among(keys)
-        c = self.count[runs]
-        at = np.repeat(self.start[runs] - np.cumsum(c) + c, c) + np.arange(c.sum())
-        doc = np.repeat(self.doc[runs], c)
-        a, b = (window_hash(self.buf, self.length, x, at) for x in (1, 4))
-        order = np.lexsort((doc, b, a))
-        new = np.ones(at.size, bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        entry = np.empty(at.size, np.int64)
-        entry[order] = np.cumsum(new) - 1
-        first = order[new]
-        return at, doc, entry, a[first], b[first], doc[first], _range_of(a[first], ranges)
+        for level, start, count, anchor, key in runs:
+            if not start.size:
+                continue
+            seen: dict[bytes, int] = {}
+            entry, first = np.empty(start.size, np.int64), []
+            for i, (s, c) in enumerate(zip(start.tolist(), count.tolist())):
+                x = data[s : s + c + size]
+                e = seen.get(x)
+                if e is None:
+                    e = seen[x] = len(seen)
+                    first.append(i)
+                entry[i] = e
+            doc, f = self._doc(start), np.array(first, np.int64)
+            yield level, start, count, doc, entry, list(seen), doc[f], (anchor - start)[f], _range_of(key[f], ranges)
 
 
 def _split(ranges: np.ndarray):
@@ -159,24 +169,48 @@ def _split(ranges: np.ndarray):
             yield int(ranges[part[0]]), part
 
 
-def lpf_marks(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Which of the suffixes that start at `at` have a longest previous factor of `length` bytes or more.
+def _smaller_before(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix the common prefix with the nearest suffix before it that is of a smaller document, or 0.
 
-    The suffixes are sorted by their first `length` bytes and, where these are equal, by document; a factor is
-    previous when its document is smaller.
+    lcp: the common prefix of each suffix with the one before it (0 for the first).  Every suffix points at one before
+    it, with only documents not smaller than its own between; while that one isn't smaller either, it takes over that
+    one's pointer, so pointers double their reach in each round.
+    """
+    at, lcp = np.arange(doc.size) - 1, lcp.copy()
+    open_ = np.flatnonzero(lcp > 0)
+    while True:
+        open_ = open_[(lcp[open_] > 0)]
+        open_ = open_[doc[at[open_]] >= doc[open_]]
+        if not open_.size:
+            return lcp
+        to = at[open_]
+        less, further = np.minimum(lcp[open_], lcp[to]), at[to]
+        lcp[open_], at[open_] = less, further
+
+
+def lpf_array(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor, up to `length` bytes, of each suffix of buf that starts at `at`.
+
+    Each suffix has `length` bytes; a factor is previous when its document is smaller.  The suffixes are sorted by
+    these bytes and, where they are equal, by document.
     """
+    if not at.size:
+        return np.empty(0, np.int64)
     u = loads(buf, big=True)
-    keys = [u[at + o].astype(np.uint64) for o in [*range(0, length - 8, 8), length - 8]]
+    offsets = [*range(0, length - 8, 8), length - 8]
+    keys = [u[at + o].astype(np.uint64) for o in offsets]
     order = np.lexsort((doc, *keys[::-1]))
-    same = np.zeros(at.size, bool)  # common prefix with the neighbour before is `length` or more
-    same[1:] = True
-    for k in keys:
+    lcp = np.full(at.size, length, np.int64)
+    for o, k in zip(offsets[::-1], keys[::-1]):  # the first difference counts, so it is set last
         k = k[order]
-        same[1:] &= k[1:] == k[:-1]
-    group = np.cumsum(~same) - 1
-    smallest = doc[order][np.flatnonzero(~same)]
-    out = np.empty(at.size, bool)
-    out[order] = smallest[group] < doc[order]
+        x = np.append(np.uint64(0), k[1:] ^ k[:-1])
+        differ = np.flatnonzero(x)
+        lcp[differ] = o + sum((x[differ] < np.uint64(1 << (64 - 8 * n))).astype(np.int64) for n in range(1, 8))
+    lcp[0] = 0
+    doc = doc[order]
+    back = np.append(0, lcp[:0:-1])
+    out = np.empty(at.size, np.int64)
+    out[order] = np.maximum(_smaller_before(doc, lcp), _smaller_before(doc[::-1], back)[::-1])
     return out
 
 
@@ -203,29 +237,27 @@ def _shared(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
 def _marks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of one range: for each entry a chunk sent, which of its windows its smallest document repeats."""
     rows = []
-    pdf = pdf.sort_values("chunk")
-    runs = pdf[pdf["kind"] == "run"]
-    seen: dict[bytes, int] = {}
-    least: list[int] = []
-    offset: list[int] = []
-    sent = []
-    for b, sizes, offs, ids, data in zip(runs["chunk"], runs["a"], runs["b"], runs["ids"], runs["data"]):
-        ends = np.cumsum(unpack(sizes, np.uint16).astype(np.int64)).tolist()
-        ids, data, entry, s = unpack(ids, np.int64), unpack_bytes(data), [], 0
-        for e, d, o in zip(ends, ids.tolist(), unpack(offs, np.uint8).tolist()):
-            x = data[s:e]
-            s = e
-            i = seen.get(x)
-            if i is None:
-                i = seen[x] = len(least)
-                least.append(d)
-                offset.append(o)
-            elif d < least[i]:
-                least[i] = d
-            entry.append(i)
-        sent.append((b, ids, np.array(entry, np.int64)))
-    if seen:
-        k = _anchor_size(length)
+    for level, runs in pdf.sort_values("chunk").groupby("level"):
+        seen: dict[bytes, int] = {}
+        least: list[int] = []
+        offset: list[int] = []
+        sent = []
+        for b, sizes, offs, ids, data in zip(runs["chunk"], runs["sizes"], runs["offsets"], runs["ids"], runs["data"]):
+            ends = np.cumsum(unpack(sizes, np.uint16).astype(np.int64)).tolist()
+            ids, data, entry, s = unpack(ids, np.int64), unpack_bytes(data), [], 0
+            for e, d, o in zip(ends, ids.tolist(), unpack(offs, np.uint8).tolist()):
+                x = data[s:e]
+                s = e
+                i = seen.get(x)
+                if i is None:
+                    i = seen[x] = len(least)
+                    least.append(d)
+                    offset.append(o)
+                elif d < least[i]:
+                    least[i] = d
+                entry.append(i)
+            sent.append((b, ids, np.array(entry, np.int64)))
+        k = _anchor_size(length, int(level))
         groups: dict[bytes, int] = {}
         texts = list(seen)
         group = np.array([groups.setdefault(x[o : o + k], len(groups)) for x, o in zip(texts, offset)])
@@ -237,26 +269,11 @@ def _marks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
             c = sizes - length + 1
             nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             at = np.repeat(np.cumsum(sizes) - sizes, c) + nth
-            hit = lpf_marks(buf, at, np.repeat(doc[several], c), length)
+            hit = lpf_array(buf, at, np.repeat(doc[several], c), length) >= length
             np.bitwise_or.at(mask, np.repeat(several, c)[hit], np.uint64(1) << nth[hit].astype(np.uint64))
         for b, ids, entry in sent:
-            m = np.where(doc[entry] < ids, ~np.uint64(0), mask[entry])
-            rows.append((b, "run", pack(m)))
-    wins = pdf[pdf["kind"] == "window"]
-    if len(wins):
-        a, b2, ids = ([unpack(x, t) for x in wins[c]] for c, t in (("a", np.uint64), ("b", np.uint64), ("ids", np.int64)))
-        owner = np.repeat(np.arange(len(wins)), [x.size for x in a])
-        a, b2, ids = np.concatenate(a), np.concatenate(b2), np.concatenate(ids)
-        order = np.lexsort((ids, b2, a))
-        new = np.ones(a.size, bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b2[order][1:] != b2[order][:-1])
-        hit = np.empty(a.size, bool)
-        hit[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1] < ids[order]
-        for i, b in enumerate(wins["chunk"]):
-            rows.append((b, "window", pack(hit[owner == i].view(np.uint8))))
-    out = pd.DataFrame(rows, columns=["chunk", "kind", "mask"])
-    out["range"] = pdf["range"].iloc[0]
-    return out
+            rows.append((b, int(level), pack(np.where(doc[entry] < ids, ~np.uint64(0), mask[entry]))))
+    return pd.DataFrame(rows, columns=["chunk", "level", "mask"]).assign(range=pdf["range"].iloc[0])
 
 
 def remove_repeats(
@@ -270,19 +287,23 @@ def remove_repeats(
     """Removes repeated passages; returns doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and `keep`.
 
     One row per input row.  Texts are UTF-8; a null text is empty.  Documents with equal ids (repeated rows) are
-    not earlier than each other, and one without id is earlier than none, so neither loses bytes to the other.
-    Columns other than doc_id, text and those named in keep (which must not be called like a result) are not read.
+    not earlier than each other, so neither loses bytes to the other.  A document without id stands beside the largest
+    id there can be, after all others: no other loses bytes to it.  Columns other than doc_id, text and those named in keep (which must not be
+    called like a result) are not read.
 
-    hot: anchors of more documents than this are resolved window by window.  chunk_bytes, range_bytes: text for each
+    hot: anchors of more documents than this are divided; the result is the same.  chunk_bytes, range_bytes: text for each
     chunk of documents and each range of anchors; their numbers follow from the size of the input.
     """
     spark: SparkSession = docs.sparkSession
     types = dict(docs.dtypes)
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), "text", *keep)
+    names = {f"keep{i}": c for i, c in enumerate(keep)}  # no clash with columns of the operator's own
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, ranges = max(least, total // chunk_bytes), max(least, total // range_bytes)
-    parts = docs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).groupBy("chunk")
+    parts = docs.select(
+        F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text",
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), *(F.col(c).alias(n) for n, c in names.items()),
+    ).groupBy("chunk")
 
     def anchors(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _Chunk(pdf, length).anchors()
@@ -300,48 +321,31 @@ def remove_repeats(
     def entries(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(pdf) and len(told):
-            b, chunk, (cold, many) = pdf["chunk"].iloc[0], _Chunk(pdf, length), known(told)
-            _, _, texts, ids, offs, rng = chunk.contexts(cold, ranges)
-            for r, i in _split(rng):
-                own = [texts[j] for j in i.tolist()]
-                sizes = np.array([len(x) for x in own], np.uint16)
-                rows.append((r, b, "run", pack(sizes), pack(offs[i].astype(np.uint8)), pack(ids[i]), pack_bytes(b"".join(own))))
-            if many.size:
-                _, _, _, x, y, ids, rng = chunk.windows(many, ranges)
-                rows += [(r, b, "window", pack(x[i]), pack(y[i]), pack(ids[i]), b"") for r, i in _split(rng)]
-        return pd.DataFrame(rows, columns=["range", "chunk", "kind", "a", "b", "ids", "data"])
+            b = int(pdf["chunk"].iloc[0])
+            for level, _, _, _, _, texts, ids, offs, rng in _Chunk(pdf, length).contexts(*known(told), ranges):
+                for r, i in _split(rng):
+                    own = [texts[j] for j in i.tolist()]
+                    sizes = np.array([len(x) for x in own], np.uint16)
+                    rows.append((r, b, level, pack(sizes), pack(offs[i].astype(np.uint8)), pack(ids[i]), pack_bytes(b"".join(own))))
+        return pd.DataFrame(rows, columns=["range", "chunk", "level", "sizes", "offsets", "ids", "data"])
 
     def cut(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
+        columns = ["id", "no_id", "n_bytes", "n_removed", "n_spans", "kept"]
         if not len(pdf):
-            return pd.DataFrame([], columns=[*names, *keep])
+            return pd.DataFrame([], columns=[*columns, *names])
         chunk = _Chunk(pdf, length)
         mark = np.zeros(chunk.buf.size + 1, np.int32)
-        cold, many = known(told[told["kind"] == "known"])
-        masks = {(k, r): m for k, r, m in zip(told["kind"], told["range"], told["mask"])}
-
-        def gathered(kind, rng, dtype):
-            out = np.zeros(rng.size, dtype)
+        masks = {(k, r): m for k, r, m in zip(told["level"], told["range"], told["mask"]) if m is not None}
+        for level, start, count, doc, entry, _, ids, _, rng in chunk.contexts(*known(told[told["level"] < 0]), ranges):
+            m = np.zeros(rng.size, np.uint64)
             for r, i in _split(rng):
-                out[i] = unpack(masks[kind, r], dtype)
-            return out
-
-        marked = []
-        if cold.size:
-            runs, entry, _, ids, _, rng = chunk.contexts(cold, ranges)
-            m = gathered("run", rng, np.uint64)[entry]
-            m[chunk.doc[runs] > ids[entry]] = ~np.uint64(0)
-            runs, m = runs[m != 0], m[m != 0]
-            c = chunk.count[runs]
+                m[i] = unpack(masks[level, r], np.uint64)
+            m = m[entry]
+            m[doc > ids[entry]] = ~np.uint64(0)
+            start, c, m = start[m != 0], count[m != 0], m[m != 0]
             nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             hit = (np.repeat(m, c) >> nth.astype(np.uint64)) & np.uint64(1) == 1
-            marked.append((np.repeat(chunk.start[runs], c) + nth)[hit])
-        if many.size:
-            at, doc, entry, _, _, ids, rng = chunk.windows(many, ranges)
-            hit = gathered("window", rng, np.uint8)[entry] == 1
-            marked.append(at[hit | (doc > ids[entry])])
-        if marked:
-            at = np.unique(np.concatenate(marked))
+            at = (np.repeat(start, c) + nth)[hit]
             np.add.at(mark, at, 1)
             np.add.at(mark, at + length, -1)
         gone = np.cumsum(mark[:-1]) > 0
@@ -354,11 +358,10 @@ def remove_repeats(
         rest = chunk.buf[~gone].tobytes()
         left = np.append(0, np.cumsum(~gone, dtype=np.int64))
         rows = [
-            (d, e - s, int(lost[e] - lost[s]), int(new[e] - new[s]), rest[left[s] : left[e]])
-            for d, s, e in zip(chunk.ids.tolist(), starts.tolist(), chunk.ends.tolist())
+            (d, no, e - s, int(lost[e] - lost[s]), int(new[e] - new[s]), rest[left[s] : left[e]])
+            for d, no, s, e in zip(chunk.ids.tolist(), chunk.pdf["no_id"].tolist(), starts.tolist(), chunk.ends.tolist())
         ]
-        out = pd.DataFrame(rows, columns=names)
-        return out.assign(**{c: pdf[c].to_numpy()[chunk.rows] for c in keep})
+        return pd.concat([pd.DataFrame(rows, columns=columns), chunk.pdf[list(names)]], axis=1)
 
     shared = (
         parts.applyInPandas(anchors, "range int, chunk int, keys binary, counts binary")
@@ -367,15 +370,17 @@ def remove_repeats(
     )
     marks = (
         parts.cogroup(shared.groupBy("chunk"))
-        .applyInPandas(entries, "range int, chunk int, kind string, a binary, b binary, ids binary, data binary")
+        .applyInPandas(entries, "range int, chunk int, level int, sizes binary, offsets binary, ids binary, data binary")
         .groupBy("range")
-        .applyInPandas(lambda pdf: _marks(pdf, length), "chunk int, kind string, mask binary, range int")
+        .applyInPandas(lambda pdf: _marks(pdf, length), "chunk int, level int, mask binary, range int")
     )
-    told = marks.unionByName(shared.withColumn("kind", F.lit("known")), allowMissingColumns=True)
+    told = marks.unionByName(shared.withColumn("level", F.lit(-1)), allowMissingColumns=True)
+    kept = ", ".join(f"`{n}` {types[c]}" for n, c in names.items())
     out = parts.cogroup(told.groupBy("chunk")).applyInPandas(
-        cut, ", ".join(["id long, n_bytes long, n_removed long, n_spans long, kept binary", *(f"`{c}` {types[c]}" for c in keep)])
+        cut, "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary" + (kept and f", {kept}")
     )
-    return out.select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", *keep)
+    doc_id = F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
+    return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept", *(F.col(n).alias(c) for n, c in names.items()))
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from findinglake.llm.suffix_dedup import remove_repeats, remove_repeats_by_brute_force
+import numpy as np
+
+from findinglake.llm.suffix_dedup import lpf_array, remove_repeats, remove_repeats_by_brute_force
 
 
 def _texts(seed=1, n=60):
@@ -44,3 +46,35 @@ def test_nulls_ties_and_empty(spark):
     assert out[(3, len(long))] == (0, 0) and out[(4, len(long))] == (len(long), 1)
     assert out[(None, len(long))] == (len(long), 1) and out[(1, 0)] == out[(2, 0)] == (0, 0)
     assert remove_repeats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_lpf_array_by_definition():
+    rnd = np.random.default_rng(3)
+    for length in (9, 16, 50):
+        buf = rnd.integers(0, 2, 700).astype(np.uint8)
+        buf[400:480] = buf[100:180]
+        at = np.sort(rnd.choice(700 - length, 300, replace=False))
+        doc = rnd.integers(0, 40, 300)
+        got = lpf_array(buf, at, doc, length)
+        for i in range(300):
+            own, best = buf[at[i] : at[i] + length], 0
+            for j in np.flatnonzero(doc < doc[i]):
+                differ = np.flatnonzero(own != buf[at[j] : at[j] + length])
+                best = max(best, int(differ[0]) if differ.size else length)
+            assert got[i] == best
+
+
+def test_large_ids_long_texts_and_columns(spark):
+    """Ids that no float holds, the largest id, repeated ids of other texts, one very long text, clashing columns."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    long = " ".join(rnd.choice(words) for _ in range(60_000))
+    part = long[100_000:100_300]
+    rows = [(2**53, "x " + part), (2**53 + 1, part), (2**63 - 1, part[40:200]), (7, long), (7, part[::-1]), (8, part[::-1])]
+    df = spark.createDataFrame([(d, t, d, "k") for d, t in rows], "doc_id long, text string, id long, mask string")
+    for hot in (1, 4000):
+        out = remove_repeats(df, 50, hot=hot, keep=("id", "mask")).collect()
+        assert all(r.id == r.doc_id and r.mask == "k" for r in out)
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out)
+        assert [r[:4] for r in got] == [(7, 300, 0, 0), (7, len(long), 0, 0), (8, 300, 300, 1), (2**53, 302, 300, 1),
+                                        (2**53 + 1, 300, 300, 1), (2**63 - 1, 160, 160, 1)]
