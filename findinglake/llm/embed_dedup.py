@@ -93,7 +93,7 @@ def embedding_groups(
     Vectors link when their labels are equal and their cosine, in double precision, is `least` or more.  A vector that
     is null, zero, or holds null or non-finite components, and one without label or vec_id, links with nothing;
     vectors of different lengths don't link.  Equal rows are vectors of their own and link with each other.  kept is
-    true for the smallest vec_id of a component and for rows without vec_id.
+    true for the smallest vec_id of a component, and null for rows without vec_id.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     fit = (
@@ -153,5 +153,4 @@ def embedding_groups(
     )
     out = valid.join(known, ["label", "hash", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return out.unionByName(rest).withColumn("kept", kept)
+    return out.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
