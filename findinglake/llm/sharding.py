@@ -2,13 +2,14 @@
 
 A uniform permutation of all rows, cut into shards of fixed sizes, sends from each partition of the input a random
 number of rows to each shard.  These numbers follow a multivariate hypergeometric law and are drawn first: a table of
-partitions by shards, small whatever the rows hold.  Then each partition permutes its rows and deals them out by its
+partitions by shards with `most` lines at most, however large the input.  Then each partition permutes its rows and deals them out by its
 line of the table, the rows are exchanged, and each shard permutes what it received.  No global sort is needed, and
 the shards' sizes are exact.
 
-Rows are handled by DataFrame functions only.  Partitions are hash classes of about `rows` rows each, not Spark's
-own, so a lost executor's work is repeated with the same result; shards are permuted in blocks of that size, which
-are placed one after the other.
+Rows are handled by DataFrame functions only.  Partitions are hash classes of about `rows` rows each, or more where
+that would be over `most` of them, not Spark's own, so a lost executor's work is repeated with the same result; shards
+are permuted in blocks of that size, which are placed one after the other.  Equal rows are counted first and told apart
+by their number, so they spread over partitions and blocks like others.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def communication_matrix(rows: list[int], shards: list[int], rnd: random.Random)
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, seed: int = 1, rows: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, seed: int = 1, rows: int = 20_000, most: int = 4096) -> DataFrame:
     """Per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: the shards' row counts are at most one apart, and slots run from 0 without gaps in each shard.
@@ -83,12 +84,13 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 1, rows: int = 20_000) -
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + F.lit(1)).cast("long")
-    table = cut_lineage(docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32")))
-    order = ["doc_id", "text_crc32", "size"]
+    order = ["doc_id", "text_crc32", "size", "copy"]
+    table = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32")).groupBy(*order[:3]).agg(F.count("*").alias("n"))
+    table = cut_lineage(table.select(*order[:3], F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")))
     total = table.count()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    parts = max(2 * least, -(-total // rows))
+    parts = min(most, max(2 * least, -(-total // rows)))
     table = table.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     counts = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.count("*").alias("n")).collect())
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
@@ -101,15 +103,15 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 1, rows: int = 20_000) -
         keys = ", ".join(order)
         return F.expr(f"row_number() over (partition by {by} order by xxhash64({seed}, {salt}, {keys}), {keys})")
 
-    # The table of lines has one row for each partition, rows / 20,000 of them.
+    # The table of lines has one row for each partition, `most` at most.
     dealt = table.withColumn("nth", shuffled("part", 1)).join(F.broadcast(deal), "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("upto", lambda u: u < F.col("nth"))).cast("int"))
-    blocks = max(1, -(-least // 2), -(-total // (rows * shards)))
+    blocks = min(max(1, most // shards), max(1, -(-least // 2), -(-total // (rows * shards))))
     block = F.pmod(F.xxhash64(F.lit(seed), F.lit(2), *order), F.lit(blocks)).cast("int")
     dealt = cut_lineage(dealt.select(*order, "shard", block.alias("block")))
 
     filled = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    # One row for each block of each shard, rows / 20,000 of them in all.
+    # One row for each block of each shard, `most` or the number of shards in all at most.
     before = filled.select(
         "shard", "block", F.expr("sum(n) over (partition by shard order by block) - n").alias("before")
     )
