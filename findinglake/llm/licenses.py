@@ -10,6 +10,7 @@ Texts are lower-cased in A-Z only.  A word is a run of digits, letters a-z and c
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textarrays import blocks, spans
 
@@ -180,9 +182,15 @@ def scan(text: str) -> list[tuple[int, int, str, float]]:
         for r in by[k]:
             hits += [(r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.confidence) for m in r.pattern.finditer(text)]
     taken: list[tuple[int, int, str, float]] = []
+    starts: list[int] = []  # of those taken, the ones that no other contains: both lists rise
+    ends: list[int] = []
     for _, _, s, e, label, confidence in sorted(hits):
-        if not any(a <= s and e <= b for a, b, _, _ in taken):
-            taken.append((s, e, label, confidence))
+        i = bisect.bisect_right(starts, s)
+        if i and ends[i - 1] >= e:
+            continue
+        taken.append((s, e, label, confidence))
+        i, j = bisect.bisect_left(starts, s), bisect.bisect_right(ends, e)
+        starts[i:j], ends[i:j] = [s], [e]
     return sorted(taken)
 
 
@@ -194,19 +202,19 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     no other contains; detections are their byte spans.  score is 1 - prod(1 - confidence) over the labels.
     A null or empty text has no words, empty label strings and score 0.  One pass, no shuffle.
     """
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
+    names = ["id", "no_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
 
     def run(batches):
         for pdf in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in pdf["text"]]
             rows = []
-            ids = pdf["doc_id"].tolist()
+            ids, none = pdf["id"].tolist(), pdf["no_id"].tolist()
             for i, j in blocks(texts):
                 buf = np.frombuffer(b" ".join(texts[i:j]) + b" ", np.uint8)
                 starts, _ = spans(_WORD[buf])
                 bounds = np.cumsum([0, *(len(t) + 1 for t in texts[i:j])])
                 first = np.searchsorted(starts, bounds)
-                for d, t, at, a, b in zip(ids[i:j], texts[i:j], bounds.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                for d, no, t, at, a, b in zip(ids[i:j], none[i:j], texts[i:j], bounds.tolist(), first[:-1].tolist(), first[1:].tolist()):
                     x = t.decode("latin-1")
                     base, places = set(), []
                     for label, key, pattern in _BASE:
@@ -221,15 +229,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                         best[label] = max(c, best.get(label, 0))
                     index = np.searchsorted(starts[a:b], np.array(places, np.int64) + at) if places else None
                     rows.append(
-                        (d, b - a, len(places), int(index.min()) if places else None, int(index.max()) if places else None,
+                        (d, no, b - a, len(places), int(index.min()) if places else None, int(index.max()) if places else None,
                          ",".join(sorted(base)), ",".join(sorted(best)),
                          round(1 - float(np.prod([1 - c for c in best.values()])), 6) if best else 0.0,
                          [{"start": s, "end": e, "label": label} for s, e, label, _ in found])
                     )
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    out = rows.mapInPandas(
         run,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+        "id long, no_id boolean, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, detections array<struct<start:int,end:int,label:string>>",
     )
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), *names[2:])
