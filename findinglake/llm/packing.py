@@ -3,8 +3,8 @@
 Each document is tokenised where it is read, in one pass; only lengths and checksums of its pieces move on.  Pieces
 of full length are a sequence each.  The rest are dealt into packing groups of about `group_rows` pieces by a hash;
 each group is packed by best-fit decreasing, with a segment tree over remaining capacities that finds the tightest
-open sequence in logarithmic time.  A group wastes about as much as one open sequence, so with many pieces in each the
-total stays within a fraction of a percent of packing all of them in one task.
+open sequence in logarithmic time.  At most one sequence of a group stays half empty or more; the pieces of these are
+dealt and packed again, in as many groups fewer, until one group is left.
 """
 
 from __future__ import annotations
@@ -75,8 +75,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_PIECE = "id long, no_id boolean, piece int, start long"
+
+
 def pieces(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int = 1) -> DataFrame:
-    """Per piece of each document: doc_id, piece, start, length, ids_crc32.  One pass, no shuffle."""
+    """Per piece of each document: id and no_id (without id: 0, true), piece, start, length, ids_crc32.  No shuffle."""
     path = path or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -87,17 +90,15 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: i
         encode = encoder(path)
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+            for d, no, t in zip(pdf["id"].tolist(), pdf["no_id"].tolist(), pdf["text"].tolist()):
                 ids = encode(t or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+                    rows.append((d, no, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(rows, columns=["id", "no_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
-    )
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    return rows.mapInPandas(run, f"{_PIECE}, length long, ids_crc32 long")
 
 
 class _Capacities:
@@ -155,21 +156,35 @@ def pack(
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; only documents over `size` are cut.  A null text is empty and so one token.
-    Repeated rows are packed as often as they occur; a null id stays null.  Sequence ids are group * 2^32 + number.
+    Repeated rows are packed as often as they occur; a null id stays null.  Sequence ids are made of the
+    round, group and number.  Columns other than doc_id and text are not read.
     """
     found = cut_lineage(pieces(docs, path, size, end_id))
     part = F.col("length") < size
-    n = found.where(part).count()
-    groups = max(1, -(-n // group_rows))
-    rest = found.where(part).withColumn("pack", F.pmod(F.xxhash64("doc_id", "ids_crc32", "piece"), F.lit(groups)))
+    order = ["no_id", "id", "piece", "ids_crc32"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
+        pdf = pdf.sort_values(["length", *order], ascending=[False, *[True] * len(order)])
         s, o = best_fit(pdf["length"].to_numpy(), size)
-        return pdf.assign(sequence_id=s + (int(pdf["pack"].iloc[0]) << 32), offset=o).drop(columns="pack")
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        fill = np.bincount(s, pdf["length"], s.max() + 1)
+        return pdf.assign(sequence_id=s + int(pdf["pack"].iloc[0]), offset=o, loose=2 * fill[s] <= size).drop(columns="pack")
+
+    schema = f"{_PIECE}, length long, ids_crc32 long, sequence_id long, offset long"
+    rest, done, level = found.where(part), [], 0
+    groups = max(1, -(-rest.count() // group_rows))
+    while True:
+        pack_ = F.pmod(F.xxhash64(*order, F.lit(level)), F.lit(groups)) * (1 << 32) + F.lit(level << 58)
+        dealt = rest.withColumn("pack", pack_.cast("long")).groupBy("pack").applyInPandas(one, f"{schema}, loose boolean")
+        if groups == 1:
+            done.append(dealt.drop("loose"))
+            break
+        dealt = cut_lineage(dealt)
+        done.append(dealt.where("not loose").drop("loose"))
+        rest = dealt.where("loose").drop("sequence_id", "offset", "loose")
+        groups, level = min(groups - 1, max(1, -(-rest.count() // group_rows))), level + 1
     whole = found.where(~part).withColumns(
         {"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 62), "offset": F.lit(0).cast("long")}
     )
-    return rest.groupBy("pack").applyInPandas(one, schema).unionByName(whole)
+    out = functools.reduce(DataFrame.unionByName, [*done, whole])
+    doc_id = F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
+    return out.select(doc_id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
