@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import _TABLE, blocks, mix, spans
+from .textarrays import _TABLE, blocks, mix, span_hashes, spans
 
 BITS = 18
 _PREFIXES = (4, 5, 6, 7, 8)
@@ -53,21 +53,14 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     n = e - s
     out = np.empty((len(_PREFIXES) + 1, s.size), np.int32)
     h = np.zeros(s.size, np.uint64)
-    row = 0
-    longest = int(n.max(initial=0))
     limit = buf.size - 1
     shift = np.uint64(64 - BITS)
-    for size in range(1, min(longest, 24) + 1):
-        live = n >= size
+    for size in range(1, _PREFIXES[-1] + 1):  # of a shorter word, its prefixes are itself
         step = _TABLE[buf[np.minimum(s + size - 1, limit)]]
-        h = np.where(live, (h ^ step) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size), h)
+        h = np.where(n >= size, (h ^ step) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size), h)
         if size in _PREFIXES:
-            out[row] = (mix(h ^ np.uint64(0xABCD)) >> shift).astype(np.int32)
-            row += 1
-    while row < len(_PREFIXES):  # only short words here
-        out[row] = (mix(h ^ np.uint64(0xABCD)) >> shift).astype(np.int32)
-        row += 1
-    out[-1] = (mix(h ^ n.astype(np.uint64)) >> shift).astype(np.int32)
+            out[_PREFIXES.index(size)] = (mix(h ^ np.uint64(0xABCD)) >> shift).astype(np.int32)
+    out[-1] = (span_hashes(buf, s, e) >> shift).astype(np.int32)
     return out.T, sentence, doc, np.stack([begin, ends[used]])
 
 
@@ -164,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 2500, longest: int =
     if len(counts) < 2:
         return none
     share = F.when(F.col("y") == 1, bound / counts[1]).otherwise(bound / counts[0])
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < share * (1 << 40))
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(sample), "doc_id")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,15 +178,20 @@ def score_documents(docs: DataFrame, w: np.ndarray) -> DataFrame:
     A null or empty text scores 0.  One row per input row; no shuffle.  Columns of docs named score or sentences are
     replaced.
     """
+    import pyarrow as pa
+
     docs = docs.drop("score", "sentences")
     schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("sentences")).schema
+    at = docs.columns.index("text")
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for pdf in batches:
-            p, s = score([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]], w)
-            yield pdf.assign(score=p, sentences=[[{"start": a, "end": b} for a, b in x] for x in s])
+        for batch in batches:  # the other columns pass through as they are
+            p, s = score([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()], w)
+            found = pa.array([[{"start": a, "end": b} for a, b in x] for x in s], spans_type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), found], names=[*batch.schema.names, "score", "sentences"])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = 2500) -> DataFrame:
