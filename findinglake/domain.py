@@ -22,3 +22,21 @@ UNKNOWN_WEIGHT = {"severity": 0.0, "confidence": 0.0, "exploitability": 0.65}
 SATURATION = 25.0
 # Report order of retest results.
 RETEST_ORDER = ["REGRESSION", "NEW", "STILL_OPEN", "NOT_TESTED", "NOT_REPRODUCED", "RESOLVED"]
+# Roles from lowest to highest, those that see all projects of their organization, and what each role may do
+# besides what lower ones may.
+ROLES = ["VIEWER", "DEVELOPER", "SECURITY_ANALYST", "ADMIN", "OWNER"]
+ORG_WIDE_ROLES = ["SECURITY_ANALYST", "ADMIN", "OWNER"]
+PERMISSIONS = {
+    "VIEWER": ["project:read", "scan:read", "finding:read", "report:read", "aisec:read"],
+    "DEVELOPER": [
+        "scan:create", "finding:update_status", "ai_analysis:request", "remediation:create", "remediation:decide", "report:create",
+    ],
+    "SECURITY_ANALYST": [
+        "project:create", "scan:cancel", "finding:triage", "aisec:run", "aisec:manage", "integration:read", "settings:read", "member:read",
+    ],
+    "ADMIN": [
+        "project:update", "project:delete", "project:members:manage", "integration:manage", "settings:manage", "audit:read",
+        "member:manage", "apikey:manage",
+    ],
+    "OWNER": [],
+}

@@ -2,7 +2,9 @@
 
 A finding has finding_id, project_id, severity, status, confidence, exploitability, verification, first_seen_at and
 resolved_at.  All operators are DataFrame expressions; group-bys combine before they shuffle, and top lists are
-TakeOrderedAndProject, so no result passes one task whole.
+TakeOrderedAndProject, so no result passes one task whole.  Unless said otherwise, rows with a null key form a group of
+their own, null values are unknown ones (lowest rank), ties go to the smallest id, repeated rows count each, and an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from findinglake.domain import ACTIVE, RETEST_ORDER, SATURATION, SEVERITIES, UNKNOWN_WEIGHT, WEIGHTS
 from findinglake.functions.columns import confidence_rank, digest, lookup, normalise_code, rank, severity_rank
+from findinglake.operators.numbering import last_before, numbered
 
 
 def active() -> Column:
@@ -127,31 +130,30 @@ def latest(rows: DataFrame, key: str, time: str, tie: str, *columns: str) -> Dat
 
 
 def default_baseline(scans: DataFrame) -> DataFrame:
-    """For each scan, the latest completed scan before it in the same project (null: none)."""
-    before = Window.partitionBy("project_id").orderBy("finished_at", "scan_id").rowsBetween(Window.unboundedPreceding, -1)
+    """For each scan, the latest completed scan before it in the same project (null: none), by finished_at, then scan_id."""
     done = F.when(F.col("status") == "COMPLETED", F.col("scan_id"))
-    return scans.select("scan_id", F.last(done, ignorenulls=True).over(before).alias("baseline_id"))
+    return last_before(scans, "project_id", "finished_at", "scan_id", done, "baseline_id").select("scan_id", "baseline_id")
 
 
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    ranked = rows.select(F.struct(*(F.col(c) for c in rows.columns)).alias("row"), F.row_number().over(w).alias("nth"))
+    return ranked.where("nth = 1").select("row.*")
 
 
 def public_ids(findings: DataFrame, prefix: str = "FL") -> DataFrame:
     """Numbers per project in the canonical order: worst severity, then confidence, then id."""
-    w = Window.partitionBy("project_id").orderBy(
-        severity_rank(F.col("severity")).desc(), confidence_rank(F.col("confidence")).desc(), "finding_id"
-    )
-    return findings.select("finding_id", "project_id", F.format_string(f"{prefix}-%03d", F.row_number().over(w)).alias("public_id"))
+    order = {"severity": -severity_rank(F.col("severity")), "confidence": -confidence_rank(F.col("confidence"))}
+    rows = numbered(findings.select("finding_id", "project_id", "severity", "confidence"), "project_id", order, "finding_id")
+    return rows.select("finding_id", "project_id", F.format_string(f"{prefix}-%03d", "nth").alias("public_id"))
 
 
 def proven_supersedes(hits: DataFrame, keys: list[str], proven: Column) -> DataFrame:
     """Unproven hits go where a hit of the same keys is proven."""
-    rows = hits.withColumn("_p", F.coalesce(proven, F.lit(False)))
-    known = rows.where("_p").select(*keys).distinct()
-    return rows.where("_p").unionByName(rows.where("not _p").join(known, keys, "left_anti")).drop("_p")
+    yes = F.coalesce(proven, F.lit(False))
+    known = hits.where(yes).select(*keys).distinct()
+    return hits.where(yes).unionByName(hits.where(~yes).join(known, keys, "left_anti").select(*hits.columns))
 
 
 def merged_weights(overrides: dict | None = None) -> tuple[dict, float]:
@@ -179,9 +181,12 @@ def risk_index(findings: DataFrame, by: str, overrides: dict | None = None, opti
     """Per group: 100 * (1 - e^(-sum / saturation)) with one decimal, and the risk that was accepted."""
     _, k = merged_weights(overrides)
     accepted = F.when(F.col("status") == "ACCEPTED_RISK", finding_risk(overrides, True, optional)).otherwise(0.0)
-    out = findings.groupBy(by).agg(F.sum(finding_risk(overrides, False, optional)).alias("t"), F.sum(accepted).alias("a"))
-    index = F.when(F.col("t") > 0, F.round(100 * (1 - F.exp(-F.col("t") / k)), 1)).otherwise(0.0)
-    return out.select(by, index.alias("risk_index"), F.round("t", 3).alias("total_risk"), F.round("a", 3).alias("accepted_risk"))
+    # Decimals: their sums don't depend on order, and halves are rounded up.
+    total = lambda c: F.sum(c.cast("decimal(38,12)"))
+    out = findings.groupBy(by).agg(total(finding_risk(overrides, False, optional)).alias("t"), total(accepted).alias("a"))
+    index = F.when(F.col("t") > 0, F.round(100 * (1 - F.exp(-F.col("t").cast("double") / k)), 1)).otherwise(0.0)
+    three = lambda c: F.round(c, 3).cast("double")
+    return out.select(by, index.alias("risk_index"), three("t").alias("total_risk"), three("a").alias("accepted_risk"))
 
 
 def gate(

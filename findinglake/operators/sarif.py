@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findinglake.functions.columns import lookup
+from findinglake.functions.columns import lookup, markdown_escape, severity_rank
 
 # SARIF levels, security-severity numbers and precisions.
 LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
@@ -16,17 +16,19 @@ def level(severity: Column) -> Column:
 
 
 def rules(findings: DataFrame) -> DataFrame:
-    """rule_id, rule_index (by first ord) and rule, the JSON, of each distinct rule.
+    """rule_id, rule_index (by first ord) and rule, the JSON, of each distinct rule; its level is that of its worst finding.
 
     findings: ord, rule_id, vuln_class, severity, title, cwe (array).  The rules are few whatever the findings: they are
     first reduced to one row each, and only those meet in the window.
     """
-    first = findings.groupBy("rule_id").agg(F.min(F.struct("ord", "vuln_class", "severity", "title", "cwe")).alias("f"))
+    first = findings.groupBy("rule_id").agg(
+        F.min(F.struct("ord", "vuln_class", "title", "cwe")).alias("f"), F.max_by("severity", severity_rank(F.col("severity"))).alias("worst")
+    )
     index = F.row_number().over(Window.orderBy("f.ord", "rule_id")) - 1
     name = F.replace(F.initcap(F.replace(F.col("f.vuln_class"), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
     rule = F.struct(
         F.col("rule_id").alias("id"), name.alias("name"), F.struct(F.col("f.title").alias("text")).alias("shortDescription"),
-        F.struct(level(F.col("f.severity")).alias("level")).alias("defaultConfiguration"),
+        F.struct(level(F.col("worst")).alias("level")).alias("defaultConfiguration"),
         F.struct(F.concat(F.array(F.lit("security")), F.coalesce("f.cwe", F.array().cast("array<string>"))).alias("tags")).alias("properties"),
     )
     return first.select("rule_id", index.alias("rule_index"), F.to_json(rule).alias("rule"))
@@ -56,6 +58,6 @@ def results(findings: DataFrame) -> DataFrame:
 
 def markdown_rows(findings: DataFrame, most: int = 25) -> DataFrame:
     """ord and row: a Markdown table's rows of the first findings (the limit is the report's own)."""
-    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"([\\`*_|<>\[\]])", r"\\$1"), r"\s+", " ")
+    cell = markdown_escape
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(F.col(c)) for c in ("severity", "title", "path", "line"))), F.lit(" |"))
     return findings.orderBy("ord").limit(most).select("ord", row.alias("row"))

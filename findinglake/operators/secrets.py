@@ -1,7 +1,8 @@
 """Secrets in text: detection line by line, and masking of whole texts.  All of it is JVM expressions; nothing shuffles.
 
 Each pattern is one branch of an array expression behind its keyword test, so a line without keywords costs some
-`contains` calls, and a hot file is cut into lines before any pattern runs.
+`contains` calls, and a hot file is cut into lines before any pattern runs.  A line's hits are judged in their array
+and exploded last, so each pattern runs once and repeated rows stay apart.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from findinglake.functions.columns import entropy, mask_secret
 
-LINE_MAX = 4000
 _BREAKS = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Fixed values: (id, pattern, group of the value, severity, confidence, keywords, least entropy, generic, only in
@@ -104,46 +104,61 @@ def _of_pattern(p: Column, field: int) -> Column:
     return F.element_at(F.array(*(F.lit(row[field]) for row in PATTERNS)), p + 1)
 
 
-def scan_secrets(files: DataFrame) -> DataFrame:
+_RESULT = ["detector", "line", "col", "value", "masked", "entropy", "severity", "confidence"]
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _judged(hits: Column, line: Column) -> Column:
+    """The hits of a line that count: good values, each once for the first pattern, without generic ones around others."""
+
+    def checked(x: Column) -> Column:
+        p, value = x["p"], x["value"]
+        return F.struct(p.alias("p"), value.alias("value"), entropy(value).alias("h"), looks_placeholder(value).alias("fake"), _of_pattern(p, 7).alias("generic"))
+
+    def good(x: Column) -> Column:
+        kind = _of_pattern(x["p"], 0)
+        fake = x["fake"] & (x["generic"] | (kind == "connection-string"))
+        return (x["h"] >= _of_pattern(x["p"], 6)) & ~fake & ~((kind == "private-key") & line.contains("PUBLIC"))
+
+    def first(rows: Column) -> Column:
+        return _let(F.transform(rows, lambda r: r["value"]), lambda v: F.filter(rows, lambda r, i: F.array_position(v, r["value"]) == i + 1))
+
+    def own(rows: Column) -> Column:
+        around = lambda r, s: ~s["generic"] & r["value"].contains(s["value"])
+        return F.filter(rows, lambda r: ~(r["generic"] & F.exists(rows, lambda s: around(r, s))))
+
+    return _let(_let(F.filter(F.transform(hits, checked), good), first), own)
+
+
+def scan_secrets(files: DataFrame, line_max: int | None = None) -> DataFrame:
     """file columns but text, and detector, line, col, value, masked, entropy, severity, confidence of each secret.
 
-    files has path and text; null texts have no secrets.  Lines are read up to 4000 characters.  A value counts once
-    per line, for the first pattern that accepts it; a generic match that holds a provider's value is dropped.  col is
-    the value's first place in its line.
+    files has path and text; null texts have no secrets, and a null path is an ordinary one.  A value counts once per
+    line, for the first pattern that accepts it; a generic match that holds a provider's value is dropped.  col is the
+    value's first place in its line.  line_max: lines are read up to so many characters only.  Repeated rows give
+    repeated results; columns called like a result are replaced by it.
     """
-    keep = [c for c in files.columns if c != "text"]
-    lines = files.select(*keep, F.posexplode(F.split("text", _BREAKS)).alias("_at", "_line"))
-    lines = lines.withColumn("_line", F.substring("_line", 1, LINE_MAX))
-    env = is_env_file(F.col("path"))
-    hit = F.struct("x.*", entropy(F.col("x.value")).alias("h"), looks_placeholder(F.col("x.value")).alias("fake"))
-    lines = lines.withColumn("_hits", _hits(F.col("_line"), env)).where(F.size("_hits") > 0)
-    # One row per hit: the checks of a value are evaluated once, and only for lines with hits.
-    hits = lines.select(*keep, "_at", "_line", F.posexplode("_hits").alias("_k", "x")).select(*keep, "_at", "_line", "_k", hit.alias("x"))
-    p = F.col("x.p")
-    generic, kind, floor = _of_pattern(p, 7), _of_pattern(p, 0), _of_pattern(p, 6)
-    good = (F.col("x.h") >= floor) & ~(generic & F.col("x.fake")) & ~((kind == "connection-string") & F.col("x.fake"))
-    good = good & ~((kind == "private-key") & F.col("_line").contains("PUBLIC"))
-    hits = hits.where(good).withColumn("_kind", kind).withColumn("_generic", generic)
-    # The hits of one line are few (a line has 4000 characters), so they meet again in one small array.
-    row = F.struct("_k", "_kind", "_generic", "x", _of_pattern(p, 3).alias("severity"), _of_pattern(p, 4).alias("confidence"))
-    named = hits.groupBy(*keep, "_at", "_line").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    values = F.transform("rows", lambda r: r["x"]["value"])
-    first = F.filter("rows", lambda r, i: F.array_position(values, r["x"]["value"]) == i + 1)
-    named = named.withColumn("rows", first)
-    solid = F.filter("rows", lambda r: ~r["_generic"])
-    own = F.filter("rows", lambda r: ~(r["_generic"] & F.exists(solid, lambda s: r["x"]["value"].contains(s["x"]["value"]))))
-    out = named.select(*keep, "_at", "_line", F.explode(own).alias("r"))
-    value = F.col("r.x.value")
-    plain = F.col("r._generic") & ~value.rlike("[^A-Za-z]")
-    fake = ~F.col("r._generic") & (F.col("r._kind") != "private-key") & (F.upper(value).contains("EXAMPLE") | F.col("r.x.fake"))
-    confidence = F.when(plain | fake, "LOW").otherwise(F.col("r.confidence"))
+    keep = [c for c in files.columns if c != "text" and c not in _RESULT]
+    row = F.struct(*(F.col(c) for c in keep)).alias("file")
+    env, test = is_env_file(F.col("path")), is_test_path(F.col("path"))
+    lines = files.select(row, env.alias("env"), test.alias("test"), F.posexplode(F.split("text", _BREAKS)).alias("at", "line"))
+    if line_max is not None:
+        lines = lines.withColumn("line", F.substring("line", 1, line_max))
+    hits = _let(_hits(F.col("line"), F.col("env")), lambda h: _judged(h, F.col("line")))
+    out = lines.select("file", "test", "at", "line", F.explode(hits).alias("r"))
+    value, kind = F.col("r.value"), _of_pattern(F.col("r.p"), 0)
+    plain = F.col("r.generic") & ~value.rlike("[^A-Za-z]")
+    fake = ~F.col("r.generic") & (kind != "private-key") & (F.upper(value).contains("EXAMPLE") | F.col("r.fake"))
+    confidence = F.when(plain | fake, "LOW").otherwise(_of_pattern(F.col("r.p"), 4))
     lower = F.when(confidence == "CONFIRMED", "HIGH").when(confidence == "HIGH", "MEDIUM").otherwise("LOW")
     return out.select(
-        *keep, F.col("r._kind").alias("detector"), (F.col("_at") + 1).alias("line"),
-        F.instr(F.col("_line"), value).alias("col"), value.alias("value"),
-        F.when(F.col("r._kind") == "private-key", value).otherwise(mask_secret(value)).alias("masked"),
-        F.round("r.x.h", 2).alias("entropy"), F.col("r.severity").alias("severity"),
-        F.when(is_test_path(F.col("path")), lower).otherwise(confidence).alias("confidence"),
+        "file.*", kind.alias("detector"), (F.col("at") + 1).alias("line"), F.instr(F.col("line"), value).alias("col"), value.alias("value"),
+        F.when(kind == "private-key", value).otherwise(mask_secret(value)).alias("masked"), F.round("r.h", 2).alias("entropy"),
+        _of_pattern(F.col("r.p"), 3).alias("severity"), F.when(F.col("test"), lower).otherwise(confidence).alias("confidence"),
     )
 
 

@@ -79,3 +79,54 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return d.select("doc_id", path.alias("path"), F.col("lang").alias("language"), "source", F.col("n_chars").alias("size"), "text")
+
+
+def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("organization_id"), F.col("r_name").alias("name"))
+    return r.withColumn("deleted_at", F.when(F.col("organization_id") == 3, F.lit(AS_OF)))
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select(
+        F.col("n_nationkey").cast("long").alias("project_id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("organization_id")
+    )
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repository_id"), F.col("c_name").alias("name"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lower(F.col("c_name")).alias("email"))
+    return c.withColumn("deleted_at", F.when(F.col("user_id") % 17 == 0, F.lit(AS_OF)))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a member of the organization of their nation, and of that nation's project."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    role = _choice(F.col("c_custkey") % 5, ["OWNER", "ADMIN", "SECURITY_ANALYST", "DEVELOPER", "VIEWER"])
+    rows = c.join(F.broadcast(projects(spark, sf_dir)), F.col("c_nationkey") == F.col("project_id"))
+    return rows.select(F.col("c_custkey").alias("user_id"), "organization_id", "project_id", role.alias("role"))
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), F.col("event_id")
+    return e.select(
+        k.alias("event_id"), F.when(k % 3 != 0, k % 5).alias("organization_id"), F.col("user_id").alias("actor_user_id"),
+        F.when(k % 2 == 0, "user").otherwise("scan").alias("target_type"), (k % 1500).cast("string").alias("target_id"),
+        F.concat("event_type", F.lit(".done")).alias("action"), F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS").alias("outcome"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("actor_label"), F.col("ts").alias("created_at"),
+    )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences with their findings' severity and confidence, as reports of scanners about a line."""
+    o = occurrences(spark, sf_dir).join(findings(spark, sf_dir).select("finding_id", "severity", "confidence", "exploitability"), "finding_id")
+    return o.select(
+        F.concat_ws("|", "path", F.col("line").cast("string"), "vuln_class").alias("group_id"), F.concat_ws("-", "scanner", F.col("finding_id").cast("string")).alias("ord"),
+        F.concat("scanner", F.lit(":"), F.col("finding_id").cast("string")).alias("rule_id"), F.col("vuln_class").alias("title"), "vuln_class", "path", "line",
+        (F.col("finding_id") % 11 == 0).alias("has_flow"), (F.col("finding_id") % 6 == 0).alias("ai"), (F.col("scanner") == "s0").alias("own"),
+        "severity", "confidence", "exploitability", F.array("scanner").alias("scanners"),
+        F.array(F.concat(F.lit("CWE-"), (F.col("finding_id") % 3).cast("string")), F.concat(F.lit("CWE-"), (F.col("finding_id") % 5).cast("string"))).alias("cwe"),
+    )

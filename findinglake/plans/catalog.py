@@ -43,7 +43,7 @@ def _findings_in_scan(spark, sf):
 
 def _search(spark, sf):
     parts = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_type")
-    return O.filtered(parts, contains="%Part_1", text_columns=("title", "p_type")).select("id", "title")
+    return O.filtered(parts, contains="%Wid_get", text_columns=("title", "p_type")).select("id", "title")
 
 
 def _page(spark, sf):
@@ -77,11 +77,16 @@ def _supersedes(rows):
 
 
 def _retest(rows):
-    rows = rows.select(_fingerprint(rows).alias("fingerprint"), "path", "scanner", "seen_at")
-    old, now = (rows.where(f"seen_at {op} timestamp'1998-06-01'").drop("seen_at") for op in ("<", ">="))
-    old = O.first_of(old, ["fingerprint"], "path", "scanner")
-    history = rows.where("seen_at < timestamp'1993-01-01'").select("fingerprint")
-    return O.compare_scans(old, now, history).groupBy("result").agg(F.count("*").alias("n"))
+    """Two scans by time, lines being part of the identity; what was seen before the first had been resolved."""
+    rows = rows.select(F.concat_ws("-", _fingerprint(rows), F.col("line").cast("string")).alias("fingerprint"), "path", "scanner", "seen_at")
+    before, old, now = (
+        rows.where(c).drop("seen_at")
+        for c in (
+            "seen_at < timestamp'1996-01-01'", "seen_at >= timestamp'1996-01-01' and seen_at < timestamp'1998-06-01'",
+            "seen_at >= timestamp'1998-06-01' and path <> 'src/p9.py' and scanner <> 's4'",
+        )
+    )
+    return O.compare_scans(O.first_of(old, ["fingerprint"], "path", "scanner"), now, before).groupBy("result").agg(F.count("*").alias("n"))
 
 
 def _correlate(rows):
@@ -94,13 +99,13 @@ def O_corr(reports):
 
 
 def _masks(spark, sf):
-    d = A.files(spark, sf).select("doc_id", F.regexp_extract("text", "[0-9a-f]{8,64}", 0).alias("value")).where("value <> ''")
-    return d.select("doc_id", C.mask_secret(F.col("value")).alias("masked"))
+    d = A.files(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9a-f]{4,64}"), F.lit(0))).alias("nth", "value"))
+    return d.select("doc_id", F.col("nth").cast("long").alias("nth"), C.mask_secret(F.col("value")).alias("masked"))
 
 
 def _entropy(spark, sf):
-    d = A.files(spark, sf).select("doc_id", F.regexp_extract("text", "[0-9a-f]{40}", 0).alias("value")).where("value <> ''")
-    return d.select("doc_id", F.round(C.entropy(F.col("value")), 6).alias("entropy"))
+    d = A.files(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[0-9a-f]{6,40}"), F.lit(0))).alias("nth", "value"))
+    return d.select("doc_id", F.col("nth").cast("long").alias("nth"), F.round(C.entropy(F.col("value")), 6).alias("entropy"))
 
 
 def _duplicates(spark, sf):
@@ -133,21 +138,33 @@ def _rate(spark, sf):
 
 
 def _path_sanitize(spark, sf):
-    rows = [("a/./b.py",), ("a\\b\\c",), ("../x",), ("/etc/x",), ("C:/x",), ("a//b",), (".",), ("ok",)]
-    return spark.createDataFrame(rows, "name string").select("name", C.clean_path(F.col("name")).alias("path"))
-
-
-_VECTORS = [
-    "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.1/AV:N/AC:L/PR:L/UI:N/S:C/C:L/I:L/A:N",
-    "CVSS:3.0/AV:L/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N", "CVSS:3.1/AV:P/AC:H/PR:L/UI:R/S:C/C:H/I:L/A:L", "AV:N/AC:L",
-]
+    """Paths made of the documents' sources and first words: plain ones, and one of each unsafe and untidy form."""
+    source, word = F.coalesce("source", F.lit("s")), F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("w"))
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    forms = [
+        join(source, "/./", word, ".py"), join(source, "\\", word, "\\x"), join("../", source, "/", word), join("/", source, "/", word),
+        join("C:/", source, "/", word), join(source, "//", word), F.lit("./."), join(source, "/", word), join(source, "/../", word),
+    ]
+    name = forms[-1]
+    for i, f in enumerate(forms[:-1]):
+        name = F.when(F.col("doc_id") % len(forms) == i, f).otherwise(name)
+    return A.table(spark, sf, "documents").select("doc_id", name.alias("name")).select("doc_id", C.clean_path(F.col("name")).alias("path"))
+
+
+def _vectors(spark, sf):
+    """Base vectors of all metrics' values, dealt by the numbers of orders; every 50th isn't one."""
+    k = F.col("o_orderkey")
+    part = lambda name, values, at: F.concat(F.lit(f"/{name}:"), A._choice(F.floor(k / at) % len(values), list(values)))
+    vector = F.concat(
+        F.when(k % 50 == 0, "CVSS:2.0").when(k % 2 == 0, "CVSS:3.1").otherwise("CVSS:3.0"), part("AV", "NALP", 1), part("AC", "LH", 4), part("PR", "NLH", 8),
+        part("UI", "NR", 24), part("S", "UC", 48), part("C", "HLN", 96), part("I", "HLN", 288), part("A", "HLN", 864),
+    )
+    return A.table(spark, sf, "orders").select(k.alias("id"), vector.alias("vector"))
 
 
 def _cvss(spark, sf):
     score = C.cvss3_base_score(F.col("vector"))
-    return spark.createDataFrame([(v,) for v in _VECTORS], "vector string").select(
-        "vector", score.alias("score"), C.severity_from_score(score).alias("severity")
-    )
+    return _vectors(spark, sf).select("id", "vector", score.alias("score"), C.severity_from_score(score).alias("severity"))
 
 
 QUERIES: dict[str, Query] = {
@@ -223,7 +240,6 @@ s as (
             when 'click' then 'RUNNING' else 'QUEUED' end as status
     from events)
 """
-_CVSS_ROWS = ", ".join(f"('{v}', {s}, {k})" for v, s, k in zip(_VECTORS, ("9.8", "6.4", "0.0", "6.1", "null"), ("'CRITICAL'", "'MEDIUM'", "'INFO'", "'MEDIUM'", "null")))
 
 ORACLE: dict[str, str] = {
     "open_by_severity": f"""with {_F} select d.severity, count(finding_id) as n
@@ -259,15 +275,15 @@ ORACLE: dict[str, str] = {
         partition by project_id order by finished_at, scan_id rows between unbounded preceding and 1 preceding) as baseline_id from s""",
     "findings_page": f"""with {_F}, r as (select *, round(inherent, 3) as risk_score from g where live and sr >= 3)
         select finding_id, severity, risk_score from r order by sr desc, risk_score desc nulls last, finding_id limit 25 offset 50""",
-    "findings_search": "select p_partkey as id, p_name as title from part where p_name ilike '%part1%' or p_type ilike '%part1%'",
+    "findings_search": "select p_partkey as id, p_name as title from part where p_name ilike '%widget%' or p_type ilike '%widget%'",
     "findings_in_scan": f"""with {_F}, {_O} select project_id, severity, count(*) as n from g
         where finding_id in (select finding_id from o where scanner = 's3') group by 1, 2""",
     "never_observed": f"with {_F} select finding_id, severity from g where not exists (select 1 from lineitem where l_orderkey = finding_id)",
     "finding_risk": f"with {_F} select finding_id, round(case when live then inherent else 0 end, 6) as risk, round(inherent, 6) as inherent from g",
-    "risk_index_by_repository": f"""with {_F}, t as (select repository_id, sum(case when live then inherent else 0 end) as t,
-            sum(case when status = 'ACCEPTED_RISK' then inherent else 0 end) as a from g group by 1)
-        select repository_id, case when t > 0 then round(100 * (1 - exp(-t / 25.0::double)), 1) else 0 end as risk_index,
-            round(t, 3) as total_risk, round(a, 3) as accepted_risk from t""",
+    "risk_index_by_repository": f"""with {_F}, t as (select repository_id, sum(cast(case when live then inherent else 0 end as decimal(38, 12))) as t,
+            sum(cast(case when status = 'ACCEPTED_RISK' then inherent else 0 end as decimal(38, 12))) as a from g group by 1)
+        select repository_id, case when t > 0 then round(100 * (1 - exp(-cast(t as double) / 25.0::double)), 1) else 0 end as risk_index,
+            cast(round(t, 3) as double) as total_risk, cast(round(a, 3) as double) as accepted_risk from t""",
     "gate_by_project": f"""with {_F}, t as (select project_id,
             count(*) filter (live and verification not in ('FALSE_POSITIVE', 'AI_SUGGESTED') and sr >= 3 and cr >= 1) as blocking,
             count(*) filter (live and verification <> 'FALSE_POSITIVE') as counted from g group by 1)
@@ -280,25 +296,28 @@ ORACLE: dict[str, str] = {
     "proven_supersedes": f"""with {_O}, h as (select distinct path, line, vuln_class, scanner = 's0' as proven from o),
         k as (select *, bool_or(proven) over (partition by path, line, vuln_class) as known from h)
         select path, proven, count(*) as n from k where proven or not known group by 1, 2""",
-    "retest_exact": f"""with {_O}, a as (select fingerprint, min(path) as path, arg_min(scanner, (path, scanner)) as scanner from p
-            where seen_at < timestamp '1998-06-01' group by 1),
-        b as (select * from p where seen_at >= timestamp '1998-06-01'),
+    "retest_exact": f"""with {_O}, q as (select fingerprint || '-' || line as fingerprint, path, scanner, seen_at from p),
+        a as (select fingerprint, min(path) as path, arg_min(scanner, (path, scanner)) as scanner from q
+            where seen_at >= timestamp '1996-01-01' and seen_at < timestamp '1998-06-01' group by 1),
+        b as (select * from q where seen_at >= timestamp '1998-06-01' and path <> 'src/p9.py' and scanner <> 's4'),
         r as (
-            select case when exists (select 1 from b where b.fingerprint = a.fingerprint) then 'STILL_OPEN'
-                when not exists (select 1 from b where b.path = a.path) then 'NOT_REPRODUCED'
-                when not exists (select 1 from b where b.scanner = a.scanner) then 'NOT_TESTED' else 'RESOLVED' end as result from a
+            select case when a.fingerprint in (select fingerprint from b) then 'STILL_OPEN'
+                when a.path not in (select path from b) then 'NOT_REPRODUCED'
+                when a.scanner not in (select scanner from b) then 'NOT_TESTED' else 'RESOLVED' end as result from a
             union all
             select case when h.fingerprint is not null then 'REGRESSION' else 'NEW' end
             from (select distinct fingerprint from b where fingerprint not in (select fingerprint from a)) n
-            left join (select distinct fingerprint from p where seen_at < timestamp '1993-01-01') h using (fingerprint))
+            left join (select distinct fingerprint from q where seen_at < timestamp '1996-01-01') h using (fingerprint))
         select result, count(*) as n from r group by 1""",
-    "mask_values": """with v as (select doc_id, regexp_extract(text, '[0-9a-f]{8,64}') as v from documents)
-        select doc_id, case when length(v) >= 12 then substr(v, 1, 4) || repeat('*', least(length(v) - 8, 12)) || right(v, 4)
-            else substr(v, 1, 2) || repeat('*', length(v) - 4) || right(v, 2) end as masked from v where v <> ''""",
-    "text_entropy": """with v as (select doc_id, regexp_extract(text, '[0-9a-f]{40}') as v from documents),
-        c as (select doc_id, unnest(string_split(v, '')) as x from v where v <> ''),
-        n as (select doc_id, x, count(*) / 40.0::double as p from c group by 1, 2)
-        select doc_id, round(-sum(p * log2(p)), 6) as entropy from n group by 1""",
+    "mask_values": """with l as (select doc_id, regexp_extract_all(text, '[0-9a-f]{4,64}') as l from documents),
+        v as (select doc_id, unnest(range(0, len(l))) as nth, unnest(l) as v from l)
+        select doc_id, nth, case when length(v) >= 12 then substr(v, 1, 4) || repeat('*', least(length(v) - 8, 12)) || right(v, 4)
+            when length(v) >= 8 then substr(v, 1, 2) || repeat('*', length(v) - 4) || right(v, 2) else repeat('*', length(v)) end as masked from v""",
+    "text_entropy": """with l as (select doc_id, regexp_extract_all(text, '[0-9a-f]{6,40}') as l from documents),
+        v as (select doc_id, unnest(range(0, len(l))) as nth, unnest(l) as v from l),
+        c as (select doc_id, nth, length(v) as n, unnest(string_split(v, '')) as x from v),
+        n as (select doc_id, nth, x, count(*) / n::double as p from c group by doc_id, nth, x, n)
+        select doc_id, nth, round(-sum(p * log2(p)), 6) + 0.0 as entropy from n group by 1, 2""",
     "duplicate_documents": """select sha256(coalesce(text, '')) as sha256, count(*) as n, min(doc_id) as first_id
         from documents group by 1 having count(*) > 1""",
     "system_messages": "select role, count(*) as n, count(distinct conv_id) as conversations from conversations group by 1",
@@ -309,7 +328,20 @@ ORACLE: dict[str, str] = {
     "sliding_rate_flags": """with e as (select user_id, epoch_us(ts) // 1000000 as s from events),
         h as (select user_id, count(*) over (partition by user_id order by s range between 3600 preceding and current row) as hits from e)
         select user_id, max(hits) as most from h group by 1""",
-    "path_sanitize": """select * from (values ('a/./b.py', 'a/b.py'), ('a\\b\\c', 'a/b/c'), ('../x', null), ('/etc/x', null),
-        ('C:/x', null), ('a//b', 'a/b'), ('.', null), ('ok', 'ok')) t(name, path)""",
-    "cvss_scores": f"select vector, cast(score as double) as score, severity from (values {_CVSS_ROWS}) t(vector, score, severity)",
+    "path_sanitize": """with w as (select doc_id, coalesce(source, 's') as s, coalesce(nullif(regexp_extract(text, '[A-Za-z]+'), ''), 'w') as w from documents)
+        select doc_id, case doc_id % 9 when 0 then s || '/' || w || '.py' when 1 then s || '/' || w || '/x' when 5 then s || '/' || w when 7 then s || '/' || w end as path from w""",
+    "cvss_scores": """with k as (select o_orderkey as id, o_orderkey % 4 as av, o_orderkey // 4 % 2 as ac, o_orderkey // 8 % 3 as pr, o_orderkey // 24 % 2 as ui,
+            o_orderkey // 48 % 2 as s, o_orderkey // 96 % 3 as c, o_orderkey // 288 % 3 as i, o_orderkey // 864 % 3 as a from orders),
+        v as (select *, case when id % 50 = 0 then 'CVSS:2.0' when id % 2 = 0 then 'CVSS:3.1' else 'CVSS:3.0' end || '/AV:' || ['N', 'A', 'L', 'P'][av + 1]
+            || '/AC:' || ['L', 'H'][ac + 1] || '/PR:' || ['N', 'L', 'H'][pr + 1] || '/UI:' || ['N', 'R'][ui + 1] || '/S:' || ['U', 'C'][s + 1]
+            || '/C:' || ['H', 'L', 'N'][c + 1] || '/I:' || ['H', 'L', 'N'][i + 1] || '/A:' || ['H', 'L', 'N'][a + 1] as vector,
+            1 - (1 - [0.56::double, 0.22, 0][c + 1]) * (1 - [0.56::double, 0.22, 0][i + 1]) * (1 - [0.56::double, 0.22, 0][a + 1]) as iss,
+            8.22::double * [0.85::double, 0.62, 0.55, 0.2][av + 1] * [0.77::double, 0.44][ac + 1]
+                * case s when 1 then [0.85::double, 0.68, 0.5][pr + 1] else [0.85::double, 0.62, 0.27][pr + 1] end * [0.85::double, 0.62][ui + 1] as ease from k),
+        m as (select *, case s when 1 then 7.52::double * (iss - 0.029::double) - 3.25::double * power(iss - 0.02::double, 15) else 6.42::double * iss end as impact from v),
+        r as (select *, cast(round(least(case s when 1 then 1.08::double * (impact + ease) else impact + ease end, 10) * 100000) as bigint) as whole from m),
+        t as (select id, vector, case when id % 50 = 0 then null when impact <= 0 then 0.0::double when whole % 10000 = 0 then whole / 100000.0::double
+            else (whole // 10000 + 1) / 10.0::double end as score from r)
+        select id, vector, score, case when score >= 9 then 'CRITICAL' when score >= 7 then 'HIGH' when score >= 4 then 'MEDIUM' when score > 0 then 'LOW'
+            when score is not null then 'INFO' end as severity from t""",
 }

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from findinglake.plans import catalog, software
+from findinglake.plans import catalog, portfolio, software
 
-QUERIES = catalog.QUERIES | software.QUERIES
-ORACLE = catalog.ORACLE | software.ORACLE
+QUERIES = catalog.QUERIES | software.QUERIES | portfolio.QUERIES
+ORACLE = catalog.ORACLE | software.ORACLE | portfolio.ORACLE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
