@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findinglake.operators import access, dashboard, findings as O, identity, lifecycle, merge
+from findinglake.operators import access, dashboard, findings as O, identity, lifecycle, merge, reports, secrets
 from findinglake.plans import adapter as A
 from findinglake.plans.catalog import _F, _O, _S, _fingerprint
 from findinglake.sources import adapters
@@ -288,7 +288,92 @@ def _osv(spark, sf):
     )
 
 
+def _scanners(spark):
+    rows = [(1, "sast", "ran", None, 5), (2, "bandit", "unavailable", "not installed", 0), (3, "custom", "failed", None, 0)]
+    return spark.createDataFrame(rows, "ord int, scanner string, status string, detail string, findings int")
+
+
+def _lined_files(spark, sf):
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    f = A.files(spark, sf).select("doc_id", "language", lines.cast("long").alias("lines"))
+    return f.join(_file_states(spark, sf), "doc_id")
+
+
+def _scope(spark, sf):
+    out = reports.scope(_lined_files(spark, sf), _scanners(spark))
+    lang = F.transform("languages", lambda x: F.concat_ws(":", x["language"], x["files"].cast("string"), x["lines"].cast("string")))
+    runs = F.transform("scanners", lambda x: F.concat_ws(":", x["name"], x["status"]))
+    return out.select("files_total", "files_analyzed", "lines_analyzed", F.array_join(lang, ",").alias("languages"), F.array_join(runs, ",").alias("scanners"))
+
+
+def _limits(spark, sf):
+    deps = A.table(spark, sf, "part").select(F.when(F.col("p_partkey") % 3 == 0, "NOT_VERIFIED").otherwise("VULNERABLE").alias("vuln_status"))
+    return reports.limitations(_file_states(spark, sf), _scanners(spark), deps, A.findings(spark, sf), True)
+
+
+def _views(spark, sf):
+    k = F.col("finding_id")
+    o = A.occurrences(spark, sf).select(
+        "finding_id", F.when(k % 5 != 0, F.col("path")).alias("path"), F.when(k % 3 != 0, F.col("line")).alias("line"),
+        F.array(F.concat(F.lit("https://a/"), "vuln_class"), F.lit("ftp://b"), F.lit("javascript:x"), F.lit(None)).alias("references"),
+    )
+    rows = reports.finding_views(o).groupBy("location", F.array_join("references", ",").alias("references"))
+    return rows.agg(F.count("*").alias("n"))
+
+
+def _secrets(spark, sf):
+    text = F.regexp_replace("text", 'token = "([0-9a-f]{36})', 'token = "ghp_$1')
+    found = secrets.scan_secrets(A.files(spark, sf).select("doc_id", "path", text.alias("text")))
+    out = reports.secret_findings(found, identity.keyed_hash(F.col("value"), _KEY))
+    return out.select("path", "line", "col", "rule_id", "masked", "secret_hash", F.array_join("tags", ",").alias("tags"))
+
+
+def _lines(spark, sf):
+    """Each part's name is looked for in the document of its number."""
+    deps = A.table(spark, sf, "part").select("p_partkey", F.upper(F.substring("p_name", 2, 3)).alias("name"), F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("manifest_path"))
+    texts = A.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return reports.manifest_lines(deps, texts).select("p_partkey", "line")
+
+
+def _package_findings(spark, sf):
+    k = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    deps = A.table(spark, sf, "part").select(
+        F.col("p_name").alias("name"), (k % 7).cast("string").alias("version"), F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("m"), k.cast("string")).alias("manifest_path"),
+        (k % 2 == 0).alias("direct"), (k % 50).alias("advisory_id"),
+    ).withColumn("advisory_id", F.concat(F.lit("A-"), F.col("advisory_id").cast("string")))
+    n = F.col("s_suppkey")
+    advisories = A.table(spark, sf, "supplier").where("s_suppkey < 40").select(
+        F.concat(F.lit("A-"), n.cast("string")).alias("advisory_id"), F.array(F.lit("GHSA-1"), F.when(n % 2 == 0, F.concat(F.lit("CVE-"), n.cast("string"))).otherwise("x")).alias("aliases"),
+        F.lit("HIGH").alias("severity"), F.when(n % 3 == 0, "").otherwise(F.col("s_name")).alias("summary"), F.when(n % 4 == 0, F.array(F.lit("<2"), F.lit(">=3, <4"))).otherwise(none).alias("affected_ranges"),
+        F.when(n % 5 == 0, none).otherwise(F.array(F.lit("2"), F.lit("4"))).alias("fixed_versions"), none.alias("references"),
+    )
+    out = reports.dependency_findings(deps, advisories)
+    return out.select("path", "title", "description", "recommendation", F.array_join("tags", ",").alias("tags"))
+
+
+def _explained(spark, sf):
+    k = F.col("finding_id")
+    kind = A._choice(k % 6, ["dataflow", "secret", "dependency", "criterion", "pattern", "other"])
+    pairs = {"source": F.when(k % 12 == 0, "request"), "sink": F.lit("exec"), "secret_type": F.lit("Key"), "masked": F.lit("ab**"), "detector": F.lit("d"), "name": F.lit("pkg"),
+             "version": F.lit("1"), "advisory_id": F.lit("A"), "fixed_versions": F.when(k % 4 == 0, "2, 3"), "detail": F.lit("why")}
+    data = F.map_filter(F.create_map(*(x for n, v in pairs.items() for x in (F.lit(n), v))), lambda _, v: v.isNotNull())
+    hop = lambda n: F.struct(F.lit("p").alias("path"), F.lit(n).alias("line"), F.lit("" if n == 2 else "goes on").alias("note"))
+    evidence = F.array(F.struct(kind.alias("kind"), F.lit("seen").alias("summary"), data.alias("data"), F.array(hop(1), hop(2), hop(3)).alias("steps")))
+    f = A.findings(spark, sf).select("finding_id", "severity", "confidence", "exploitability", F.lit("xss").alias("vuln_class"), F.lit("t").alias("title"),
+                                     F.lit("a.py").alias("path"), F.lit(9).alias("line"), evidence.alias("evidence"))
+    text = F.array_join(F.transform("steps", lambda s: F.concat(s["number"].cast("string"), F.lit(" "), s["title"], F.lit(": "), s["detail"])), "; ")
+    return reports.explained(f).groupBy(text.alias("steps")).agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
+    "report_scope": _scope,
+    "report_limitations": _limits,
+    "finding_views": _views,
+    "secret_findings": _secrets,
+    "manifest_lines": _lines,
+    "dependency_findings": _package_findings,
+    "explained_findings": _explained,
     "top_findings": _top,
     "recent_scans": _recent,
     "scan_list": _scan_list,
@@ -358,6 +443,48 @@ _FIRST_SQL = "case {0} " + " ".join(f"when '{c}' then 'CWE-{numbers[0]}'" for c,
 _PADS = {name: bytes(x ^ pad for x in _KEY.ljust(64, b"\0")).hex() for name, pad in (("inner", 0x36), ("outer", 0x5C))}
 
 ORACLE: dict[str, str] = {
+    "report_scope": f"""with {_STATES}, l as (select lang as language, len(string_split(coalesce(text, ''), chr(10))) as lines,
+            n_chars <= 8000 and doc_id % 10 not in (1, 2, 3) as done from documents),
+        g as (select language, count(*) filter (done) as n, cast(sum(lines) filter (done) as bigint) as lines from l where language is not null group by 1)
+        select (select count(*) from l) as files_total, (select count(*) from l where done) as files_analyzed, (select cast(sum(lines) as bigint) from l where done) as lines_analyzed,
+            string_agg(language || ':' || n || ':' || lines, ',' order by language) as languages, 'Static analysis:ran,Bandit:unavailable,custom:failed' as scanners from g where n > 0""",
+    "report_limitations": f"""with {_F}, {_STATES}
+        select 1 as ord, 'Static analysis doesn''t run the code: it can miss flaws and report harmless code.' as text
+        union all select 2, 'Business logic and the deployed environment weren''t assessed.'
+        union all select 3, 'Partial scan: only the submitted files were analysed.'
+        union all select 4, 'Bandit unavailable: not installed' union all select 4, 'custom failed.'
+        union all select 5, cast(sum(n) as varchar) || ' file(s) were not fully analysed (' || string_agg(n || ' ' || reason, ', ' order by status) || ').' from sk
+        union all select 6, count(*) || ' dependencies could not be verified.' from part where p_partkey % 3 = 0
+        union all select 7, count(*) || ' findings are not proven exploitable.' from g where exploitability in ('POSSIBLE', 'THEORETICAL')
+        union all select 8, count(*) || ' findings are AI-suggested only.' from g where verification = 'AI_SUGGESTED'""",
+    "finding_views": f"""with {_O}, x as (select case when finding_id % 5 <> 0 then path end as path, case when finding_id % 3 <> 0 then line end as line, vuln_class from o)
+        select case when coalesce(line, 0) <> 0 then concat_ws(':', path, line) else coalesce(path, '') end as location, 'https://a/' || vuln_class as "references", count(*) as n
+        from x group by 1, 2""",
+    "secret_findings": f"""with t as (select source || '/' || doc_id || '.txt' as path, doc_id, text from documents where regexp_matches(text, 'token = "[0-9a-f]{{36}}')),
+        l as (select path, unnest(string_split(text, chr(10))) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from t),
+        v as (select path, line, instr(x, 'token = "') + 9 as col, 'ghp_' || regexp_extract(x, 'token = "([0-9a-f]+)"', 1) as v from l where regexp_matches(x, 'token = "[0-9a-f]{{36}}'))
+        select path, cast(line as integer) as line, cast(col as integer) as col, 'SECRET-GITHUB-TOKEN' as rule_id, substr(v, 1, 4) || repeat('*', 12) || right(v, 4) as masked,
+            substr(sha256(unhex('{_PADS["outer"]}') || unhex(sha256(unhex('{_PADS["inner"]}') || encode(v)))), 1, 32) as secret_hash, 'secret,github-token' as tags from v""",
+    "manifest_lines": """with d as (select p_partkey, lower(substr(p_name, 2, 3)) as name, text from part left join documents on doc_id = p_partkey),
+        l as (select p_partkey, name, unnest(string_split_regex(lower(text), '\\r\\n|\\n|\\r')) as x, generate_subscripts(string_split_regex(lower(text), '\\r\\n|\\n|\\r'), 1) as i from d),
+        f as (select p_partkey, min(i) as line from l where contains(x, name) group by 1)
+        select p_partkey, cast(line as integer) as line from part left join f using (p_partkey)""",
+    "dependency_findings": """with d as (select p_name as name, p_partkey % 7 as version, 'm' || p_partkey as path, p_partkey, p_partkey % 50 as n from part),
+        a as (select *, s_suppkey as k from supplier where s_suppkey < 40)
+        select path, name || ' ' || version || ' - A-' || k || case when k % 2 = 0 then ' (CVE-' || k || ')' else '' end as title,
+            case when k % 3 = 0 then 'A-' || k else s_name end || '. Affected: ' || case when k % 4 = 0 then '<2; >=3, <4' else 'see advisory' end
+                || case when k % 5 = 0 then '. No fixed version is published.' else '. Fixed in: 2, 4.' end as description,
+            case when k % 5 <> 0 then 'Upgrade ' || name || ' to 4 or later, then rescan.' end as recommendation,
+            'dependency,pypi,' || case when p_partkey % 2 = 0 then 'direct' else 'transitive' end as tags from d join a on k = n""",
+    "explained_findings": f"""with {_F}, x as (select case finding_id % 6
+            when 0 then case when finding_id % 12 = 0 then '1 Untrusted input enters the program: request; 2 Data flows onward: p:2; 3 It reaches a dangerous operation: exec at a.py:9; 4 '
+                else '1 A value of unknown origin: Its source could not be traced, so the confidence is lower.; 2 goes on: p:1; 3 Data flows onward: p:2; 4 It reaches a dangerous operation: exec at a.py:9; 5 ' end
+            when 1 then '1 A value like a credential is in the code: Key ab** at a.py:9; 2 It matches a known format: d; 3 '
+            when 2 then '1 The project depends on this package: pkg@1; 2 A published advisory covers this version: A; 3 Upgrade path: '
+                || case when finding_id % 4 = 0 then 'Fixed in 2, 3' else 'No fixed version is published yet' end || '; 4 '
+            when 3 then '1 seen: why; 2 ' when 4 then '1 A risky construct was found: seen; 2 ' else '1 A risky construct was found: t; 2 ' end
+            || 'Potential xss: Severity ' || severity || ', confidence ' || confidence || ', exploitability ' || lower(replace(exploitability, '_', ' ')) || '.' as steps from g)
+        select steps, count(*) as n from x group by 1""",
     "top_findings": f"""with {_F} select finding_id, project_id, severity, round(inherent, 3) as risk_score from g where live
         order by risk_score desc, finding_id limit 10""",
     "recent_scans": f"""with {_S} select scan_id, status, finished_at, c_name as repository_name
