@@ -2,8 +2,9 @@
 
 Toxic documents go, then those that fail the quality rules, then all but the smallest doc_id of each near-duplicate
 group, then repeated passages within the remaining texts; what is left is packed into sequences.  All stages but the
-last return the columns of documents.  A document is looked up by doc_id, so rows that share one are kept or dropped
-together, and rows without doc_id are dropped by the first stage.
+last return the columns of documents.  Rows without doc_id are judged like others by the first two stages and by
+packing; they have no near-duplicates, and count as the last document in the search for repeats.  Repeated rows fold to
+one in the third stage.  An empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
@@ -20,21 +21,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the multiple-instance model, fitted on labels outside the held-out fold, doesn't predict toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = docs.where("doc_id is not null")
     weights = toxicity.train(docs, labels)
     return toxicity.score_documents(docs.select(*COLUMNS), weights).where(F.col("score") < 0.3).select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the robust outlier test of their language and source."""
-    good = quality_mcd.quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(good, "doc_id", "left_semi")
+    return quality_mcd.kept_documents(docs.select(*COLUMNS))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked near-duplicates."""
-    first = partenum.jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    return partenum.first_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
