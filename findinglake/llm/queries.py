@@ -83,26 +83,28 @@ least as (select x, min(y) as component_id from reach group by x)
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    # Texts are cut into pieces of 1024 starts (and 49 bytes more), so that no row holds a whole text for each of its
+    # bytes; windows whose 64-bit hash stands in one document only are dropped before their bytes are compared.
     "op1_suffix_dedup": """
-        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-        n as (select doc_id, h, length(h) // 2 as n_bytes from d),
-        places as (select doc_id, h, n_bytes, unnest(range(0, n_bytes)) as p from n),
-        windows as (select doc_id, p, substr(h, 2 * p + 1, 100) as w from places where p + 50 <= n_bytes),
-        firsts as (select w, min(doc_id) as first from windows group by w having min(doc_id) < max(doc_id)),
-        starts as (select doc_id, p from windows join firsts using (w) where first < doc_id),
-        marked as (
-            select places.doc_id, places.p, substr(h, 2 * places.p + 1, 2) as b,
-                max(case when starts.p is null then 0 else 1 end) over (
-                    partition by places.doc_id order by places.p rows between 49 preceding and current row) as gone
-            from places left join starts on starts.doc_id = places.doc_id and starts.p = places.p),
-        runs as (select *, lag(gone, 1, 0) over (partition by doc_id order by p) as before from marked),
-        sums as (
-            select doc_id, sum(gone) as n_removed, sum(case when gone = 1 and before = 0 then 1 else 0 end) as n_spans,
-                string_agg(b, '' order by p) filter (where gone = 0) as kept
-            from runs group by doc_id)
-        select n.doc_id, cast(n_bytes as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
-            cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
-        from n left join sums using (doc_id)
+        with d as (select coalesce(doc_id, 9223372036854775807) as id, doc_id, row_number() over () as n, hex(encode(coalesce(text, ''))) as h from documents),
+        pieces as (select id, n, b, substr(h, 2 * b + 1, 2 * (1024 + 49)) as p from (select id, n, h, unnest(range(0, length(h) // 2, 1024)) as b from d)),
+        places as (select id, n, b, o, p from (select id, n, b, p, unnest(range(0, least(1024, length(p) // 2 - 49))) as o from pieces where length(p) >= 100)),
+        hashed as (select id, n, b, o, hash(substr(p, 2 * o + 1, 100)) as k from places),
+        shared as (select k from hashed group by k having min(id) < max(id)),
+        repeated as (select h.id, h.n, h.b, h.o, substr(p.p, 2 * h.o + 1, 100) as w from hashed h semi join shared using (k) join pieces p on p.n = h.n and p.b = h.b),
+        firsts as (select w, min(id) as first from repeated group by w having min(id) < max(id)),
+        starts as (select n, b + o as pos from repeated join firsts using (w) where first < id),
+        begun as (select n, pos, coalesce(pos > lag(pos) over (partition by n order by pos) + 50, true) as new from starts),
+        numbered as (select n, pos, sum(cast(new as integer)) over (partition by n order by pos) as i from begun),
+        runs as (select n, i, min(pos) as s, max(pos) + 50 as e from numbered group by n, i),
+        gaps as (
+            select n, coalesce(lag(e) over (partition by n order by s), 0) as s, s as e from runs
+            union all select n, max(e), null from runs group by n),
+        kept as (select n, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, length(h) // 2) - s)), '' order by s) as kept from gaps join d using (n) group by n),
+        sums as (select n, sum(e - s) as gone, count(*) as runs from runs group by n)
+        select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(runs, 0) as bigint) as n_spans,
+            sha256(unhex(coalesce(kept, h))) as kept_sha256
+        from d left join sums using (n) left join kept using (n)
     """,
     "op4_embedding_near_dedup": f"""
         with recursive v as (select vec_id as id, label, embedding::double[] as e from embeddings),
