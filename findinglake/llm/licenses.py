@@ -96,6 +96,115 @@ PHRASES = [
     ("licensed", 0.5, "under the terms of the"),
     ("terms", 0.4, "terms of use"),
     ("terms", 0.4, "terms of service"),
+    ("mit", 0.9, "the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", 0.9, "without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit", 0.6, "the software is provided as is without warranty of any kind"),
+    ("mit-0", 0.9, "mit no attribution"),
+    ("isc", 0.9, "the author disclaims all warranties with regard to this software"),
+    ("bsd", 0.8, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 0.8, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", 0.7, "this software is provided by the copyright holders and contributors as is"),
+    ("bsd-3-clause", 0.9, "may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", 0.9, "this product includes software developed by"),
+    ("bsd-0", 0.9, "bsd zero clause license"),
+    ("bsd-clear", 0.9, "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("zlib", 0.8, "the origin of this software must not be misrepresented"),
+    ("zlib", 0.8, "altered source versions must be plainly marked as such"),
+    ("libpng", 0.9, "the png reference library is supplied as is"),
+    ("apache", 0.9, "licensed to the apache software foundation"),
+    ("apache", 0.8, "unless required by applicable law or agreed to in writing software"),
+    ("apache", 0.8, "see the license for the specific language governing permissions and limitations"),
+    ("apache", 0.9, "grant of patent license subject to the terms and conditions of this license"),
+    ("gpl", 0.9, "either version 2 of the license or at your option any later version"),
+    ("gpl", 0.9, "either version 3 of the license or at your option any later version"),
+    ("gpl", 0.8, "you should have received a copy of the gnu general public license"),
+    ("gpl", 0.8, "this program comes with absolutely no warranty"),
+    ("gpl", 0.8, "when we speak of free software we are referring to freedom not price"),
+    ("gpl", 0.8, "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl-exception-classpath", 0.95, "as a special exception the copyright holders of this library give you permission to link this library"),
+    ("gpl-exception-classpath", 0.9, "classpath exception"),
+    ("gpl-exception-gcc", 0.9, "gcc runtime library exception"),
+    ("gpl-exception-autoconf", 0.9, "autoconf configure script exception"),
+    ("gpl-exception-font", 0.9, "if you embed this font or unaltered portions of this font"),
+    ("lgpl", 0.8, "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", 0.8, "this license the lesser general public license applies to some specially designated software"),
+    ("agpl", 0.9, "all users interacting with it remotely through a computer network"),
+    ("agpl", 0.8, "you should have received a copy of the gnu affero general public license"),
+    ("gfdl", 0.9, "permission is granted to copy distribute and or modify this document"),
+    ("gfdl", 0.8, "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", 0.9, "incompatible with secondary licenses"),
+    ("mpl", 0.8, "the contents of this file are subject to the mozilla public license"),
+    ("epl", 0.9, "this program and the accompanying materials are made available under the terms of the eclipse"),
+    ("cpl", 0.9, "accompanying materials are made available under the terms of the common public license"),
+    ("cddl", 0.9, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", 0.8, "when distributing covered code include this cddl header"),
+    ("artistic", 0.9, "this package is free software you can redistribute it and or modify it under the same terms as perl"),
+    ("artistic", 0.8, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("bsl", 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("busl", 0.9, "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("sspl", 0.9, "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic", 0.9, "elastic license"),
+    ("elastic", 0.9, "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", 0.9, "commons clause license condition"),
+    ("commons-clause", 0.9, "the grant of rights under the license will not include the right to sell the software"),
+    ("polyform", 0.9, "polyform noncommercial license"),
+    ("polyform", 0.9, "polyform small business license"),
+    ("polyform", 0.9, "polyform shield license"),
+    ("openssl", 0.9, "openssl license"),
+    ("openssl", 0.9, "this product includes software developed by the openssl project"),
+    ("ssleay", 0.9, "this package is an ssl implementation written by"),
+    ("curl", 0.8, "curl license"),
+    ("ncsa", 0.9, "university of illinois ncsa open source license"),
+    ("w3c", 0.9, "w3c software notice and license"),
+    ("w3c", 0.8, "w3c document license"),
+    ("unicode", 0.9, "unicode inc license agreement"),
+    ("icu", 0.8, "icu license"),
+    ("json", 0.9, "the software shall be used for good not evil"),
+    ("beerware", 0.9, "the beer ware license"),
+    ("beerware", 0.9, "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("wtfpl", 0.9, "you just do what the fuck you want to"),
+    ("vim", 0.9, "vim license"),
+    ("ruby", 0.7, "ruby license"),
+    ("tcl", 0.8, "tcl tk license"),
+    ("postgresql", 0.9, "postgresql license"),
+    ("postgresql", 0.9, "permission to use copy modify and distribute this software and its documentation for any purpose without fee"),
+    ("hpnd", 0.9, "historical permission notice and disclaimer"),
+    ("imagemagick", 0.9, "imagemagick license"),
+    ("freetype", 0.9, "freetype project license"),
+    ("ijg", 0.9, "this software is based in part on the work of the independent jpeg group"),
+    ("ofl", 0.9, "the fonts and derivatives however cannot be released under any other type of license"),
+    ("bitstream-vera", 0.9, "bitstream vera fonts copyright"),
+    ("cc", 0.8, "this work is licensed under a creative commons"),
+    ("cc", 0.7, "creative commons license"),
+    ("cc0", 0.9, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", 0.9, "to the extent possible under law"),
+    ("odbl", 0.9, "this database is made available under the open database license"),
+    ("odc-by", 0.9, "open data commons"),
+    ("pddl", 0.9, "public domain dedication and license"),
+    ("ogl", 0.9, "open government licence"),
+    ("ogl", 0.9, "contains public sector information licensed under the open government"),
+    ("etalab", 0.9, "licence ouverte"),
+    ("dl-de", 0.9, "datenlizenz deutschland"),
+    ("public-domain", 0.7, "placed in the public domain"),
+    ("public-domain", 0.6, "no copyright is claimed"),
+    ("reserved", 0.7, "no part of this publication may be reproduced"),
+    ("reserved", 0.7, "alle rechte vorbehalten"),
+    ("reserved", 0.7, "tous droits reserves"),
+    ("reserved", 0.7, "todos los derechos reservados"),
+    ("proprietary", 0.8, "this software is the confidential and proprietary information of"),
+    ("proprietary", 0.8, "trade secret"),
+    ("proprietary", 0.8, "for internal use only"),
+    ("proprietary", 0.7, "end user license agreement"),
+    ("proprietary", 0.7, "subject to the terms of your license agreement"),
+    ("evaluation", 0.8, "for evaluation purposes only"),
+    ("non-commercial", 0.8, "for non commercial use only"),
+    ("non-commercial", 0.7, "for personal use only"),
+    ("academic", 0.8, "for academic and research purposes only"),
+    ("patent", 0.7, "patent pending"),
+    ("export", 0.6, "export administration regulations"),
+    ("permission", 0.6, "used by permission"),
+    ("permission", 0.6, "reprinted with permission"),
+    ("share", 0.6, "feel free to share"),
 ]
 
 _SEP = "[^0-9a-z\x80-\xff]+"  # between words, however far a line is indented

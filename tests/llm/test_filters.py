@@ -7,8 +7,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from findinglake.llm.licenses import rules, scan, scan_licenses
-from findinglake.llm.packing import best_fit, pack
-from findinglake.llm.quality_mcd import FLOORS, estimates, quality_rules
+from findinglake.llm.packing import Encoder, best_fit, pack
+from findinglake.llm.quality_mcd import FLOORS, _consistency, _estimate, chi_square_quantile, estimates, quality_rules
 from findinglake.llm.toxicity import is_held_out, score_documents, toxicity_scores, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, score double"
@@ -162,3 +162,53 @@ def test_toxicity_odd_rows(spark):
     assert toxicity_scores(docs.limit(0), labels.limit(0)).count() == 0
     located = score_documents(docs, train(docs, labels))
     assert set(located.columns) == {*docs.columns, "sentences"}
+
+
+def test_license_scan_without_gate_or_shortcuts(spark, sf):
+    """Every rule tried on every text, and each match compared with all before it."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [t or "" for _, t in ODD]
+    texts += ["gpl " * 400, "GNU Lesser General Public License v2.1, all rights reserved. cc by-sa 4.0; CC BY; the apache license 2.0, MIT License.",
+              "permission is hereby granted, free of charge, to any person obtaining a copy; released into the public domain"]
+    found = 0
+    for t in texts:
+        x = t.encode().lower().decode("latin-1")
+        hits = sorted((r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.confidence) for r in rules() for m in r.pattern.finditer(x))
+        taken = []
+        for _, _, s, e, label, c in hits:
+            if not any(a <= s and e <= b for a, b, _, _ in taken):
+                taken.append((s, e, label, c))
+        assert scan(x) == sorted(taken)
+        found += len(taken)
+    assert found > 400
+    assert len({r.pattern.pattern for r in rules()}) > 380
+
+
+def test_minimum_determinant_by_many_starts(spark):
+    """No subset that hundreds of random starts lead to has a smaller determinant."""
+    rng = np.random.default_rng(5)
+    p, share = len(FLOORS), 0.75
+    x = np.concatenate([rng.standard_normal((70, p)) @ rng.standard_normal((p, p)), 3 + rng.standard_normal((30, p))]).round(3)
+    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "key string, v array<double>")
+    got = estimates(rows, share).first()
+    h, best = int(np.ceil(len(x) * share)), np.inf
+    for _ in range(300):
+        own = rng.choice(len(x), p + 1, replace=False)
+        for _ in range(60):
+            center, inverse, log_det = _estimate(x[own].mean(0), np.cov(x[own].T, bias=True), _consistency(share, p))
+            d = np.einsum("ij,jk,ik->i", x - center, np.array(inverse).reshape(p, p), x - center)
+            new = np.argsort(d, kind="stable")[:h]
+            if own.size == h and set(new) == set(own):
+                break
+            own = new
+        best = min(best, log_det)
+    assert got.log_det <= best + 0.05
+    assert abs(chi_square_quantile(0.95, 6) - 12.5916) < 1e-3 and abs(chi_square_quantile(0.975, 2) - 7.3778) < 1e-3
+
+
+def test_packed_words_are_the_tokenizers():
+    """The Latin-1 word split is the tokenizer's: no pair of characters is cut in another place."""
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    chars = [chr(i) for i in range(256)]
+    for a in chars:
+        text = " ".join(f"x{a}{b}y" for b in chars)
+        assert encode(text) == encode.whole(text), hex(ord(a))
