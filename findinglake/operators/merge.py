@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from findinglake.domain import CONFIDENCES
 from findinglake.functions.columns import confidence_rank, exploitability_rank, severity_rank
+from findinglake.storage import written
 
 _PLAIN = ["rule_id", "title", "vuln_class", "path", "line"]
 
@@ -76,3 +77,25 @@ def alias_keys() -> Column:
     ids = F.array_distinct(F.array_compact(F.concat(F.array(F.coalesce("advisory_id", "rule_id")), F.coalesce("aliases", F.array().cast("array<string>")))))
     base = F.concat_ws("|", F.col("ecosystem"), F.lower("package_name"), F.coalesce("version", F.lit("")))
     return F.transform(F.filter(ids, lambda i: i != ""), lambda i: F.concat(base, F.lit("|"), i))
+
+
+def grouped_by_keys(rows: DataFrame, rounds: int = 60) -> DataFrame:
+    """id and group_id, the smallest id reachable over shared keys, of rows (id, keys: array of texts).
+
+    Each round hands the smallest id of a key to its rows and that of a row to its keys; both are grouped minima, so a
+    key that a third of all rows share is combined before it moves.  Rows without keys are groups of their own; null
+    keys are none; rows with one id are one.
+    """
+    pairs = written(rows.select("id", F.explode("keys").alias("key")).where("key is not null").distinct())
+    now = rows.groupBy("id").agg(F.min("id").alias("group_id"))
+    left = None
+    for _ in range(rounds):
+        of_key = pairs.join(now, "id").groupBy("key").agg(F.min("group_id").alias("group_id"))
+        least = pairs.join(of_key, "key").groupBy("id").agg(F.min("group_id").alias("least"))
+        new = now.join(least, "id", "left").select("id", F.least("group_id", "least").alias("group_id"))
+        now = written(new)
+        total = now.agg(F.sum(F.col("group_id").cast("decimal(38,0)"))).first()[0]
+        if total == left:  # ids only fall
+            return now
+        left = total
+    raise RuntimeError(f"groups still change after {rounds} rounds")

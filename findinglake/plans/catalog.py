@@ -242,6 +242,19 @@ s as (
 """
 
 ORACLE: dict[str, str] = {
+    "correlate_groups": f"""with recursive {_O},
+        d as (select path, vuln_class as family, line, scanner, min(finding_id) as ord from o group by 1, 2, 3, 4),
+        q as (select *, row_number() over (partition by path, family order by ord, line, scanner) as n from d),
+        r(path, family, n, anchors, line, scanner) as (
+            select path, family, n, [{{'l': line, 's': scanner}}], line, scanner from q where n = 1
+            union all
+            select path, family, n, case when own is null then list_append(anchors, {{'l': line, 's': scanner}}) else anchors end,
+                coalesce(own.l, line), coalesce(own.s, scanner)
+            from (select q.path, q.family, q.n, q.line, q.scanner, r.anchors,
+                    list_filter(r.anchors, lambda g: g.l = q.line or abs(g.l - q.line) <= 2 and g.s <> q.scanner)[1] as own
+                from r join q on q.path = r.path and q.family = r.family and q.n = r.n + 1))
+        select path, family, line as anchor_line, scanner as anchor_scanner, count(*) as members, count(distinct x.scanner2) as scanners
+        from (select r.*, q.scanner as scanner2 from r join q using (path, family, n)) x group by 1, 2, 3, 4""",
     "open_by_severity": f"""with {_F} select d.severity, count(finding_id) as n
         from (values ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) d(severity)
         left join g on g.severity = d.severity and live group by 1""",

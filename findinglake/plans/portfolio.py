@@ -390,7 +390,7 @@ QUERIES: dict[str, Query] = {
     "blocking_findings": _blocking,
     "occurrence_history": _history,
     "code_markers": _markers,
-    "audit_filter": _audit,
+    "organization_audit": _audit,
     "permitted_members": _triagers,
     "projects_visible": _seen,
     "organization_members": lambda spark, sf: access.members_of(A.members(spark, sf), A.users(spark, sf), 2),
@@ -526,7 +526,7 @@ ORACLE: dict[str, str] = {
             partition by path order by seen_at desc, finding_id, line, scanner, vuln_class) as integer) as place from o)
         select path, finding_id, line, scanner, vuln_class, place from x where place <= 20""",
     "code_markers": f"with {_F}, {_O} select finding_id, line, severity, status, vuln_class from o join g using (finding_id) where path = 'src/p7.py'",
-    "audit_filter": f"""with {_MEM}, own as (select user_id from m where organization_id = 2),
+    "organization_audit": f"""with {_MEM}, own as (select user_id from m where organization_id = 2),
         e as (select event_id, case when event_id % 3 <> 0 then event_id % 5 end as organization_id, user_id, event_type || '.done' as action,
             case when event_type = 'error' then 'FAILURE' else 'SUCCESS' end as outcome, 'user' || user_id as actor_label from events)
         select event_id, action, actor_label from e where (organization_id = 2 or organization_id is null and (user_id in (select * from own)

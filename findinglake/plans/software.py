@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findinglake.operators import retest, sarif, secrets, versions
+from findinglake.operators import merge, retest, sarif, secrets, versions
 from findinglake.plans import adapter as A
 from findinglake.plans.catalog import _fingerprint
 from findinglake.sources import inventory, manifests
@@ -29,7 +29,9 @@ def _access_keys(spark, sf):
 
 
 def _redacted(spark, sf):
-    f = A.files(spark, sf)
+    """Whole documents, their tokens in the form of a provider's."""
+    text = F.regexp_replace("text", 'token = "([0-9a-f]{36})', 'token = "ghp_$1')
+    f = A.files(spark, sf).select("doc_id", "path", text.alias("text"))
     return f.select("doc_id", F.sha2(secrets.redact(F.col("text"), F.col("path")), 256).alias("redacted_sha256"))
 
 
@@ -125,6 +127,17 @@ def _fuzzy(spark, sf):
     return out.groupBy("result", "method").agg(F.count("*").alias("n"))
 
 
+def _alias_groups(spark, sf):
+    """Parts as reports of dependencies: one by its own number, with aliases that chains of parts share."""
+    k = F.col("p_partkey")
+    alias = F.array(F.concat(F.lit("x"), (k % 40 + F.floor(k / 500) * 1000).cast("string")), F.when(k % 7 == 0, F.concat(F.lit("x"), ((k + 1) % 40 + F.floor(k / 500) * 1000).cast("string"))))
+    rows = A.table(spark, sf, "part").select(
+        k.alias("id"), F.lit("npm").alias("ecosystem"), F.lit("P").alias("package_name"), (k % 2).cast("string").alias("version"),
+        F.concat(F.lit("a"), k.cast("string")).alias("advisory_id"), F.lit("r").alias("rule_id"), alias.alias("aliases"),
+    )
+    return merge.grouped_by_keys(rows.select("id", merge.alias_keys().alias("keys")))
+
+
 def _audit(spark, sf):
     e = A.table(spark, sf, "events").where("event_type in ('purchase', 'error') and value is not null")
     return e.where(F.get_json_object("props", "$.k").isNotNull()).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
@@ -164,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retest_fuzzy": _fuzzy,
     "audit_filter": _audit,
     "session_windows": _windows,
+    "alias_groups": _alias_groups,
     "rate_limit_stream": _limited,
     "lockout_stream": _locked,
 }
@@ -174,7 +188,38 @@ e as (select s_suppkey as advisory_id, 'BRAND#' || (s_suppkey % 5 + 1) || (s_nat
 m as (select dep_id, advisory_id from d join e using (name) where (a >= n and a < n + 10) or (a = 50 and b = 1 and c = 1))
 """
 
+_EVENTS = """e as (select user_id as key, event_id, epoch_us(ts) / 1e6::double as t, event_type <> 'error' as ok,
+    row_number() over (partition by user_id order by ts, event_id) as n from events)"""
+
 ORACLE: dict[str, str] = {
+    "alias_groups": """with recursive p as (select p_partkey as id, p_partkey % 2 as v, p_partkey % 40 + p_partkey // 500 * 1000 as a,
+            case when p_partkey % 7 = 0 then (p_partkey + 1) % 40 + p_partkey // 500 * 1000 end as b from part),
+        k as (select id, v || '|' || a as k from p union select id, v || '|' || b from p where b is not null),
+        firsts as (select id, min(k) as k from k group by 1),
+        key_links as (select distinct x.k as x, y.k as y from k x join k y using (id)),
+        reach(x, y) as (select k, k from k union select r.x, l.y from reach r join key_links l on r.y = l.x),
+        least as (select r.x as k, min(k.id) as group_id from reach r join k on k.k = r.y group by 1)
+        select id, group_id from firsts join least using (k)""",
+    "redacted_texts": """select doc_id, sha256(regexp_replace(text, 'token = "[0-9a-f]{32,}([0-9a-f]{4})', 'token = "ghp_************\\1', 'g')) as redacted_sha256
+        from documents""",
+    "rate_limit_stream": f"""with recursive {_EVENTS},
+        r(key, n, event_id, t, allowed, retry_after, times) as (
+            select key, n, event_id, t, true, 0.0::double, [t] from e where n = 1
+            union all
+            select key, n, event_id, t, ok, case when ok then 0.0::double else greatest(0.0::double, 3600 - (t - kept[1])) end,
+                case when ok then list_append(kept, t) else kept end
+            from (select *, len(kept) < 2 as ok from (
+                select e.key, e.n, e.event_id, e.t, list_filter(r.times, lambda x: e.t - x <= 3600) as kept from r join e on e.key = r.key and e.n = r.n + 1)))
+        select cast(key as varchar) as key, event_id, t, allowed, retry_after from r""",
+    "lockout_stream": f"""with recursive {_EVENTS},
+        r(key, n, event_id, t, outcome, failed, until) as (
+            select key, n, event_id, t, case when ok then 'SUCCESS' else 'FAILURE' end, cast(not ok as integer), -1.0::double from e where n = 1
+            union all
+            select key, n, event_id, t, case when locked then 'DENIED' when ok then 'SUCCESS' else 'FAILURE' end,
+                case when locked then failed when ok or failed + 1 >= 2 then 0 else failed + 1 end,
+                case when locked then until when ok then -1 when failed + 1 >= 2 then t + 86400 else until end
+            from (select e.*, r.failed, r.until, r.until > e.t as locked from r join e on e.key = r.key and e.n = r.n + 1))
+        select cast(key as varchar) as key, event_id, t, outcome from r""",
     "secret_scan": """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents),
         v as (select doc_id, n, unnest(regexp_extract_all(line, 'token = "([0-9a-f]{8,200})"', 1)) as v from l)
         select distinct doc_id, 'generic-credential' as detector, cast(n as int) as line, substr(v, 1, 4) || repeat('*', least(length(v) - 8, 12)) || right(v, 4) as masked,

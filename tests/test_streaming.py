@@ -89,3 +89,21 @@ def test_advance(spark):
     got = {(r.repository, r.fingerprint, r.status, r.first_seen, r.last_seen) for r in S.advance(state, scan, 2).collect()}
     assert got == {("r", "a", "RESOLVED", 1, 1), ("r", "b", "REOPENED", 1, 2), ("r", "c", "FALSE_POSITIVE", 1, 1), ("r", "d", "OPEN", 2, 2), ("s", "a", "OPEN", 1, 1)}
     assert S.advance(state.limit(0), scan.limit(0), 2).select(F.count("*")).first()[0] == 0
+
+
+def test_state_of_a_stream(spark, tmp_path):
+    """Three scans in three micro-batches; a batch that runs again changes nothing."""
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [("r", "a", day(1)), ("r", "b", day(1)), ("r", "b", day(2)), ("r", "b", day(2)), ("r", "a", day(3)), ("q", "c", day(3))]
+    schema = "repository string, fingerprint string, at timestamp"
+    for i, part in enumerate((rows[:2], rows[2:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        scans = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        S.keep_state(scans, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        got = {(r.repository, r.fingerprint): (r.status, r.first_seen.day, r.last_seen.day) for r in S.latest_state(spark, str(tmp_path / "state")).collect()}
+        assert got == [
+            {("r", "a"): ("OPEN", 1, 1), ("r", "b"): ("OPEN", 1, 1)},
+            {("r", "a"): ("RESOLVED", 1, 1), ("r", "b"): ("OPEN", 1, 2)},
+            {("r", "a"): ("REOPENED", 1, 3), ("r", "b"): ("RESOLVED", 1, 2), ("q", "c"): ("OPEN", 3, 3)},
+        ][i]
+    assert S.latest_state(spark, str(tmp_path / "none")).count() == 0
