@@ -60,7 +60,7 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
 def open_by_severity(findings: DataFrame) -> DataFrame:
     """Active findings of each severity; severities without any stand with 0."""
     spark = findings.sparkSession
-    dim = spark.createDataFrame([(s,) for s in SEVERITIES], "severity string")
+    dim = spark.range(1).select(F.explode(F.array(*map(F.lit, SEVERITIES))).alias("severity"))
     counts = findings.where(active()).groupBy("severity").agg(F.count("*").alias("n"))
     return dim.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -366,7 +366,46 @@ def _explained(spark, sf):
     return reports.explained(f).groupBy(text.alias("steps")).agg(F.count("*").alias("n"))
 
 
+def _file_views(spark, sf):
+    text = F.regexp_replace("text", 'token = "([0-9a-f]{36})', 'token = "ghp_$1')
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(text, F.lit("\x00"))).otherwise(text)
+    f = A.files(spark, sf).select("doc_id", "path", text.alias("text"))
+    return reports.file_views(f, 5000).select("doc_id", "binary", "truncated", "redacted", F.sha2("text", 256).alias("shown_sha256"))
+
+
+def _stored(spark, sf):
+    k, o = F.col("finding_id"), A.occurrences(spark, sf)
+    key = F.concat_ws("/", k.cast("string"), "path", F.col("line").cast("string"), "scanner", "vuln_class")
+    rows = o.groupBy("finding_id", "path", "line", "scanner", "vuln_class").agg(F.min("snippet").alias("snippet")).withColumn("occurrence_id", key)
+    seen = rows.select(
+        "occurrence_id", (k % 7).alias("scan_id"), "finding_id", F.when(k % 4 != 0, F.col("path")).alias("path"), "line", F.lit("LOW").alias("severity"), F.lit("HIGH").alias("confidence"), "snippet"
+    )
+    proof = rows.select("occurrence_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("ord"), "scanner").where("scanner <> 's4'").select(
+        "occurrence_id", F.col("ord").cast("long").alias("ord"), F.concat(F.lit("k"), F.col("ord").cast("string")).alias("kind"), F.col("scanner").alias("source"), F.lit("x").alias("summary")
+    )
+    own = A.findings(spark, sf).select("finding_id", F.lit("t").alias("title"), "status", "verification", F.lit("own").alias("path"))
+    told = F.array_join(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit("@"), e["source"])), ",")
+    out = reports.stored_scan(seen, own, proof).groupBy("scan_id", "status", "verification", "severity", "confidence", "path", told.alias("evidence"))
+    return out.agg(F.count("*").alias("n"))
+
+
+def _imported(spark, sf):
+    """Findings saved as JSON with the documents' tokens in them, read back and taken in."""
+    value = F.concat(F.lit("ghp_"), F.regexp_extract("text", 'token = "([0-9a-f]{40})', 1))
+    d = A.files(spark, sf).where("text rlike 'token = \"[0-9a-f]{40}'").select("doc_id", value.alias("v"))
+    text = F.concat(
+        F.lit('{"target": "'), F.col("doc_id").cast("string"), F.lit('", "findings": [{"rule_id": "r", "location": {"path": "a.py", "start_line": 1, "snippet": "key '), "v",
+        F.lit('"}, "evidence": [{"kind": "k", "source": "bandit", "summary": "found '), "v", F.lit('"}]}]}'),
+    )
+    saved = d.select(F.from_json(text, f"struct<{reports.SAVED.replace(' string', ':string', 1).replace(' array', ':array', 1)}>").alias("x")).select("x.*")
+    out = reports.imported(saved)
+    return out.select("target", "rule_id", "path", "line", "snippet", F.col("evidence")[0]["source"].alias("source"), F.col("evidence")[0]["summary"].alias("summary"))
+
+
 QUERIES: dict[str, Query] = {
+    "file_views": _file_views,
+    "stored_scans": _stored,
+    "imported_findings": _imported,
     "report_scope": _scope,
     "report_limitations": _limits,
     "finding_views": _views,
@@ -443,6 +482,16 @@ _FIRST_SQL = "case {0} " + " ".join(f"when '{c}' then 'CWE-{numbers[0]}'" for c,
 _PADS = {name: bytes(x ^ pad for x in _KEY.ljust(64, b"\0")).hex() for name, pad in (("inner", 0x36), ("outer", 0x5C))}
 
 ORACLE: dict[str, str] = {
+    "file_views": """with t as (select doc_id, doc_id % 9 = 0 as b, regexp_replace(text, 'token = "([0-9a-f]{36})', 'token = "ghp_\\1', 'g') || case when doc_id % 9 = 0 then chr(0) else '' end as x
+            from documents where text is not null),
+        v as (select doc_id, b, length(x) > 5000 as more, substr(x, 1, 5000) as x from t), m as (select *, regexp_replace(x, 'ghp_[0-9a-f]{32,}([0-9a-f]{4})', 'ghp_************\\1', 'g') as y from v)
+        select doc_id, b as "binary", more as truncated, not b and x <> y as redacted, case when not b then sha256(y) end as shown_sha256 from m""",
+    "stored_scans": f"""with {_F}, {_O}, x as (select distinct finding_id, path, line, scanner, vuln_class from o)
+        select finding_id % 7 as scan_id, status, verification, 'LOW' as severity, 'HIGH' as confidence, case when finding_id % 4 <> 0 then path else 'own' end as path,
+            case when scanner = 's4' then '' else 'k1@' || scanner || ',k2@' || scanner end as evidence, count(*) as n from x join g using (finding_id) group by all""",
+    "imported_findings": """with d as (select doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})', 1) as v from documents where regexp_matches(text, 'token = "[0-9a-f]{40}'))
+        select cast(doc_id as varchar) as target, 'r' as rule_id, 'a.py' as path, 1 as line, 'key ghp_************' || right(v, 4) as snippet, 'cli:bandit' as source,
+            'found ghp_************' || right(v, 4) as summary from d""",
     "report_scope": f"""with {_STATES}, l as (select lang as language, len(string_split(coalesce(text, ''), chr(10))) as lines,
             n_chars <= 8000 and doc_id % 10 not in (1, 2, 3) as done from documents),
         g as (select language, count(*) filter (done) as n, cast(sum(lines) filter (done) as bigint) as lines from l where language is not null group by 1)

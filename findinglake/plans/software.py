@@ -162,6 +162,10 @@ def _locked(spark, sf):
     return S.run_available(S.lockout(_stream(spark, sf), 2, 24 * 60.0))
 
 
+def _bounded(spark, sf):
+    return S.run_available(S.bounded_sessions(_stream(spark, sf).drop("ok"), 24 * 3600.0, 72 * 3600.0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "secret_scan": _secret_scan,
     "secret_access_keys": _access_keys,
@@ -178,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_filter": _audit,
     "session_windows": _windows,
     "alias_groups": _alias_groups,
+    "bounded_sessions": _bounded,
     "rate_limit_stream": _limited,
     "lockout_stream": _locked,
 }
@@ -202,6 +207,13 @@ ORACLE: dict[str, str] = {
         select id, group_id from firsts join least using (k)""",
     "redacted_texts": """select doc_id, sha256(regexp_replace(text, 'token = "[0-9a-f]{32,}([0-9a-f]{4})', 'token = "ghp_************\\1', 'g')) as redacted_sha256
         from documents""",
+    "bounded_sessions": f"""with recursive {_EVENTS},
+        r(key, n, event_id, t, began) as (
+            select key, n, event_id, t, t from e where n = 1
+            union all
+            select e.key, e.n, e.event_id, e.t, case when e.t - r.t > 86400 or e.t - r.began > 259200 then e.t else r.began end
+            from r join e on e.key = r.key and e.n = r.n + 1)
+        select cast(key as varchar) as key, event_id, t, began from r""",
     "rate_limit_stream": f"""with recursive {_EVENTS},
         r(key, n, event_id, t, allowed, retry_after, times) as (
             select key, n, event_id, t, true, 0.0::double, [t] from e where n = 1

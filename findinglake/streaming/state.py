@@ -126,6 +126,31 @@ def lockout(logins: DataFrame, most: int = 5, minutes: float = 15.0, held: int =
     return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, t double, outcome string", "failed int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
+def bounded_sessions(hits: DataFrame, idle: float = 3600.0, longest: float = 28_800.0, held: int = _HELD) -> DataFrame:
+    """key, event_id, t and began, the start of the session, of each hit (key, event_id, t in seconds).
+
+    A session ends when more than `idle` seconds pass without a hit, or more than `longest` since it began; the next
+    hit begins another.  held: so many rows of a key are sorted in memory; more are merged from disk.
+    """
+
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState):
+        began, last = state.get if state.exists else (float("-inf"), float("-inf"))
+
+        def placed():
+            nonlocal began, last
+            for t, none, i in _in_order(chunks, ["t", "none", "event_id"], held):
+                if t - last > idle or t - began > longest:
+                    began = t
+                last = max(last, t)
+                yield key[0], None if none else i, t, began
+
+        yield from _frames(placed(), ["key", "event_id", "t", "began"])
+        state.update((began, last))
+
+    out = "key string, event_id long, t double, began double"
+    return _timed(hits).groupBy("key").applyInPandasWithState(step, out, "began double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """key, began, ended (the last event's time plus the gap) and n of each run of events, no pause above the gap.
 
