@@ -45,7 +45,12 @@ def candidate_pairs(pending: DataFrame, unmatched: DataFrame) -> DataFrame:
     by_name = b.where("function <> ''").join(c.where("c_function <> ''").withColumn("function", F.col("c_function")), [*_PLACE, "function"])
     # A pair that is near as well came by its lines already.
     by_name = by_name.where(~F.coalesce(near, F.lit(False))).select(*by_line.columns)
-    pairs = by_line.unionByName(by_name).withColumn("sim", similarity("code", "c_code")).where(F.col("sim") >= SIMILARITY)
+    pairs = by_line.unionByName(by_name)
+    # The shorter text bounds the ratio from above; what is left is compared once for each two texts.
+    both = F.length("code") + F.length("c_code")
+    pairs = pairs.where(2 * F.least(F.length("code"), F.length("c_code")) >= SIMILARITY * both)
+    texts = pairs.select("code", "c_code").distinct().withColumn("sim", similarity("code", "c_code")).where(F.col("sim") >= SIMILARITY)
+    pairs = pairs.join(texts, ["code", "c_code"])
     bonus = lambda cond, x: F.when(F.coalesce(cond, F.lit(False)), x).otherwise(0.0)
     score = F.col("sim") + bonus(named & (F.col("function") != ""), 0.5) + bonus(near, 0.3) + bonus(F.col("rule_id") == F.col("c_rule_id"), 0.2)
     return pairs.select(*_PLACE, F.col("id").alias("base"), "ord", F.col("c_id").alias("cur"), F.col("c_ord").alias("cur_ord"), score.alias("score"))
