@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from .tables import cut_lineage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+_EDGES = 100_000  # edges for each task; fewer edges than tasks would make files of nothing
+
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """edges (a, b): each neighbour of a node is linked to the node's smallest neighbour or the node itself.
 
     large: neighbours greater than the node move; otherwise neighbours that are smaller, and the node.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
     moved = both.where(F.col("b") > F.col("a")) if large else both.where(F.col("b") < F.col("a"))
     out = moved.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(tasks).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -33,9 +36,10 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut_lineage(now)
+    tasks = 8 + now.count() // _EDGES
     state = None
     for _ in range(rounds):
-        now = cut_lineage(_star(_star(now, True), False))
+        now = cut_lineage(_star(_star(now, True, tasks), False, tasks).coalesce(tasks))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.col("b") >= F.col("a")).cast("int"))).first()
         chained = now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi").limit(1).count()
         if tuple(seen) == state and not chained:

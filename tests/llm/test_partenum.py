@@ -1,6 +1,8 @@
 import random
 
-from findinglake.llm.partenum import jaccard_groups
+import numpy as np
+
+from findinglake.llm.partenum import jaccard_groups, signatures
 
 
 def _brute(rows, size=5, percent=80):
@@ -57,6 +59,8 @@ def test_equals_brute_force(spark):
         assert len({c for _, _, c in want}) < 0.85 * len(rows)
         df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, id int")
         assert _found(df, block=512 if seed == 1 else 3) == want
+        if seed == 1:
+            assert _found(df) == want  # stars of one task
 
 
 def test_nulls_and_empty(spark):
@@ -66,3 +70,16 @@ def test_nulls_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in out)
     assert got == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4)]
     assert jaccard_groups(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_signatures_meet_for_similar_sets():
+    """Sets as far apart as the threshold allows share a signature, whatever their sizes."""
+    rng = np.random.default_rng(1)
+    for n in [1, 2, 3, 4, 5, 6, 8, 11, 14, 20, 33, 60, 100, 250, 700]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            most = [(x, y) for x in range(n + 1) for y in range(n // 4 + 2) if 100 * (n - x) >= 80 * (n + y)]
+            x, y = most[rng.integers(len(most))]
+            b = np.unique(np.append(a[rng.permutation(a.size)[x:]], rng.integers(0, 2**63, y).astype(np.uint64)))
+            sigs, owner = signatures([a, b], 80)
+            assert np.intersect1d(sigs[owner == 0], sigs[owner == 1]).size, (n, x, y)
