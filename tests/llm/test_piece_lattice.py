@@ -1,4 +1,5 @@
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from findinglake.llm.piece_lattice import SPACE, decode, default_model, encode, piece_table
@@ -69,3 +70,14 @@ def test_corpus_round_trip(spark, sf):
                 assert sum(map(library.get_score, list(r.ids))) >= sum(scores)
                 same += 1
     assert same > 3
+
+
+def test_long_units_and_odd_columns(spark):
+    """A run of 20,000 characters that no place cuts, ids that no float holds, and columns called like results."""
+    rows = [(2**53 + 1, "x" * 20_000, 1), (None, "y" * 300 + " " + "ab" * 200, 2), (2**63 - 1, "", 3), (7, "z\n\nz", 4), (7, "z\n\nz", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").withColumn("unit", F.lit("u")).withColumn("chunk", F.lit(1))
+    got = encode(docs).collect()
+    assert sorted((r.doc_id or 0, len(r.ids)) for r in got) == sorted((d or 0, len(_best(t))) for d, t, _ in rows)
+    for r in got:
+        t = next(t for d, t, _ in rows if d == r.doc_id)
+        assert list(r.ids) == _best(t) and r.round_trip
