@@ -176,7 +176,7 @@ def _losses(chunk: _Chunk, told: pd.DataFrame) -> np.ndarray:
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, vocabulary: int | None = None, chunk_bytes: int = 6 << 20, range_bytes: int = 12 << 20
+    docs: DataFrame, target: DataFrame, vocabulary: int | None = None, chunk_bytes: int = 5 << 20, range_bytes: int = 8 << 20
 ) -> DataFrame:
     """Per row: doc_id, n_words, target_loss, background_loss, score (background_loss - target_loss).
 
