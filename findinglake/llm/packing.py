@@ -37,7 +37,7 @@ class Encoder:
     outside Latin-1 and texts with special tokens go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
