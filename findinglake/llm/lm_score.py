@@ -53,7 +53,7 @@ def vocabulary_of(docs: DataFrame, size: int) -> np.ndarray:
 
         for pdf in batches:
             texts = _encode(pdf["text"])
-            for i, j in blocks(texts, 1 << 22):
+            for i, j in blocks(texts, 1 << 20):
                 k, c = np.unique(word_hashes(texts[i:j])[0], return_counts=True)
                 held = _sum(np.append(held[0], k), np.append(held[1], c))
                 if held[0].size > _FLUSH:
@@ -88,7 +88,7 @@ class _Chunk:
 
     def __init__(self, pdf: pd.DataFrame, known: np.ndarray | None):
         texts = _encode(pdf["text"])
-        parts = [(*word_hashes(texts[i:j]), i) for i, j in blocks(texts, 1 << 22)]
+        parts = [(*word_hashes(texts[i:j]), i) for i, j in blocks(texts, 1 << 20)]
         h = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
         self.owner = np.concatenate([np.empty(0, np.int64), *(p[1] + p[2] for p in parts)])
         if known is not None:
