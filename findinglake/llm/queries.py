@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, licenses, lm_score, packing, partenum, piece_lattice, quality_mcd, sharding, suffix_dedup, toxicity
+from . import embed_dedup, fill_middle, filter_audit, licenses, lm_score, packing, partenum, piece_lattice, quality_mcd, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_ngram_jaccard,
         op10_toxicity,
+        op11_fill_in_middle,
+        op13_filter_interaction_audit,
     )
 }
 
@@ -140,4 +150,58 @@ ORACLE: dict[str, str] = {
         select id as doc_id, cast(len(s) as bigint) as n_shingles, component_id
         from nodes join least on least.x = nodes.id
     """,
+    "op11_fill_in_middle": """
+        with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        drawn as (
+            select doc_id, t, length(t) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+                cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+            from d),
+        cut as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+                    when h4 % 100 < 20 then 'spm' else 'psm' end as form
+            from drawn),
+        made as (
+            select *, case form when 'plain' then t
+                when 'psm' then '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                else '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) end as output
+            from cut)
+        select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+            sha256(output) as output_sha256, sha256(t) as restored_sha256
+        from made
+    """,
+    "op13_filter_interaction_audit": r"""
+        with marks as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+        d as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+            from documents),
+        f as (
+            select part, len(w) < 50 as A, 100 * len(list_distinct(w)) < 65 * len(w) as B,
+                100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) as C, regexp_matches(t, '[#$%&*|]') as D,
+                coalesce(doc_id > min(doc_id) over (partition by t), min(doc_id) over (partition by t) is not null) as E,
+                coalesce(good, false) as good, coalesce(toxic, false) as toxic
+            from d left join marks using (doc_id)),
+        letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (
+            select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+            where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        rows as (
+            select part, good, toxic, [A, B, C, D, E] as v, count(*) as n from f group by all),
+        steps as (
+            select *, v[ascii(filter_order[step]) - 64] as fails,
+                coalesce(list_min(list_filter(range(1, 6), lambda i: v[ascii(filter_order[i]) - 64])), 6) as first,
+                len(list_filter(v, lambda x: x)) as many
+            from rows, orders, (select unnest(range(1, 6)) as step)),
+        counts as (
+            select part, filter_order, cast(step as integer) as step, filter_order[step] as letter,
+                coalesce(sum(n) filter (first > step), 0) as kept, coalesce(sum(n) filter (first = step), 0) as removed,
+                coalesce(sum(n) filter (fails and first < step), 0) as redundant, coalesce(sum(n) filter (fails and many = 1), 0) as unique_fails,
+                coalesce(sum(n) filter (first = step and good), 0) as good_lost, coalesce(sum(n) filter (first = step and toxic), 0) as toxic_lost
+            from steps group by all)
+        select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+            cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+            cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+        from counts
+    """,
 }
