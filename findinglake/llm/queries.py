@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, fill_middle, filter_audit, licenses, lm_score, packing, partenum, piece_lattice, quality_mcd, sharding, suffix_dedup, toxicity
+from . import embed_dedup, fill_middle, filter_audit, html_text, licenses, lm_score, packing, partenum, piece_lattice, quality_mcd, sharding, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle_digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_ngram_jaccard,
         op10_toxicity,
         op11_fill_in_middle,
+        op12_html_extraction,
         op13_filter_interaction_audit,
     )
 }
@@ -170,6 +175,21 @@ ORACLE: dict[str, str] = {
             sha256(output) as output_sha256, sha256(t) as restored_sha256
         from made
     """,
+    # These pages hold one article element each, and no other of the elements that the operator leaves out is in it.
+    "op12_html_extraction": r"""
+        with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article\b[^>]*>(.*?)(?:</article>|$)', 1) as x from pages),
+        lines as (
+            select page_id, url, unnest(string_split(regexp_replace(replace(x, '<br>', ' '), '</?(?:p|h1)>', chr(1), 'g'), chr(1))) as b,
+                unnest(range(len(string_split(regexp_replace(replace(x, '<br>', ' '), '</?(?:p|h1)>', chr(1), 'g'), chr(1))))) as i
+            from a),
+        decoded as (
+            select page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(
+                regexp_replace(b, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as b
+            from lines)
+        select page_id, url, coalesce(string_agg(b, chr(10) order by i) filter (b <> ''), '') as text,
+            cast(length(coalesce(string_agg(b, chr(10) order by i) filter (b <> ''), '')) as bigint) as n_chars, 'body>article' as path
+        from decoded group by page_id, url
+    """,
     "op13_filter_interaction_audit": r"""
         with marks as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
         d as (
