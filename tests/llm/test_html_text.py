@@ -61,7 +61,7 @@ def test_consensus_of_a_host(spark):
     assert all(got[i].text == LONG and got[i].path == "body>div.k0.p-0" for i in range(9))
     assert got[20].text == "short" and got[21].text == got[22].text == got[23].text == LONG and got[24].text == "another"
     won = {r.host: [w.path for w in r.winners] for r in host_paths(df).collect()}
-    assert won["a.example"] == ["body>div.k0.p-0"] and won["b.example"][0] == "body>div.z3"
+    assert won["a.example"] == ["body>div.k0.p-0"] and won["b.example"][0] == "body>div.z0"
 
 
 def test_odd_rows(spark):
