@@ -82,17 +82,29 @@ def count_texts(texts: list[bytes]) -> np.ndarray:
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, text_hash (of 64 bits) and COUNTS of every whole text; a null text counts as empty.  No shuffle."""
-    schema = "id long, no_id boolean, lang string, source string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
+    """doc_id, lang, source, text_hash (of 64 bits) and COUNTS of every whole text; a null text counts as empty.  No shuffle.
+
+    An Arrow batch's texts are taken out half a megabyte at a time (one text at least), so a worker holds little besides
+    the batch itself, whatever its number of rows.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
-        for pdf in batches:
-            n = count_texts([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]])
-            yield pd.concat([pdf.drop(columns="text"), pd.DataFrame(n, columns=COUNTS, index=pdf.index)], axis=1)
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()))
+            group = np.cumsum(sizes + 1) // (1 << 19)
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+            parts = [count_texts([(t or "").encode("utf-8", "surrogatepass") for t in text.slice(i, j - i).to_pylist()]) for i, j in zip(cuts, cuts[1:])]
+            n = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
+            columns = [*batch.columns[:-1], *(pa.array(n[:, k]) for k in range(len(COUNTS)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *COUNTS])
 
     id_ = F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")
     out = docs.select(id_, F.col("doc_id").isNull().alias("no_id"), "lang", "source", F.xxhash64("text").alias("text_hash"), "text")
-    out = out.mapInPandas(run, schema)
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    out = out.mapInArrow(run, f"id long, no_id boolean, lang string, source string, text_hash long, {counts}")
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "lang", "source", "text_hash", *COUNTS)
 
 
@@ -119,10 +131,16 @@ def _distance() -> Column:
 
 
 def blocks_of(vectors: DataFrame, size: int = 20_000) -> DataFrame:
-    """(key, v) packed: key, n and the vectors of a block of about `size` rows of the key, in any order."""
+    """(key, v, deal) packed: key, n and the vectors of a block of about `size` rows of the key, in any order.
+
+    deal: a number of the row, fixed where the rows were written; rows without it are numbered here.
+    """
+    if "deal" not in vectors.columns:
+        vectors = cut_lineage(vectors).withColumn("deal", F.monotonically_increasing_id())
     counts = vectors.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     counts = F.broadcast(counts) if counts.limit(_FEW + 1).count() <= _FEW else counts
-    dealt = vectors.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.col("parts")).cast("int"))
+    # Rows are dealt by numbers that they were given before the join, so a repeated task deals them alike.
+    dealt = vectors.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("v", "deal"), F.col("parts")).cast("int"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
@@ -266,7 +284,7 @@ def _concentrated(blocks: DataFrame, now: DataFrame, few: bool, share: float, fa
 
 
 def estimates(vectors: DataFrame, share: float = 0.75, steps: int | None = None) -> DataFrame:
-    """MCD location and inverse scatter for each key of (key, v): key, center, inverse, log_det, rows.
+    """MCD location and inverse scatter for each key of (key, v, deal): key, center, inverse, log_det, rows.
 
     Each start takes steps until its determinant doesn't fall by a ten-thousandth, or `steps` of them where that is given.
     An empty table gives an empty table.
@@ -324,7 +342,7 @@ def judged(docs: DataFrame, tail: float = TAIL, least: int = 60) -> DataFrame:
     counts = cut_lineage(text_counts(docs))
     rows = counts.withColumns({"base_failed": base_failed(), "v": _vector()})
     own, wide = F.concat(F.lit("both"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("lang"), F.to_json(F.struct("lang")))
-    good = cut_lineage(rows.where("not base_failed").select(own.alias("own"), wide.alias("wide"), "v"))
+    good = cut_lineage(rows.where("not base_failed").select(own.alias("own"), wide.alias("wide"), "v")).withColumn("deal", F.monotonically_increasing_id())
     # Only groups that some document needs are estimated: its own, or its language, or all.
     sizes = good.groupBy("own", "wide").agg(F.count("*").alias("n"))
     langs = sizes.groupBy("wide").agg(F.sum("n").alias("all"), F.count_if(F.col("n") < least).alias("small"))
@@ -338,7 +356,7 @@ def judged(docs: DataFrame, tail: float = TAIL, least: int = 60) -> DataFrame:
     few = keys.limit(_FEW + 1).count() <= _FEW
     told = F.broadcast(keys) if few else keys
     every = F.array_append(F.col("keys"), F.lit("all")) if lonely else F.col("keys")
-    vectors = good.join(told, "own").select(F.explode(F.array_compact(every)).alias("key"), "v")
+    vectors = good.join(told, "own").select(F.explode(F.array_compact(every)).alias("key"), "v", "deal")
     found = cut_lineage(estimates(vectors).select("key", "center", "inverse"))
     use = keys.select("own", F.coalesce(*(F.col("keys")[i] for i in range(2)), F.lit("all")).alias("key")).join(found, "key").drop("key")
     out = rows.withColumn("own", own).join(F.broadcast(use) if few else use, "own", "left")
