@@ -130,7 +130,7 @@ def _distance() -> Column:
     return sum(d[i] * d[j] * F.col("inverse")[i * _DIM + j] for i in range(_DIM) for j in range(_DIM))
 
 
-def blocks_of(vectors: DataFrame, size: int = 20_000) -> DataFrame:
+def blocks_of(vectors: DataFrame, size: int = 4_000) -> DataFrame:
     """(key, v, deal) packed: key, n and the vectors of a block of about `size` rows of the key, in any order.
 
     deal: a number of the row, fixed where the rows were written; rows without it are numbered here.
