@@ -229,8 +229,12 @@ def _policies(spark, sf):
     return lifecycle.policy_of(p, own, wide, F.lit("default"))
 
 
+# The classes' main weaknesses; those of the other classes are their lowest numbers.
+_FIRST = {c: n for n, c in reversed(adapters.CWE_CLASSES.items())} | {"xss": "CWE-79", "command_injection": "CWE-78", "hardcoded_secret": "CWE-259"}
+
+
 def _catalog(spark):
-    rows = [(c, [f"CWE-{n[0]}"]) for c, n in adapters.CWE_CLASSES.items()]
+    rows = [(c, [n]) for c, n in _FIRST.items()]
     return spark.createDataFrame(rows, "vuln_class string, class_cwe array<string>")
 
 
@@ -238,14 +242,14 @@ def _bandit(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size")
     code = F.concat((size - 1).cast("string"), F.lit(" x = 1\n"), size.cast("string"), F.lit(" "), F.col("p_type"), F.lit("\n"))
     item = F.struct(
-        F.concat(F.lit("B"), (k % 8 + 601).cast("string")).alias("test_id"), F.col("p_name").alias("test_name"), F.upper("p_brand").alias("issue_text"),
+        F.concat(F.lit("B"), (k % 8 + 601).cast("string")).alias("test_id"), F.col("p_name").alias("test_name"), F.concat(F.lit('found token = "ghp_'), F.repeat(F.lit("a1B2c3D4e5F6"), 3), F.lit('" in '), "p_brand").alias("issue_text"),
         A._choice(k % 4, ["HIGH", "MEDIUM", "LOW", "UNDEFINED"]).alias("issue_severity"), A._choice(k % 3, ["HIGH", "MEDIUM", "LOW"]).alias("issue_confidence"),
         F.struct((k % 100 + 70).alias("id")).alias("issue_cwe"), F.concat(F.lit("./src/"), F.col("p_name"), F.lit(".py")).alias("filename"),
         size.alias("line_number"), (k % 9).alias("col_offset"), code.alias("code"),
     )
     reports = A.table(spark, sf, "part").select(k.alias("report_id"), F.to_json(F.struct(F.array(item).alias("results"))).alias("json"))
     out = adapters.bandit(reports, _catalog(spark))
-    return out.select("report_id", "rule_id", "vuln_class", "severity", "confidence", "path", "line", "col", "snippet", F.array_join("cwe", ",").alias("cwe"))
+    return out.select("report_id", "rule_id", "vuln_class", "severity", "confidence", "path", "line", "col", "snippet", "message", F.array_join("cwe", ",").alias("cwe"))
 
 
 def _semgrep(spark, sf):
@@ -254,7 +258,7 @@ def _semgrep(spark, sf):
     cwe = F.when(k % 2 == 0, one).otherwise(F.concat(F.lit('["none", '), one, F.lit("]")))
     json = F.concat(
         F.lit('{"results": [{"check_id": "a.b.no-'), F.lower("p_brand"), F.lit('", "path": "src/x.py", "start": {"line": '), F.col("p_size").cast("string"),
-        F.lit(', "col": 3}, "extra": {"message": "m", "severity": "'), A._choice(k % 3, ["ERROR", "WARNING", "INFO"]), F.lit('", "lines": " y ", "metadata": {"cwe": '),
+        F.lit(', "col": 3}, "extra": {"message": "m", "severity": "'), A._choice(k % 3, ["ERROR", "WARNING", "INFO"]), F.lit('", "lines": " y = \\"sk_live_aB3dE6gH9jK2mN5pQ8sT1v\\" ", "metadata": {"cwe": '),
         cwe, F.lit(', "confidence": "low"}}}]}'),
     )
     out = adapters.semgrep(A.table(spark, sf, "part").select(k.alias("report_id"), json.alias("json")), _catalog(spark))
@@ -477,8 +481,8 @@ _STATES = """fs as (select case when n_chars > 8000 then 'SKIPPED_SIZE' when doc
     when doc_id % 10 = 3 then 'OTHER' else 'ANALYZED' end as status from documents),
     sk as (select status, count(*) as n, case status when 'SKIPPED_SIZE' then 'too large' when 'SKIPPED_BINARY' then 'binary' else 'could not be parsed' end as reason
         from fs where status not in ('OTHER', 'ANALYZED') group by 1)"""
-_CLASS_SQL = "case {0} " + " ".join(f"when {n} then '{c}'" for c, numbers in adapters.CWE_CLASSES.items() for n in numbers) + " end"
-_FIRST_SQL = "case {0} " + " ".join(f"when '{c}' then 'CWE-{numbers[0]}'" for c, numbers in adapters.CWE_CLASSES.items()) + " end"
+_CLASS_SQL = "case {0} " + " ".join(f"when {n[4:]} then '{c}'" for n, c in adapters.CWE_CLASSES.items()) + " end"
+_FIRST_SQL = "case {0} " + " ".join(f"when '{c}' then '{n}'" for c, n in _FIRST.items()) + " end"
 _PADS = {name: bytes(x ^ pad for x in _KEY.ljust(64, b"\0")).hex() for name, pad in (("inner", 0x36), ("outer", 0x5C))}
 
 ORACLE: dict[str, str] = {
@@ -498,14 +502,14 @@ ORACLE: dict[str, str] = {
         select (select count(*) from l) as files_total, (select count(*) from l where done) as files_analyzed, (select cast(sum(lines) as bigint) from l where done) as lines_analyzed,
             string_agg(language || ':' || n || ':' || lines, ',' order by language) as languages, 'Static analysis:ran,Bandit:unavailable,custom:failed' as scanners from g where n > 0""",
     "report_limitations": f"""with {_F}, {_STATES}
-        select 1 as ord, 'Static analysis doesn''t run the code: it can miss flaws and report harmless code.' as text
-        union all select 2, 'Business logic and the deployed environment weren''t assessed.'
-        union all select 3, 'Partial scan: only the submitted files were analysed.'
+        select 1 as ord, 'Code was read, not run: flaws may be missed, and harmless code may be reported.' as text
+        union all select 2, 'What the code is for, and where it runs, was not judged.'
+        union all select 3, 'Only a part of the code was submitted; the rest was not looked at.'
         union all select 4, 'Bandit unavailable: not installed' union all select 4, 'custom failed.'
         union all select 5, cast(sum(n) as varchar) || ' file(s) were not fully analysed (' || string_agg(n || ' ' || reason, ', ' order by status) || ').' from sk
-        union all select 6, count(*) || ' dependencies could not be verified.' from part where p_partkey % 3 = 0
-        union all select 7, count(*) || ' findings are not proven exploitable.' from g where exploitability in ('POSSIBLE', 'THEORETICAL')
-        union all select 8, count(*) || ' findings are AI-suggested only.' from g where verification = 'AI_SUGGESTED'""",
+        union all select 6, count(*) || ' dependencies were not compared.' from part where p_partkey % 3 = 0
+        union all select 7, count(*) || ' findings have no proof of an exploit.' from g where exploitability in ('POSSIBLE', 'THEORETICAL')
+        union all select 8, count(*) || ' findings rest on a model''s word only.' from g where verification = 'AI_SUGGESTED'""",
     "finding_views": f"""with {_O}, x as (select case when finding_id % 5 <> 0 then path end as path, case when finding_id % 3 <> 0 then line end as line, vuln_class from o)
         select case when coalesce(line, 0) <> 0 then concat_ws(':', path, line) else coalesce(path, '') end as location, 'https://a/' || vuln_class as "references", count(*) as n
         from x group by 1, 2""",
@@ -522,16 +526,16 @@ ORACLE: dict[str, str] = {
         a as (select *, s_suppkey as k from supplier where s_suppkey < 40)
         select path, name || ' ' || version || ' - A-' || k || case when k % 2 = 0 then ' (CVE-' || k || ')' else '' end as title,
             case when k % 3 = 0 then 'A-' || k else s_name end || '. Affected: ' || case when k % 4 = 0 then '<2; >=3, <4' else 'see advisory' end
-                || case when k % 5 = 0 then '. No fixed version is published.' else '. Fixed in: 2, 4.' end as description,
-            case when k % 5 <> 0 then 'Upgrade ' || name || ' to 4 or later, then rescan.' end as recommendation,
+                || case when k % 5 = 0 then '. No version with a fix so far.' else '. Fixed in: 2, 4.' end as description,
+            case when k % 5 <> 0 then 'Move ' || name || ' to 4 or a later version and scan again.' end as recommendation,
             'dependency,pypi,' || case when p_partkey % 2 = 0 then 'direct' else 'transitive' end as tags from d join a on k = n""",
     "explained_findings": f"""with {_F}, x as (select case finding_id % 6
-            when 0 then case when finding_id % 12 = 0 then '1 Untrusted input enters the program: request; 2 Data flows onward: p:2; 3 It reaches a dangerous operation: exec at a.py:9; 4 '
-                else '1 A value of unknown origin: Its source could not be traced, so the confidence is lower.; 2 goes on: p:1; 3 Data flows onward: p:2; 4 It reaches a dangerous operation: exec at a.py:9; 5 ' end
-            when 1 then '1 A value like a credential is in the code: Key ab** at a.py:9; 2 It matches a known format: d; 3 '
-            when 2 then '1 The project depends on this package: pkg@1; 2 A published advisory covers this version: A; 3 Upgrade path: '
-                || case when finding_id % 4 = 0 then 'Fixed in 2, 3' else 'No fixed version is published yet' end || '; 4 '
-            when 3 then '1 seen: why; 2 ' when 4 then '1 A risky construct was found: seen; 2 ' else '1 A risky construct was found: t; 2 ' end
+            when 0 then case when finding_id % 12 = 0 then '1 Input from outside: request; 2 The value moves on: p:2; 3 The value arrives at a sink: exec at a.py:9; 4 '
+                else '1 Origin not found: No source was found; this lowers the confidence.; 2 goes on: p:1; 3 The value moves on: p:2; 4 The value arrives at a sink: exec at a.py:9; 5 ' end
+            when 1 then '1 Credential in a file: Key ab** at a.py:9; 2 Format recognised: d; 3 '
+            when 2 then '1 Package in use: pkg@1; 2 An advisory names this version: A; 3 Way out: '
+                || case when finding_id % 4 = 0 then 'Fixed in 2, 3' else 'No version with a fix so far' end || '; 4 '
+            when 3 then '1 seen: why; 2 ' when 4 then '1 Construct with a known risk: seen; 2 ' else '1 Construct with a known risk: t; 2 ' end
             || 'Potential xss: Severity ' || severity || ', confidence ' || confidence || ', exploitability ' || lower(replace(exploitability, '_', ' ')) || '.' as steps from g)
         select steps, count(*) as n from x group by 1""",
     "top_findings": f"""with {_F} select finding_id, project_id, severity, round(inherent, 3) as risk_score from g where live
@@ -649,12 +653,12 @@ ORACLE: dict[str, str] = {
         c as (select *, coalesce(by_test, {_CLASS_SQL.format("cwe_number")}, 'dangerous_api') as vuln_class from x)
         select p_partkey as report_id, 'bandit:B' || (p_partkey % 8 + 601) as rule_id, vuln_class,
             case p_partkey % 4 when 0 then 'HIGH' when 2 then 'LOW' else 'MEDIUM' end as severity, case p_partkey % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as confidence,
-            'src/' || p_name || '.py' as path, p_size as line, cast(p_partkey % 9 + 1 as integer) as col, p_type as snippet,
+            'src/' || p_name || '.py' as path, p_size as line, cast(p_partkey % 9 + 1 as integer) as col, p_type as snippet, 'found token = "ghp_************e5F6" in ' || p_brand as message,
             case when {_FIRST_SQL.format("vuln_class")} = 'CWE-' || cwe_number then 'CWE-' || cwe_number else 'CWE-' || cwe_number || ',' || {_FIRST_SQL.format("vuln_class")} end as cwe
         from c""",
     "semgrep_findings": f"""with x as (select *, p_partkey % 100 + 70 as cwe_number from part), c as (select *, coalesce({_CLASS_SQL.format("cwe_number")}, 'dangerous_api') as vuln_class from x)
         select p_partkey as report_id, 'semgrep:a.b.no-' || lower(p_brand) as rule_id, vuln_class, 'no ' || lower(p_brand) as title,
-            case p_partkey % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as severity, 'LOW' as confidence, 'src/x.py' as path, p_size as line, 'y' as snippet,
+            case p_partkey % 3 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as severity, 'LOW' as confidence, 'src/x.py' as path, p_size as line, 'y = "sk_l************sT1v"' as snippet,
             case when {_FIRST_SQL.format("vuln_class")} = 'CWE-' || cwe_number then 'CWE-' || cwe_number else 'CWE-' || cwe_number || ',' || {_FIRST_SQL.format("vuln_class")} end as cwe
         from c""",
     "gitleaks_findings": """select p_partkey as report_id, 'gitleaks:' || p_type as rule_id,

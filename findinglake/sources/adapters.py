@@ -11,36 +11,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findinglake.functions.columns import lookup, package_name
+from findinglake.operators.secrets import redact
 from findinglake.operators.versions import advisory_severity, describe_ranges
 
-# Classes of weaknesses by CWE number.
+# Classes of weaknesses by CWE.
 CWE_CLASSES = {
-    "sql_injection": [89, 564], "nosql_injection": [943], "xss": [79, 80, 83], "command_injection": [77, 78, 88],
-    "code_injection": [94, 95], "template_injection": [1336], "path_traversal": [22, 23, 36, 73], "file_inclusion": [98],
-    "ssrf": [918], "open_redirect": [601], "hardcoded_secret": [259, 321, 798], "weak_cryptography": [326, 327, 328, 916],
-    "weak_randomness": [330, 338], "insecure_tls": [295, 297, 319], "insecure_authentication": [256, 287, 347, 614, 1004],
-    "missing_csrf_protection": [352], "broken_authorization": [285, 639, 862, 863], "unsafe_file_handling": [377, 434, 732],
-    "insecure_deserialization": [502], "xxe": [611, 776], "prototype_pollution": [1321], "redos": [1333],
-    "sensitive_data_exposure": [200], "dangerous_api": [209, 489, 676, 942], "vulnerable_dependency": [1395],
-    "buffer_overflow": [120, 121, 122], "out_of_bounds": [125, 129, 787], "use_after_free": [416], "double_free": [415],
-    "format_string": [134], "integer_overflow": [190, 680], "race_condition": [362, 367], "ldap_injection": [90],
-    "xpath_injection": [643], "expression_injection": [917], "prompt_injection": [1427], "llm_output_handling": [1426],
+    "CWE-22": "path_traversal", "CWE-23": "path_traversal", "CWE-36": "path_traversal", "CWE-73": "path_traversal", "CWE-77": "command_injection",
+    "CWE-78": "command_injection", "CWE-79": "xss", "CWE-80": "xss", "CWE-83": "xss", "CWE-88": "command_injection", "CWE-89": "sql_injection",
+    "CWE-90": "ldap_injection", "CWE-94": "code_injection", "CWE-95": "code_injection", "CWE-98": "file_inclusion", "CWE-120": "buffer_overflow",
+    "CWE-121": "buffer_overflow", "CWE-122": "buffer_overflow", "CWE-125": "out_of_bounds", "CWE-129": "out_of_bounds", "CWE-134": "format_string",
+    "CWE-190": "integer_overflow", "CWE-200": "sensitive_data_exposure", "CWE-209": "dangerous_api", "CWE-256": "insecure_authentication",
+    "CWE-259": "hardcoded_secret", "CWE-285": "broken_authorization", "CWE-287": "insecure_authentication", "CWE-295": "insecure_tls",
+    "CWE-297": "insecure_tls", "CWE-319": "insecure_tls", "CWE-321": "hardcoded_secret", "CWE-326": "weak_cryptography",
+    "CWE-327": "weak_cryptography", "CWE-328": "weak_cryptography", "CWE-330": "weak_randomness", "CWE-338": "weak_randomness",
+    "CWE-347": "insecure_authentication", "CWE-352": "missing_csrf_protection", "CWE-362": "race_condition", "CWE-367": "race_condition",
+    "CWE-377": "unsafe_file_handling", "CWE-415": "double_free", "CWE-416": "use_after_free", "CWE-434": "unsafe_file_handling",
+    "CWE-489": "dangerous_api", "CWE-502": "insecure_deserialization", "CWE-564": "sql_injection", "CWE-601": "open_redirect", "CWE-611": "xxe",
+    "CWE-614": "insecure_authentication", "CWE-639": "broken_authorization", "CWE-643": "xpath_injection", "CWE-676": "dangerous_api",
+    "CWE-680": "integer_overflow", "CWE-732": "unsafe_file_handling", "CWE-776": "xxe", "CWE-787": "out_of_bounds", "CWE-798": "hardcoded_secret",
+    "CWE-862": "broken_authorization", "CWE-863": "broken_authorization", "CWE-916": "weak_cryptography", "CWE-917": "expression_injection",
+    "CWE-918": "ssrf", "CWE-942": "dangerous_api", "CWE-943": "nosql_injection", "CWE-1004": "insecure_authentication",
+    "CWE-1321": "prototype_pollution", "CWE-1333": "redos", "CWE-1336": "template_injection", "CWE-1395": "vulnerable_dependency",
+    "CWE-1426": "llm_output_handling", "CWE-1427": "prompt_injection",
 }
-# Classes of weaknesses by Bandit test number.
+# Classes of weaknesses by Bandit test.
 BANDIT_CLASSES = {
-    "code_injection": [102, 307], "unsafe_file_handling": [103, 108, 306], "dangerous_api": [104, 201, 612, 613],
-    "hardcoded_secret": [105, 106, 107], "insecure_deserialization": [301, 302, 506, 614],
-    "weak_cryptography": [303, 304, 305, 324, 505], "xss": [308, 701, 702, 703, 704], "ssrf": [310], "weak_randomness": [311],
-    "insecure_tls": [312, 321, 323, 501, 502, 503, 504, 507], "xxe": [313, 314, 315, 316, 317, 318, 319, 320],
-    "command_injection": [601, 602, 604, 605, 609], "sql_injection": [608, 610, 611], "ai_supply_chain": [615],
+    "B102": "code_injection", "B103": "unsafe_file_handling", "B104": "dangerous_api", "B105": "hardcoded_secret", "B106": "hardcoded_secret",
+    "B107": "hardcoded_secret", "B108": "unsafe_file_handling", "B201": "dangerous_api", "B301": "insecure_deserialization",
+    "B302": "insecure_deserialization", "B303": "weak_cryptography", "B304": "weak_cryptography", "B305": "weak_cryptography",
+    "B306": "unsafe_file_handling", "B307": "code_injection", "B308": "xss", "B310": "ssrf", "B311": "weak_randomness", "B312": "insecure_tls",
+    "B313": "xxe", "B314": "xxe", "B315": "xxe", "B316": "xxe", "B317": "xxe", "B318": "xxe", "B319": "xxe", "B320": "xxe", "B321": "insecure_tls",
+    "B323": "insecure_tls", "B324": "weak_cryptography", "B501": "insecure_tls", "B502": "insecure_tls", "B503": "insecure_tls",
+    "B504": "insecure_tls", "B505": "weak_cryptography", "B506": "insecure_deserialization", "B507": "insecure_tls", "B601": "command_injection",
+    "B602": "command_injection", "B604": "command_injection", "B605": "command_injection", "B608": "sql_injection", "B609": "command_injection",
+    "B610": "sql_injection", "B611": "sql_injection", "B612": "dangerous_api", "B613": "dangerous_api", "B614": "insecure_deserialization",
+    "B615": "ai_supply_chain", "B701": "xss", "B702": "xss", "B703": "xss", "B704": "xss",
 }
 # Severities and confidences by the tools' names for them; others are MEDIUM.
 SEVERITY_NAMES = {"HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW", "ERROR": "HIGH", "WARNING": "MEDIUM", "INFO": "LOW", "CRITICAL": "CRITICAL"}
 CONFIDENCE_NAMES = {"HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW"}
 OTHER_CLASS = "dangerous_api"
 
-_BY_CWE = {f"CWE-{n}": c for c, numbers in CWE_CLASSES.items() for n in numbers}
-_BY_TEST = {f"B{n}": c for c, numbers in BANDIT_CLASSES.items() for n in numbers}
 
 
 def cwe_name(value: Column) -> Column:
@@ -51,7 +62,7 @@ def cwe_name(value: Column) -> Column:
 
 def class_of(cwes: Column, default: str = OTHER_CLASS) -> Column:
     """The class of the first CWE in a list that has one."""
-    table = F.create_map(*(F.lit(x) for kv in _BY_CWE.items() for x in kv))
+    table = F.create_map(*(F.lit(x) for kv in CWE_CLASSES.items() for x in kv))
     known = F.filter(F.transform(cwes, lambda c: F.element_at(table, c)), lambda c: c.isNotNull())
     return F.coalesce(F.get(known, F.lit(0)), F.lit(default))
 
@@ -61,15 +72,16 @@ def _relative(path: Column) -> Column:
 
 
 def _normal(rows: DataFrame, tool: str, catalog: DataFrame | None) -> DataFrame:
-    """rule_id with the tool's name, fixed exploitability, and CWEs with those of the class; classes that the catalog
+    """rule_id with the tool's name, snippet and message with secrets masked, fixed exploitability, and CWEs with those of the class; classes that the catalog
     (vuln_class, class_cwe; small) doesn't know are `dangerous_api`."""
     rows = rows.withColumns({
         "rule_id": F.concat(F.lit(f"{tool}:"), "rule_id"), "exploitability": F.lit("THEORETICAL"), "scanners": F.array(F.lit(tool)),
-        "snippet": F.substring(F.trim(F.coalesce("snippet", F.lit(""))), 1, 300),
+        "snippet": redact(F.substring(F.trim(F.coalesce("snippet", F.lit(""))), 1, 300), F.col("path")),
+        "message": redact(F.coalesce("message", F.lit("")), F.col("path")),
     })
     if catalog is None:
         return rows
-    known = F.broadcast(catalog.select(F.col("vuln_class").alias("_c"), "class_cwe"))
+    known = catalog.select(F.col("vuln_class").alias("_c"), "class_cwe")  # joined by its size, which AQE knows
     rows = rows.join(known.select("_c"), F.col("vuln_class") == F.col("_c"), "left").withColumn("vuln_class", F.coalesce("_c", F.lit(OTHER_CLASS))).drop("_c")
     rows = rows.join(known, F.col("vuln_class") == F.col("_c"), "left")
     none = F.array().cast("array<string>")
@@ -89,11 +101,11 @@ def bandit(reports: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     line = F.coalesce(F.get(F.transform(own, lambda x: F.regexp_replace(x, "^[0-9]+ ?", "")), F.lit(0)), F.get(lines, F.lit(0)))
     test = F.coalesce("test_id", F.lit(""))
     rows = rows.select(
-        "report_id", test.alias("rule_id"), F.coalesce(lookup(test, _BY_TEST, None).cast("string"), class_of(cwe)).alias("vuln_class"),
+        "report_id", test.alias("rule_id"), F.coalesce(lookup(test, BANDIT_CLASSES, None).cast("string"), class_of(cwe)).alias("vuln_class"),
         F.concat(F.coalesce("test_name", test), F.lit(" (Bandit "), test, F.lit(")")).alias("title"),
         lookup(F.col("issue_severity"), SEVERITY_NAMES, "MEDIUM").alias("severity"),
         lookup(F.col("issue_confidence"), CONFIDENCE_NAMES, "MEDIUM").alias("confidence"), _relative(F.col("filename")).alias("path"),
-        F.col("line_number").alias("line"), (F.coalesce("col_offset", F.lit(0)) + 1).alias("col"), line.alias("snippet"), cwe.alias("cwe"),
+        F.col("line_number").alias("line"), (F.coalesce("col_offset", F.lit(0)) + 1).alias("col"), line.alias("snippet"), cwe.alias("cwe"), F.col("issue_text").alias("message"),
     )
     return _normal(rows, "bandit", catalog)
 
@@ -114,7 +126,7 @@ def semgrep(reports: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
         F.replace(F.element_at(F.split(rule, "[.]"), -1), F.lit("-"), F.lit(" ")).alias("title"),
         lookup(F.upper(F.coalesce("extra.severity", F.lit("WARNING"))), SEVERITY_NAMES, "MEDIUM").alias("severity"),
         lookup(F.upper("extra.metadata.confidence"), CONFIDENCE_NAMES, "MEDIUM").alias("confidence"), _relative(F.col("path")).alias("path"),
-        F.col("start.line").alias("line"), F.col("start.col").alias("col"), F.col("extra.lines").alias("snippet"), cwe.alias("cwe"),
+        F.col("start.line").alias("line"), F.col("start.col").alias("col"), F.col("extra.lines").alias("snippet"), cwe.alias("cwe"), F.col("extra.message").alias("message"),
     )
     return _normal(rows, "semgrep", catalog)
 
@@ -128,7 +140,7 @@ def gitleaks(reports: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
         "report_id", F.coalesce("RuleID", F.lit("secret")).alias("rule_id"), F.lit("hardcoded_secret").alias("vuln_class"),
         F.concat(F.lit("Hardcoded secret ("), F.coalesce(F.nullif("Description", F.lit("")), "RuleID", F.lit("None")), F.lit(")")).alias("title"),
         F.lit("HIGH").alias("severity"), F.lit("MEDIUM").alias("confidence"), _relative(F.col("File")).alias("path"),
-        F.col("StartLine").alias("line"), F.col("StartColumn").alias("col"), F.lit(None).cast("string").alias("snippet"), F.array(F.lit("CWE-798")).alias("cwe"),
+        F.col("StartLine").alias("line"), F.col("StartColumn").alias("col"), F.lit(None).cast("string").alias("snippet"), F.array(F.lit("CWE-798")).alias("cwe"), F.col("Description").alias("message"),
     )
     return _normal(rows, "gitleaks", catalog)
 

@@ -11,6 +11,7 @@ import io
 import lzma
 import re
 import stat
+import string
 import tarfile
 import zipfile
 import zlib
@@ -123,7 +124,8 @@ def _tar(data: bytes, limits: Limits) -> Iterator[tuple]:
 
 def _single(name: str, data: bytes, limits: Limits) -> Iterator[tuple]:
     base = name.replace("\\", "/").rsplit("/", 1)[-1]
-    if not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9._ \-]{0,199}", base):
+    signs = set(string.ascii_letters + string.digits + "._- ")  # a hidden file is taken, as .env is what a search for secrets is for
+    if not base or base in (".", "..") or len(base) > 200 or not signs.issuperset(base):
         raise Rejected("invalid file name")
     if len(data) > limits.file:
         raise Rejected("the file is over the limit")
