@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, by: str, order: dict[str, Column], unique: str, name: str = "nth", width: int = 1 << 16) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: dict[str, Column], unique: str, name: str = "nth", width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
     """rows with their place (from 1) in their group of `by`, in the order of few-valued expressions and then `unique`.
 
     order: name -> expression, ascending; each has few values.  unique: a column of whole numbers that tells the rows
-    of a group apart (equal ones get places next to each other, in any order; null ones stand first).  A group's rows
+    of a group apart (equal ones get places next to each other, in the order of `ties`; null ones stand first).  A group's rows
     are numbered in blocks of `width` values of `unique` under one order; the table of blocks' sizes is what one
     window task of a group sees.  Columns called like `name` or like a key of order are replaced.
     """
@@ -21,7 +21,7 @@ def numbered(rows: DataFrame, by: str, order: dict[str, Column], unique: str, na
     sizes = rows.groupBy(*where).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy(*keys, block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*where).orderBy(unique))
+    own = F.row_number().over(Window.partitionBy(*where).orderBy(unique, *ties))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in where]
     joined = rows.withColumn("_own", own).alias("r").join(offsets.alias("o"), same)
     kept = [F.col(f"r.{c}") for c in rows.columns if c not in (*keys, block, name)]

@@ -504,12 +504,13 @@ ORACLE: dict[str, str] = {
     "report_limitations": f"""with {_F}, {_STATES}
         select 1 as ord, 'Code was read, not run: flaws may be missed, and harmless code may be reported.' as text
         union all select 2, 'What the code is for, and where it runs, was not judged.'
-        union all select 3, 'Only a part of the code was submitted; the rest was not looked at.'
-        union all select 4, 'Bandit unavailable: not installed' union all select 4, 'custom failed.'
-        union all select 5, cast(sum(n) as varchar) || ' file(s) were not fully analysed (' || string_agg(n || ' ' || reason, ', ' order by status) || ').' from sk
-        union all select 6, count(*) || ' dependencies were not compared.' from part where p_partkey % 3 = 0
-        union all select 7, count(*) || ' findings have no proof of an exploit.' from g where exploitability in ('POSSIBLE', 'THEORETICAL')
-        union all select 8, count(*) || ' findings rest on a model''s word only.' from g where verification = 'AI_SUGGESTED'""",
+        union all select 3, 'A report tells what was found on the day of the scan; it certifies nothing and is no promise of safety.'
+        union all select 4, 'Only a part of the code was submitted; the rest was not looked at.'
+        union all select 5, 'Bandit unavailable: not installed' union all select 5, 'custom failed.'
+        union all select 6, cast(sum(n) as varchar) || ' file(s) were not fully analysed (' || string_agg(n || ' ' || reason, ', ' order by status) || ').' from sk
+        union all select 8, count(*) || ' dependencies were not compared.' from part where p_partkey % 3 = 0
+        union all select 9, count(*) || ' findings have no proof of an exploit.' from g where exploitability in ('POSSIBLE', 'THEORETICAL')
+        union all select 10, count(*) || ' findings rest on a model''s word only.' from g where verification = 'AI_SUGGESTED'""",
     "finding_views": f"""with {_O}, x as (select case when finding_id % 5 <> 0 then path end as path, case when finding_id % 3 <> 0 then line end as line, vuln_class from o)
         select case when coalesce(line, 0) <> 0 then concat_ws(':', path, line) else coalesce(path, '') end as location, 'https://a/' || vuln_class as "references", count(*) as n
         from x group by 1, 2""",

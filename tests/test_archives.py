@@ -79,7 +79,7 @@ def test_reports_without_rows(spark, tmp_path):
     assert (row.files_total, row.files_analyzed, row.lines_analyzed, row.languages, row.scanners) == (0, 0, 0, [], [])
     f = spark.createDataFrame([], "exploitability string, verification string")
     d = spark.createDataFrame([], "vuln_status string")
-    assert [r.ord for r in reports.limitations(files, runs, d, f).collect()] == [1, 2] and reports.methodology(runs).count() == 0
+    assert [r.ord for r in reports.limitations(files, runs, d, f).collect()] == [1, 2, 3] and reports.methodology(runs).count() == 1
     rows = spark.createDataFrame([(1, None), (2, 'a "b"')], "id int, title string")
     (folder,) = reports.write_reports(rows, str(tmp_path))
     assert sorted(r.value for r in spark.read.text(folder).collect()) == ['{"id":1}', '{"id":2,"title":"a \\"b\\""}']
