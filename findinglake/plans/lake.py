@@ -1,0 +1,175 @@
+"""Registered queries on report documents and on reports correlated as a whole, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from findinglake.operators import documents, merge, sarif
+from findinglake.plans import adapter as A
+from findinglake.storage import shared_folder
+
+
+def _target(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/documents-{uuid.uuid4().hex}/{name}"
+
+
+def _issues(spark, sf):
+    """All findings with a rule, a place and a title each."""
+    k = F.col("finding_id")
+    return A.findings(spark, sf).select(
+        k.alias("ord"), F.concat(F.lit("F-"), k.cast("string")).alias("public_id"), F.concat(F.lit("R"), (k % 13).cast("string")).alias("rule_id"),
+        F.concat(F.lit("class_"), (k % 13).cast("string")).alias("vuln_class"), F.concat(F.lit("Title <"), k.cast("string"), F.lit("> & \"more\"")).alias("title"),
+        F.when(k % 10 != 0, F.concat(F.lit("src/f "), (k % 100).cast("string"), F.lit(".py"))).alias("path"), (k % 500).cast("int").alias("line"),
+        F.array(F.concat(F.lit("CWE-"), (k % 13).cast("string"))).alias("cwe"), F.array(F.lit("https://example.org/a"), F.lit("ftp://b")).alias("references"),
+        F.array(F.lit("s")).alias("scanners"), F.lit("SAST").alias("source_kind"), "severity", "confidence", "exploitability", "verification",
+    )
+
+
+def _packages(spark, sf):
+    k = F.col("p_partkey")
+    return A.table(spark, sf, "part").select(
+        F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name"), k.cast("string").alias("version"), F.lit("package-lock.json").alias("manifest_path"),
+        F.when(k % 3 == 0, "NOT_VERIFIED").otherwise("VULNERABLE").alias("vuln_status"),
+    )
+
+
+def _lines(spark, path: str) -> DataFrame:
+    """The document's rows, a line each, without the comma between them."""
+    return spark.read.text(path).select(F.regexp_replace("value", ",$", "").alias("value"))
+
+
+def _sarif(spark, sf):
+    """The log of all findings, written as one document and read again by its lines."""
+    path = sarif.write_sarif(_issues(spark, sf), _target(spark, "log.sarif"), "lake")
+    schema = (
+        "ruleId string, ruleIndex int, level string, properties struct<findingId:string>, "
+        "locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>"
+    )
+    rows = _lines(spark, path).where("value like '{\"ruleId\"%'").select(F.from_json("value", schema).alias("r"))
+    place = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return rows.select(
+        F.col("r.properties.findingId").alias("finding"), F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"),
+        place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"),
+    )
+
+
+def _sarif_log_rules(spark, sf):
+    """The log's rules."""
+    path = sarif.write_sarif(_issues(spark, sf), _target(spark, "log.sarif"), "lake")
+    schema = "id string, name string, shortDescription struct<text:string>, defaultConfiguration struct<level:string>, properties struct<tags:array<string>,`security-severity`:string,precision:string,`problem.severity`:string>"
+    rows = _lines(spark, path).where("value like '{\"id\"%'").select(F.from_json("value", schema).alias("r"))
+    return rows.select(
+        F.col("r.id").alias("rule_id"), F.col("r.name").alias("name"), F.col("r.shortDescription.text").alias("title"), F.col("r.defaultConfiguration.level").alias("level"),
+        F.array_join("r.properties.tags", ",").alias("tags"), F.col("r.properties.`security-severity`").alias("score"), F.col("r.properties.precision").alias("precision"),
+        F.col("r.properties.`problem.severity`").alias("problem"),
+    )
+
+
+def _about(spark, sf):
+    files = A.files(spark, sf).select(F.when(F.col("size") > 8000, "SKIPPED_SIZE").otherwise("ANALYZED").alias("status"), "language", F.lit(1).alias("lines"))
+    scanners = spark.range(1).select(F.lit(1).alias("ord"), F.lit("sast").alias("scanner"), F.lit("ran").alias("status"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("findings"))
+    return documents.context(_issues(spark, sf), _packages(spark, sf), files, scanners, target="lake", supported=("en",))
+
+
+def _report(spark, sf):
+    """The JSON report of all findings and dependencies, written as one document and read again by its lines."""
+    path = documents.write_json(_issues(spark, sf), _packages(spark, sf), _target(spark, "report.json"), _about(spark, sf))
+    lines = _lines(spark, path).where("value like '{\"public_id\"%' or value like '{\"ecosystem\"%'")
+    schema = "public_id string, title string, severity string, location struct<path:string,start_line:int>, references array<string>, steps array<struct<number:int>>, ecosystem string, name string, version string, vuln_status string"
+    rows = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    found = F.col("public_id").isNotNull()
+    return rows.select(
+        F.when(found, "finding").otherwise("dependency").alias("kind"), F.coalesce("public_id", F.concat_ws("@", "name", "version")).alias("id"), F.coalesce("title", "ecosystem").alias("title"),
+        F.coalesce("severity", "vuln_status").alias("state"), F.concat_ws(":", "location.path", F.nullif("location.start_line", F.lit(0)).cast("string")).alias("place"),
+        F.when(found, F.size("references")).otherwise(0).alias("links"), F.when(found, F.size("steps")).otherwise(0).alias("steps"),
+    )
+
+
+def _summary(spark, sf):
+    """The report's sections: what is counted, by name and value."""
+    s = documents.summary(_issues(spark, sf), _packages(spark, sf))
+    maps = ["by_severity", "by_source", "by_verification", "by_exploitability", "dependencies"]
+    each = F.concat(*(_entries(m) for m in maps))
+    rows = s.select(F.explode(each).alias("x")).select("x.*")
+    return rows.unionByName(s.select(F.lit("total").alias("section"), F.lit("").alias("value"), F.col("total").alias("n")))
+
+
+def _entries(name: str):
+    return F.transform(F.map_entries(name), lambda e: F.struct(F.lit(name).alias("section"), e["key"].alias("value"), e["value"].alias("n")))
+
+
+def _html(spark, sf):
+    """The HTML report's articles: how often each severity's class and each title stands, read again by its lines."""
+    path = documents.write_html(_issues(spark, sf), _packages(spark, sf), _target(spark, "report.html"), _about(spark, sf))
+    rows = spark.read.text(path).where("value like '<article%'")
+    return rows.select(F.regexp_extract("value", 'class="([a-z]+)"', 1).alias("severity"), F.regexp_extract("value", "<h3>(.*?)</h3>", 1).alias("title"), F.regexp_extract("value", "<code>(.*?)</code>", 1).alias("place"))
+
+
+def _all_reports(spark, sf):
+    """Lines of orders as reports of all kinds; lines of code stand ten apart, so that places are equal or far."""
+    k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    kind = A._choice(p % 4, ["DEPENDENCY", "SECRET", "LLM_TEST", "SAST"])
+    li = A.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")))
+    text = lambda *c: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c))
+    return li.select(
+        (k * 8 + F.col("l_linenumber")).cast("long").alias("id"), kind.alias("source_kind"), text("c", (p % 3).cast("string")).alias("vuln_class"), F.lit(None).cast("string").alias("base_class"),
+        text("p", (s % 7).cast("string")).alias("path"), F.when(k % 9 != 0, F.col("l_quantity").cast("int") * 10).alias("line"), F.array(F.col("l_returnflag")).alias("scanners"),
+        text("r", (p % 5).cast("string")).alias("rule_id"), F.lit("npm").alias("ecosystem"), text("P", s.cast("string")).alias("package_name"), (p % 2).cast("string").alias("version"),
+        text("a", (k % 30).cast("string")).alias("advisory_id"), F.array(F.when(k % 3 == 0, text("a", ((k + 1) % 30).cast("string")))).alias("aliases"),
+    )
+
+
+def _correlated(spark, sf):
+    return merge.correlated(_all_reports(spark, sf))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "sarif_document": _sarif,
+    "sarif_document_rules": _sarif_log_rules,
+    "report_document": _report,
+    "report_summary": _summary,
+    "html_document": _html,
+    "correlated_reports": _correlated,
+}
+
+_I = """i as (select o_orderkey as k, 'F-' || o_orderkey as id, 'Title <' || o_orderkey || '> & "more"' as title, case when o_orderkey % 10 <> 0 then 'src/f ' || (o_orderkey % 100) || '.py' end as path,
+    cast(o_orderkey % 500 as int) as line, case o_orderpriority when '1-URGENT' then 'CRITICAL' when '2-HIGH' then 'HIGH' when '3-MEDIUM' then 'MEDIUM' when '5-LOW' then 'LOW' else 'INFO' end as severity,
+    case o_orderkey % 4 when 0 then 'CONFIRMED' when 1 then 'HIGH' when 2 then 'MEDIUM' else 'LOW' end as confidence,
+    case o_orderkey % 7 when 0 then 'PROVEN_DATAFLOW' when 1 then 'LIKELY' when 2 then 'POSSIBLE' else 'THEORETICAL' end as exploitability,
+    case o_orderkey % 9 when 0 then 'AI_SUGGESTED' when 1 then 'CONFIRMED' when 2 then 'FALSE_POSITIVE' else 'DETECTED' end as verification
+    from orders join customer on c_custkey = o_custkey)"""
+_LEVEL = "case {0} when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then 'warning' else 'note' end"
+
+ORACLE: dict[str, str] = {
+    "sarif_document": f"""with {_I}, r as (select k % 13 as r, row_number() over (order by min(k)) - 1 as n from i group by 1)
+        select id as finding, 'R' || (k % 13) as rule_id, cast(n as int) as rule_index, {_LEVEL.format("severity")} as level, replace(path, ' ', '%20') as uri,
+            case when path is not null and line > 0 then line end as line from i join r on r = k % 13""",
+    "sarif_document_rules": f"""with {_I}, w as (select k % 13 as r, min(k) as k, max(case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end) as s from i group by 1)
+        select 'R' || r as rule_id, 'Class' || r as name, title, case when s >= 3 then 'error' when s = 2 then 'warning' else 'note' end as level, 'security,CWE-' || r as tags,
+            case s when 4 then '9.5' when 3 then '8.0' when 2 then '5.5' when 1 then '3.0' else '0.0' end as score,
+            case confidence when 'CONFIRMED' then 'very-high' else lower(confidence) end as precision, case when s >= 3 then 'error' when s = 2 then 'warning' else 'recommendation' end as problem
+        from w join i using (k)""",
+    "report_document": f"""with {_I} select 'finding' as kind, id, title, severity as state, coalesce(path || case when line > 0 then ':' || line else '' end, '') as place, 1 as links, 2 as steps from i
+        union all select 'dependency', p_brand || '@' || p_partkey, 'npm', case when p_partkey % 3 = 0 then 'NOT_VERIFIED' else 'VULNERABLE' end, '', 0, 0 from part""",
+    "report_summary": f"""with {_I}, c(section, value) as (select 'by_severity', severity from i union all select 'by_source', 'SAST' from i union all select 'by_verification', verification from i
+            union all select 'by_exploitability', exploitability from i union all select 'dependencies', case when p_partkey % 3 = 0 then 'NOT_VERIFIED' else 'VULNERABLE' end from part
+            union all select 'total', '' from i)
+        select section, value, count(*) as n from c group by 1, 2""",
+    "html_document": f"""with {_I} select lower(severity) as severity, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;') as title,
+        coalesce(path || case when line > 0 then ':' || line else '' end, '') as place from i""",
+    "correlated_reports": """with recursive x as (select l_orderkey * 8 + l_linenumber as id, l_partkey % 4 as kind, l_partkey % 3 as c, l_suppkey % 7 as p,
+            case when l_orderkey % 9 <> 0 then cast(l_quantity as int) end as line, l_suppkey || '|' || (l_partkey % 2) as base, l_orderkey % 30 as a, case when l_orderkey % 3 = 0 then (l_orderkey + 1) % 30 end as b
+            from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity from lineitem group by 1, 2)),
+        k as (select id, base, a from x where kind = 0 union select id, base, b from x where kind = 0 and b is not null),
+        links as (select distinct base, a as x, b as y from x where kind = 0 and b is not null union select distinct base, b, a from x where kind = 0 and b is not null),
+        reach(base, x, y) as (select distinct base, a, a from k union select r.base, r.x, l.y from reach r join links l on l.base = r.base and l.x = r.y),
+        least as (select r.base, r.x as a, min(k.id) as g from reach r join k on k.base = r.base and k.a = r.y group by 1, 2)
+        select id, min(g) as group_id from k join least using (base, a) group by 1
+        union all select id, min(id) over (partition by p, line) from x where kind = 1
+        union all select id, min(id) over (partition by p, c, line) from x where kind = 3 and line is not null
+        union all select id, id from x where kind = 2 or (kind = 3 and line is null)""",
+}

@@ -161,7 +161,7 @@ def _keyed(spark, sf):
 def _merged(spark, sf):
     out = merge.merge_groups(A.reports(spark, sf))
     return out.withColumns({"scanners": F.array_join("scanners", ","), "cwe": F.array_join("cwe", ",")}).select(
-        "group_id", "rule_id", "merged", "confidence", "severity", "exploitability", "raised", "scanners", "cwe"
+        "group_id", "rule_id", "merged", "confidence", "severity", "exploitability", "raised", "scanners", "cwe", "reason"
     )
 
 
@@ -512,7 +512,7 @@ ORACLE: dict[str, str] = {
         union all select 9, count(*) || ' findings have no proof of an exploit.' from g where exploitability in ('POSSIBLE', 'THEORETICAL')
         union all select 10, count(*) || ' findings rest on a model''s word only.' from g where verification = 'AI_SUGGESTED'""",
     "finding_views": f"""with {_O}, x as (select case when finding_id % 5 <> 0 then path end as path, case when finding_id % 3 <> 0 then line end as line, vuln_class from o)
-        select case when coalesce(line, 0) <> 0 then concat_ws(':', path, line) else coalesce(path, '') end as location, 'https://a/' || vuln_class as "references", count(*) as n
+        select case when path is not null and coalesce(line, 0) <> 0 then concat_ws(':', path, line) else coalesce(path, '') end as location, 'https://a/' || vuln_class as "references", count(*) as n
         from x group by 1, 2""",
     "secret_findings": f"""with t as (select source || '/' || doc_id || '.txt' as path, doc_id, text from documents where regexp_matches(text, 'token = "[0-9a-f]{{36}}')),
         l as (select path, unnest(string_split(text, chr(10))) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from t),
@@ -609,12 +609,14 @@ ORACLE: dict[str, str] = {
         sc as (select group_id, scanner, min(best) as b from rp group by 1, 2), sj as (select group_id, string_agg(scanner, ',' order by b) as scanners, count(*) as names from sc group by 1),
         cu as (select group_id, unnest(cwe) as c, unnest([1, 2]) as i, best from rp), cf as (select group_id, c, min(row(best, i)) as b from cu group by 1, 2),
         cj as (select group_id, string_agg(c, ',' order by b) as cwe from cf group by 1),
-        a as (select group_id, arg_min(rule_id, best) as rule_id, count(*) as merged, max(cr) as c, max(er) as e,
+        a as (select group_id, arg_min(rule_id, best) as rule_id, arg_min(sr, best) as own, count(*) as merged, max(cr) as c, max(er) as e,
             coalesce(max(sr) filter (cr >= 1), max(sr)) as s from rp group by 1),
         r as (select *, merged > 1 and names >= 2 and c < 2 and e >= 2 as raised from a join sj using (group_id) join cj using (group_id))
         select group_id, rule_id, merged, ['LOW', 'MEDIUM', 'HIGH', 'CONFIRMED'][c + 1 + cast(raised as integer)] as confidence,
             ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][s + 1] as severity, ['THEORETICAL', 'POSSIBLE', 'LIKELY', 'PROVEN_DATAFLOW'][e + 1] as exploitability,
-            raised, scanners, cwe from r""",
+            raised, scanners, cwe, case when merged > 1 then merged || ' reports of ' || split_part(group_id, '|', 3) || ' at ' || split_part(group_id, '|', 1)
+                || ':' || split_part(group_id, '|', 2) || ' by ' || replace(scanners, ',', ', ') || '.' || case when raised then ' The scanners agree: confidence one level up.' else '' end
+                || case when s <> own then ' Severity ' || ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][s + 1] || ' is that of the worst report to be trusted.' else '' end end as reason from r""",
     "status_changes": f"""with {_F}, {_REQ}, e as (select *, case when ns = 'REOPENED' then 'invalid_status'
                 when ns in ('FALSE_POSITIVE', 'ACCEPTED_RISK', 'RESOLVED') and not triage then 'forbidden'
                 when ns in ('FALSE_POSITIVE', 'ACCEPTED_RISK', 'RESOLVED') and not said then 'reason_required' end as error from rq),
