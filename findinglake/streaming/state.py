@@ -182,40 +182,6 @@ def new_folder(df: DataFrame) -> str:
     return f"{shared_folder(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def keep_state(scans: DataFrame, folder: str, checkpoint: str):
-    """A query that advances the findings' state by each micro-batch of scans (repository, fingerprint, at).
-
-    Version n of the state is a table below `folder`, written by batch n from the newest one before it; a batch that is
-    repeated writes its version again, so it counts once.  Equal rows count once; a batch's time is its latest `at`.
-    Start it with .start(); `latest_state` reads the newest version.
-    """
-
-    def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        at = batch.agg(F.max("at")).first()[0]
-        if at is None:
-            return
-        old = latest_state(spark, folder, n)
-        advance(old, batch.select("repository", "fingerprint"), at).write.mode("overwrite").parquet(f"{folder}/version={n}")
-
-    return scans.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
-
-
-_STATE = "repository string, fingerprint string, status string, first_seen timestamp, last_seen timestamp"
-
-
-def latest_state(spark, folder: str, before: int | None = None) -> DataFrame:
-    """The newest version of the state (older than version `before`); an empty table if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-    done = [int(x.split("=")[1]) for x in names if x.startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    if not done:
-        return spark.createDataFrame([], _STATE)
-    return spark.read.schema(_STATE).parquet(f"{folder}/version={max(done)}")
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The rows that a stream gives for all data there is now, written once with a checkpoint and read back."""
     folder = new_folder(stream)

@@ -4,6 +4,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+from findinglake.streaming import findings as L
 from findinglake.streaming import state as S
 
 
@@ -91,19 +92,54 @@ def test_advance(spark):
     assert S.advance(state.limit(0), scan.limit(0), 2).select(F.count("*")).first()[0] == 0
 
 
+def _replayed(rows):
+    """(repository, identity) -> fingerprint, status, first and last day: all scans from the start, one after the other."""
+    out = {}
+    for at in sorted({r[3] for r in rows}):
+        for repo in {r[0] for r in rows if r[3] == at}:
+            own = [r for r in rows if r[0] == repo and r[3] == at and r[4] is None]
+            for _, i, f, *_ in own:
+                if i is not None:
+                    old = out.get((repo, i))
+                    status = "OPEN" if old is None else "REOPENED" if old[1] == "RESOLVED" else old[1]
+                    out[repo, i] = (f, status, old[2] if old else at.day, at.day)
+            for key, old in out.items():
+                if own and key[0] == repo and key[1] not in {r[1] for r in own} and old[1] in ("OPEN", "IN_PROGRESS", "REOPENED"):
+                    out[key] = (old[0], "RESOLVED", *old[2:])
+            for _, i, _, _, status in (r for r in rows if r[0] == repo and r[3] == at and r[4] is not None):
+                if (repo, i) in out:
+                    out[repo, i] = (out[repo, i][0], status, *out[repo, i][2:])
+    return out
+
+
 def test_state_of_a_stream(spark, tmp_path):
-    """Three scans in three micro-batches; a batch that runs again changes nothing."""
-    day = lambda d: dt.datetime(2024, 1, d)
-    rows = [("r", "a", day(1)), ("r", "b", day(1)), ("r", "b", day(2)), ("r", "b", day(2)), ("r", "a", day(3)), ("q", "c", day(3))]
-    schema = "repository string, fingerprint string, at timestamp"
-    for i, part in enumerate((rows[:2], rows[2:4], rows[4:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    """Scans in many micro-batches, in parts: the state is that of a replay from the start, and a run without input changes nothing."""
+    import random
+
+    rng, day = random.Random(5), lambda d: dt.datetime(2024, 1, d)
+    schema = "repository string, identity string, fingerprint string, at timestamp, set_status string"
+    rows, changes = [], str(tmp_path / "changes")
+    for d in (1, 4, 7, 10):
+        part = []
+        for at in range(d, d + 3):  # several scans of a repository in one micro-batch
+            for repo in rng.sample("qrs", 2):
+                part.append((repo, None, None, day(at), None))
+                part += [(repo, i, i + rng.choice("xy"), day(at), None) for i in rng.sample("abcdefgh", rng.randint(0, 6))]
+        part.append(("q", rng.choice("abc"), None, day(d), "FALSE_POSITIVE"))
+        rows += part
+        spark.createDataFrame(part + part[:5], schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
         scans = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        S.keep_state(scans, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-        got = {(r.repository, r.fingerprint): (r.status, r.first_seen.day, r.last_seen.day) for r in S.latest_state(spark, str(tmp_path / "state")).collect()}
-        assert got == [
-            {("r", "a"): ("OPEN", 1, 1), ("r", "b"): ("OPEN", 1, 1)},
-            {("r", "a"): ("RESOLVED", 1, 1), ("r", "b"): ("OPEN", 1, 2)},
-            {("r", "a"): ("REOPENED", 1, 3), ("r", "b"): ("RESOLVED", 1, 2), ("q", "c"): ("OPEN", 3, 3)},
-        ][i]
-    assert S.latest_state(spark, str(tmp_path / "none")).count() == 0
+        for _ in range(2):
+            L.keep_state(scans, changes, str(tmp_path / "cp"), salts=3).awaitTermination()
+        got = {(r.repository, r.identity): (r.fingerprint, r.status, r.first_seen.day, r.last_seen.day) for r in L.current_state(spark, str(tmp_path / "cp")).collect()}
+        assert got == _replayed(rows)
+    newest = spark.read.parquet(changes).groupBy("repository", "identity").agg(F.max_by("status", F.struct("at", (F.col("change") == "STATUS").alias("x"))).alias("status"))
+    assert {(r.repository, r.identity): r.status for r in newest.collect()} == {k: v[1] for k, v in _replayed(rows).items()}
+
+
+def test_identity_stays_with_changed_code(spark):
+    state = spark.createDataFrame([("r", "i1", "f1"), ("r", "i2", "f2"), ("r", "i3", "f3"), ("s", "j", "f1")], "repository string, identity string, fingerprint string")
+    scan = spark.createDataFrame([("r", "g1", 1), ("r", "f2", 2), ("r", "new", 3), ("s", "g1", 4), ("r", "f3", 5)], "repository string, fingerprint string, line int")
+    moves = spark.createDataFrame([("r", "f1", "g1"), ("r", "f2", "f3"), ("r", "gone", "new")], "repository string, base string, cur string")
+    got = {(r.line, r.identity, r.fingerprint) for r in L.with_identity(scan, state, moves).collect()}
+    assert got == {(1, "i1", "g1"), (2, "i2", "f2"), (3, "new", "new"), (4, "g1", "g1"), (5, "i2", "f2")}
