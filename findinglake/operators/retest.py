@@ -1,16 +1,25 @@
-"""Comparison of scans where changed code may still hold the same finding."""
+"""Comparison of scans where changed code may still hold the same finding.
+
+Pairs that may be the same are found by blocks of lines and by functions, and compared once for each two texts.  Findings
+then take partners in their order, each the best that is free.  That order only matters among findings that pairs
+connect, so groups of connected pairs are settled on their own, many small ones in one task; in a group too large for a
+task, every pair that nothing before it can change is settled at once, round after round, until what is left falls apart.
+"""
 
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from findinglake.functions.columns import normalise_code
+from findinglake.operators.components import smallest_linked
 from findinglake.operators.findings import compare_scans, first_of
+from findinglake.storage import written
 
 # Lines that count as near, and the least similarity.
 NEAR_LINES = 15
@@ -19,10 +28,22 @@ SIMILARITY = 0.6
 _PLACE = ["path", "vuln_class", "source_kind"]
 
 
+def _ratio(a: str | None, b: str | None) -> float | None:
+    """The ratio of matching blocks if it is SIMILARITY or more; what two texts share of each character bounds it."""
+    m = difflib.SequenceMatcher(None, a or "", b or "")
+    if m.real_quick_ratio() < SIMILARITY or m.quick_ratio() < SIMILARITY or (r := m.ratio()) < SIMILARITY:
+        return None
+    return r
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two short texts; it has no built-in counterpart."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+    """Ratio of matching blocks of two short texts, null below SIMILARITY; it has no built-in counterpart."""
+    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+# Not deterministic, so that it isn't moved below the distinct and run for each pair of findings.
+_similarity = similarity.asNondeterministic()
 
 
 def candidate_pairs(pending: DataFrame, unmatched: DataFrame) -> DataFrame:
@@ -49,31 +70,64 @@ def candidate_pairs(pending: DataFrame, unmatched: DataFrame) -> DataFrame:
     # The shorter text bounds the ratio from above; what is left is compared once for each two texts.
     both = F.length("code") + F.length("c_code")
     pairs = pairs.where(2 * F.least(F.length("code"), F.length("c_code")) >= SIMILARITY * both)
-    texts = pairs.select("code", "c_code").distinct().withColumn("sim", similarity("code", "c_code")).where(F.col("sim") >= SIMILARITY)
+    texts = pairs.select("code", "c_code").distinct().withColumn("sim", _similarity("code", "c_code")).where("sim is not null")
     pairs = pairs.join(texts, ["code", "c_code"])
     bonus = lambda cond, x: F.when(F.coalesce(cond, F.lit(False)), x).otherwise(0.0)
     score = F.col("sim") + bonus(named & (F.col("function") != ""), 0.5) + bonus(near, 0.3) + bonus(F.col("rule_id") == F.col("c_rule_id"), 0.2)
     return pairs.select(*_PLACE, F.col("id").alias("base"), "ord", F.col("c_id").alias("cur"), F.col("c_ord").alias("cur_ord"), score.alias("score"))
 
 
-def fuzzy_matches(pending: DataFrame, unmatched: DataFrame) -> DataFrame:
-    """base and cur: in order of ord each pending finding takes its best free candidate (ties: the smaller cur_ord).
+def _take(pdf: pd.DataFrame) -> pd.DataFrame:
+    """base and cur of whole groups of connected pairs: the sequential rule itself."""
+    free, rows = set(pdf["cur"]), []
+    ordered = pdf.sort_values(["ord", "base", "score", "cur_ord", "cur"], ascending=[True, True, False, True, True])
+    for base, own in ordered.groupby(["ord", "base"], sort=True):
+        for cur in own["cur"]:
+            if cur in free:
+                free.discard(cur)
+                rows.append((base[1], cur))
+                break
+    return pd.DataFrame(rows, columns=["base", "cur"])
+
+
+def _settled(pairs: DataFrame) -> DataFrame:
+    """base and cur of the pairs that are final: the base's best one, and no base before it has a pair with that cur."""
+    best = pairs.groupBy("base").agg(F.min_by(F.struct("ord", "cur"), F.struct(-F.col("score"), "cur_ord", "cur")).alias("x")).select("base", "x.ord", "x.cur")
+    first = pairs.groupBy("cur").agg(F.min(F.struct("ord", "base")).alias("y"))
+    return best.join(first, "cur").where((F.col("y.base") == F.col("base"))).select("base", "cur")
 
-    One group is the pairs of one file, class and kind, bounded by the size of a file; only ids and scores reach it.
-    """
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, rows = set(pdf["cur"]), []
-        for _, own in pdf.sort_values(["ord", "score", "cur_ord"], ascending=[True, False, True]).groupby("ord", sort=True):
-            for base, cur in zip(own["base"], own["cur"]):
-                if cur in free:
-                    free.discard(cur)
-                    rows.append((base, cur))
-                    break
-        return pd.DataFrame(rows, columns=["base", "cur"])
-
-    pairs = candidate_pairs(pending, unmatched)
-    return pairs.groupBy(*_PLACE).applyInPandas(take, "base string, cur string")
+def assigned(pairs: DataFrame, bound: int = 50_000, rounds: int = 3) -> DataFrame:
+    """base and cur: in the order of ord (ties: base) each base takes its best free cur (score, then the smaller cur_ord).
+
+    pairs: base, ord, cur, cur_ord, score; base and cur are texts.  No task has more pairs than two groups of `bound`;
+    larger groups of connected pairs take `rounds` rounds and are divided again.
+    """
+    left, done = written(pairs.select("base", "ord", "cur", "cur_ord", "score")), []
+    while True:
+        if left.count() <= bound:  # one task's work: no need to know the groups
+            done.append(left.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_take, "base string, cur string"))
+            return reduce(DataFrame.unionByName, done)
+        links = left.select(F.concat(F.lit("c"), "cur").alias("node"), F.concat(F.lit("b"), "base").alias("to"))
+        label, _ = smallest_linked(links)
+        own = F.concat(F.lit("b"), "base")
+        grouped = left.join(label.select(F.expr("substring(node, 2)").alias("base"), F.col("to").alias("label")).where("node like 'b%'"), "base", "left")
+        grouped = written(grouped.withColumn("label", F.coalesce("label", own)))
+        sizes = grouped.groupBy("label").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > bound).select("label")
+        small = grouped.join(large, "label", "left_anti")
+        parts = max(1, -(-grouped.count() // bound))
+        done.append(small.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts))).drop("label").groupBy("part").applyInPandas(_take, "base string, cur string"))
+        left = written(grouped.join(large, "label", "left_semi").drop("label"))
+        for _ in range(rounds):
+            final = written(_settled(left))
+            done.append(final)
+            left = written(left.join(final.select("base"), "base", "left_anti").join(final.select("cur"), "cur", "left_anti"))
+
+
+def fuzzy_matches(pending: DataFrame, unmatched: DataFrame, bound: int = 50_000) -> DataFrame:
+    """base and cur: in order of ord each pending finding takes its best free candidate (ties: the smaller cur_ord)."""
+    return assigned(candidate_pairs(pending, unmatched), bound)
 
 
 def compare_scans_fuzzy(baseline: DataFrame, current: DataFrame, history: DataFrame, partial: bool = False) -> DataFrame:

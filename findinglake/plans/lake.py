@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findinglake.operators import documents, merge, sarif
+from findinglake.operators import documents, merge, retest, sarif
 from findinglake.plans import adapter as A
 from findinglake.storage import shared_folder
+from findinglake.streaming import findings as L
 
 
 def _target(spark: SparkSession, name: str) -> str:
@@ -127,6 +128,35 @@ def _correlated(spark, sf):
     return merge.correlated(_all_reports(spark, sf))
 
 
+def changed_code(spark, sf):
+    """Two scans' findings: lines of orders before and since a day, with functions, and code that a later scan has changed."""
+    k, q = F.col("l_orderkey"), F.col("l_quantity").cast("int")
+    rows = A.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")))
+    late = F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")
+    code = F.concat(F.lit("run("), F.repeat(F.lit("arg"), F.col("l_suppkey").cast("int") % 4), F.lit(", "), F.col("l_returnflag"), F.when(late, F.lit(", shell = True )")).otherwise(F.lit(",shell=True)")))
+    out = rows.select(
+        F.sha1(F.concat_ws("-", k, "l_linenumber")).alias("fingerprint"), F.concat(F.lit("src/p"), (F.col("l_partkey") % 40).cast("string"), F.lit(".py")).alias("path"), F.lit("s").alias("scanner"),
+        F.concat(F.lit("c"), (F.col("l_suppkey") % 3).cast("string")).alias("vuln_class"), F.lit("SAST").alias("source_kind"), F.when(k % 3 == 0, F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string"))).alias("function"),
+        F.when(k % 11 != 0, q).alias("line"), code.alias("snippet"), F.concat(F.lit("r"), (k % 2).cast("string")).alias("rule_id"), late.alias("late"),
+    )
+    return out.where("not late").drop("late"), out.where("late").drop("late")
+
+
+def _changed(spark, sf):
+    old, now = changed_code(spark, sf)
+    return retest.compare_scans_fuzzy(old, now, old.select("fingerprint").limit(0))
+
+
+def _state(spark, sf):
+    """Kinds of events as findings of users' daily scans, kept by a stream."""
+    schema = A.table(spark, sf, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a file or a folder of that name
+    scans = e.select(F.col("user_id").cast("string").alias("repository"), F.col("event_type").alias("identity"), F.col("event_type").alias("fingerprint"), F.date_trunc("day", "ts").alias("at"))
+    folder = _target(spark, "state")
+    L.keep_state(scans, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return L.current_state(spark, f"{folder}/checkpoint").select("repository", "identity", "status", F.to_date("first_seen").cast("string").alias("first_day"), F.to_date("last_seen").cast("string").alias("last_day"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sarif_document": _sarif,
     "sarif_document_rules": _sarif_log_rules,
@@ -134,6 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_summary": _summary,
     "html_document": _html,
     "correlated_reports": _correlated,
+    "retest_changed_code": _changed,
+    "finding_state_stream": _state,
 }
 
 _I = """i as (select o_orderkey as k, 'F-' || o_orderkey as id, 'Title <' || o_orderkey || '> & "more"' as title, case when o_orderkey % 10 <> 0 then 'src/f ' || (o_orderkey % 100) || '.py' end as path,
@@ -145,6 +177,10 @@ _I = """i as (select o_orderkey as k, 'F-' || o_orderkey as id, 'Title <' || o_o
 _LEVEL = "case {0} when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'MEDIUM' then 'warning' else 'note' end"
 
 ORACLE: dict[str, str] = {
+    "finding_state_stream": """with e as (select distinct user_id as u, event_type as i, cast(ts as date) as d from events where user_id is not null and ts is not null),
+        n as (select u, d, row_number() over (partition by u order by d) as k from (select distinct u, d from e)), s as (select u, i, k, d from e join n using (u, d)),
+        p as (select u, i, min(k) as a, max(k) as b, count(*) as c, min(d) as first_day, max(d) as last_day from s group by 1, 2), z as (select u, max(k) as k from n group by 1)
+        select cast(u as varchar) as repository, i as identity, case when b < k then 'RESOLVED' when c = b - a + 1 then 'OPEN' else 'REOPENED' end as status, cast(first_day as varchar) as first_day, cast(last_day as varchar) as last_day from p join z using (u)""",
     "sarif_document": f"""with {_I}, r as (select k % 13 as r, row_number() over (order by min(k)) - 1 as n from i group by 1)
         select id as finding, 'R' || (k % 13) as rule_id, cast(n as int) as rule_index, {_LEVEL.format("severity")} as level, replace(path, ' ', '%20') as uri,
             case when path is not null and line > 0 then line end as line from i join r on r = k % 13""",

@@ -1,4 +1,6 @@
 import difflib
+import functools
+import re
 
 from findinglake.operators import retest as R
 
@@ -38,3 +40,75 @@ def test_pairs_equal_brute_force(spark):
                 want[x[0], y[0]] = round(sim + 0.5 * same + 0.3 * near + 0.2 * (x[8] == y[8]), 9)
     got = R.candidate_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()
     assert {(r.base, r.cur): round(r.score, 9) for r in got} == want and len(got) == len(want)
+
+
+def _fold(pairs):
+    """The sequential rule over (base, ord, cur, cur_ord, score)."""
+    free, out, own = {p[2] for p in pairs}, {}, {}
+    for p in pairs:
+        own.setdefault((p[1], p[0]), []).append(p)
+    for key in sorted(own):
+        for p in sorted(own[key], key=lambda p: (-p[4], p[3], p[2])):
+            if p[2] in free:
+                free.discard(p[2])
+                out[p[0]] = p[2]
+                break
+    return out
+
+
+def test_assignment_in_rounds(spark):
+    """Connected groups far over the bound, ties and equal orders included, give what the sequential rule gives."""
+    import random
+
+    rng = random.Random(11)
+    pairs = [(f"b{b}", b * 7 % 40, f"c{c}", c % 7, rng.choice([0.6, 0.7, 0.8])) for b in range(60) for c in range(60) if abs(b - c) < 4 and rng.random() < 0.8]
+    df = spark.createDataFrame(pairs, "base string, ord int, cur string, cur_ord int, score double")
+    for bound in (10, 10_000):
+        got = R.assigned(df, bound=bound).collect()
+        assert {r.base: r.cur for r in got} == _fold(pairs) and len(got) == len(_fold(pairs))
+    assert R.assigned(df.limit(0)).count() == 0
+
+
+def test_many_findings_in_one_file(spark):
+    from pyspark.sql import functions as F
+
+    side = lambda p, step: spark.range(50_000).select(
+        F.sha1(F.concat(F.lit(p), F.col("id").cast("string"))).alias("id"), F.sha1(F.concat(F.lit(p), F.col("id").cast("string"))).alias("ord"), F.lit("a.py").alias("path"), F.lit("x").alias("vuln_class"),
+        F.lit("k").alias("source_kind"), F.lit(None).cast("string").alias("function"), (F.col("id") * 4 + step).cast("int").alias("line"), F.concat(F.lit("call(value"), (F.col("id") % 3).cast("string"), F.lit(")")).alias("snippet"), F.lit("r").alias("rule_id"),
+    )
+    old, now = side("o", 0), side("n", 1)
+    pairs = R.candidate_pairs(old, now).select("base", "ord", "cur", "cur_ord", "score").collect()
+    got = {r.base: r.cur for r in R.fuzzy_matches(old, now).collect()}
+    assert len(pairs) > 300_000 and got == _fold([tuple(r) for r in pairs])
+
+
+def test_query_on_changed_code_by_brute_force(spark, sf):
+    """The registered query over the whole table, by the rule read literally."""
+    from findinglake.plans import lake
+
+    old, now = ([r.asDict() for r in df.collect()] for df in lake.changed_code(spark, sf))
+    plain = lambda t: re.sub(r"\s+", " ", (t or "").strip())[:500]
+    ratio = functools.lru_cache(None)(lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())
+    place = lambda r: (r["path"], r["vuln_class"], r["source_kind"])
+    free, want = {}, {}
+    for r in now:
+        free.setdefault(place(r), {})[r["fingerprint"]] = r
+    paths = {r["path"] for r in now}
+    for b in sorted(old, key=lambda r: r["fingerprint"]):
+        best = None
+        for fp in sorted(free.get(place(b), {})):
+            c = free[place(b)][fp]
+            same = bool(b["function"]) and b["function"] == c["function"]
+            near = b["line"] is not None and c["line"] is not None and abs(b["line"] - c["line"]) <= 15
+            sim = ratio(plain(b["snippet"]), plain(c["snippet"])) if same or near else 0
+            score = sim + 0.5 * same + 0.3 * near + 0.2 * (b["rule_id"] == c["rule_id"])
+            if sim >= 0.6 and (best is None or score > best[0] + 1e-12):
+                best = score, fp
+        if best:
+            del free[place(b)][best[1]]
+            want[b["fingerprint"]] = ("STILL_OPEN", "FUZZY")
+        else:
+            want[b["fingerprint"]] = ("RESOLVED" if b["path"] in paths else "NOT_REPRODUCED", "NONE")
+    want |= {fp: ("NEW", "NONE") for own in free.values() for fp in own}
+    got = {r.fingerprint: (r.result, r.method) for r in lake.QUERIES["retest_changed_code"](spark, sf).collect()}
+    assert got == want and sum(m == "FUZZY" for _, m in got.values()) > 50
