@@ -85,6 +85,12 @@ def looks_placeholder(value: Column) -> Column:
     return _any_of(low, HINTS) | few | value.rlike(REFERENCE) | value.rlike(CODE) | low.isin(WORDS)
 
 
+def may_hold(text: Column) -> Column:
+    """Whether any pattern's keyword is in text: a few plain searches that all lines pass before patterns are tried."""
+    words = {k for row in PATTERNS for k in row[5]}
+    return _any_of(text, sorted(w for w in words if not any(v != w and v in w for v in words)))
+
+
 def _hit(i: int, value: Column) -> Column:
     return F.struct(F.lit(i).alias("p"), value.alias("value"))
 
@@ -149,7 +155,7 @@ def scan_secrets(files: DataFrame, line_max: int | None = None) -> DataFrame:
     if line_max is not None:
         lines = lines.withColumn("line", F.substring("line", 1, line_max))
     hits = _let(_hits(F.col("line"), F.col("env")), lambda h: _judged(h, F.col("line")))
-    out = lines.select("file", "test", "at", "line", F.explode(hits).alias("r"))
+    out = lines.where(may_hold(F.col("line"))).select("file", "test", "at", "line", F.explode(hits).alias("r"))
     value, kind = F.col("r.value"), _of_pattern(F.col("r.p"), 0)
     plain = F.col("r.generic") & ~value.rlike("[^A-Za-z]")
     fake = ~F.col("r.generic") & (kind != "private-key") & (F.upper(value).contains("EXAMPLE") | F.col("r.fake"))
@@ -181,7 +187,8 @@ def redact(text: Column, path: Column, known: Column | None = None) -> Column:
 
     Values of generic patterns need their least entropy; null stays null.
     """
-    found = F.filter(_hits(text, is_env_file(path)), lambda x: x["p"] != 0)
+    none = F.array().cast("array<struct<p:int,value:string>>")
+    found = F.filter(F.when(may_hold(text), _hits(text, is_env_file(path))).otherwise(none), lambda x: x["p"] != 0)
     sure = F.filter(found, lambda x: ~_of_pattern(x["p"], 7) | (entropy(x["value"]) >= _of_pattern(x["p"], 6)))
     values = F.transform(sure, lambda x: x["value"])
     if known is not None:
