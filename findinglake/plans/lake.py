@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findinglake.operators import documents, merge, retest, sarif, secrets
 from findinglake.plans import adapter as A
+from findinglake.sources import archives, inventory
 from findinglake.storage import shared_folder
 from findinglake.streaming import findings as L
 
@@ -195,6 +200,51 @@ def _all_patterns(spark, sf):
     return secrets.scan_secrets(files).select("file_id", "path", "detector", "line", "col", "masked", "severity", "confidence")
 
 
+_ENDINGS = ["main.py", "a.tsx", "lib.min.js", "run", "pic.PNG", "node_modules/x.js", "page.inc", "x.unknown"]
+
+
+def _statuses(spark, sf):
+    """Documents as files of eight kinds; some hold a NUL byte, some begin like scripts or pages."""
+    k = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, _ENDINGS)), (k % 8 + 1).cast("int"))
+    head = F.when(k % 8 == 3, "#!/usr/bin/env node\n").when(k % 8 == 6, "<?php\n").when(k % 11 == 5, "a\x00b").otherwise("")
+    text = F.concat(head, F.coalesce("text", F.lit("")))
+    f = A.table(spark, sf, "documents").select(F.concat_ws("/", "source", k.cast("string"), name).alias("path"), F.octet_length(text).cast("long").alias("size"), F.encode(text, "UTF-8").alias("content"))
+    return inventory.inventory(f, max_bytes=20_000).select("path", "language", "status", "lines")
+
+
+def _packed(kind: str):
+    """Documents of one group as a zip or tar with a common top folder."""
+
+    def make(pdf):
+        out = io.BytesIO()
+        rows = sorted(zip(pdf["path"], pdf["text"]))
+        if kind == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for path, text in rows:
+                    z.writestr(f"top/{path}", text)
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz") as t:
+                for path, text in rows:
+                    info, data = tarfile.TarInfo(f"top/./{path}"), text.encode()
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"name": [f"g{pdf['g'].iloc[0]}.{'zip' if kind == 'zip' else 'tar.gz'}"], "content": [out.getvalue()]})
+
+    return make
+
+
+def _archives(spark, sf):
+    """Documents packed into archives of 25 each (zips and tars), and environment files on their own, and unpacked again."""
+    d = A.files(spark, sf).select((F.col("doc_id") / 25).cast("long").alias("g"), "doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+    schema = "name string, content binary"
+    zips = d.where("g % 2 = 0").groupBy("g").applyInPandas(_packed("zip"), schema)
+    tars = d.where("g % 2 = 1").groupBy("g").applyInPandas(_packed("tar"), schema)
+    alone = d.where("doc_id % 10 = 0").select(F.lit(".env").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    out = archives.read_uploads(zips.unionByName(tars).unionByName(alone))
+    return out.select(F.col("archive").alias("name"), "path", "size", F.sha2("content", 256).alias("sha256"), "note", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sarif_document": _sarif,
     "sarif_document_rules": _sarif_log_rules,
@@ -204,6 +254,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "correlated_reports": _correlated,
     "retest_changed_code": _changed,
     "secret_patterns": _all_patterns,
+    "file_statuses": _statuses,
+    "archive_members": _archives,
     "finding_state_stream": _state,
 }
 
@@ -218,6 +270,15 @@ _LEVEL = "case {0} when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'M
 _VALUES = ", ".join(f"({i}, '{d}', '{a.replace(chr(39), chr(39) * 2)}', '{v}', '{s}', '{c}', {str(e).lower()})" for i, (d, a, v, _, s, c, e) in enumerate(SAMPLES))
 
 ORACLE: dict[str, str] = {
+    "archive_members": """with d as (select doc_id // 25 as g, doc_id, source || '/' || doc_id || '.txt' as path, coalesce(text, '') as t from documents)
+        select case when g % 2 = 0 then 'g' || g || '.zip' else 'g' || g || '.tar.gz' end as name, path, cast(strlen(t) as bigint) as size, sha256(t) as sha256,
+            cast(null as varchar) as note, cast(null as varchar) as error from d
+        union all select '.env', '.env', strlen(t), sha256(t), null, null from d where doc_id % 10 = 0""",
+    "file_statuses": f"""with f as (select doc_id % 8 as k, doc_id % 11 = 5 and doc_id % 8 not in (3, 6) as nul, source || '/' || doc_id || '/' || {_ENDINGS}[doc_id % 8 + 1] as path,
+            case doc_id % 8 when 3 then '#!/usr/bin/env node' || chr(10) when 6 then '<?php' || chr(10) else '' end || coalesce(text, '') as t from documents),
+        s as (select *, case when k in (2, 5) then 'EXCLUDED' when k = 4 then 'SKIPPED_BINARY' when strlen(t) + case when nul then 3 else 0 end > 20000 then 'SKIPPED_SIZE' when nul then 'SKIPPED_BINARY' else 'ANALYZED' end as status from f)
+        select path, case k when 0 then 'python' when 1 then 'tsx' when 2 then 'javascript' when 3 then 'javascript' when 5 then 'javascript' when 6 then 'php' end as language, status,
+            case when status = 'ANALYZED' then cast(length(t) - length(replace(t, chr(10), '')) + case when t <> '' and not suffix(t, chr(10)) then 1 else 0 end as int) end as lines from s""",
     "secret_patterns": f"""with t(i, detector, prefix, value, severity, confidence, env) as (values {_VALUES}),
         x as (select p_partkey as file_id, ['src/a.py', 'tests/a.py', 'deploy/.env'][p_partkey // 30 % 3 + 1] as path, t.*, replace(value, '{{0}}', cast(p_partkey // 100 % 10 as varchar)) as v,
             p_partkey % 5 as pad from part join t on i = p_partkey % 30)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+from functools import reduce
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findinglake.functions.columns import lookup
+from findinglake.storage import written
 
 # Languages by extension, endings that are never text, and default exclusions.
 LANGUAGES = {
@@ -36,22 +38,51 @@ EXCLUDES = [
 HEAD = 8192
 
 
+_NAMES = "path string, size long, folder boolean"
+
+
+def _listed(root: str):
+    """Lists folders (column path, relative to root): each entry's path and size, and whether it is a folder.  Links to
+    either are left out."""
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                entries = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base))
+                kinds = (pafs.FileType.File, pafs.FileType.Directory)
+                own = [e for e in entries if e.type in kinds and not (fs.type_name == "local" and os.path.islink(e.path))]
+                for at in range(0, len(own), 10_000):
+                    rows = [(e.path[len(base) :].lstrip("/"), e.size, e.type == pafs.FileType.Directory) for e in own[at : at + 10_000]]
+                    yield pd.DataFrame(rows, columns=["path", "size", "folder"]).astype({"size": "Int64"})
+
+    return run
+
+
+def tree_names(spark: SparkSession, root: str, slices: int = 64) -> DataFrame:
+    """path and size of every regular file below root, hidden ones as well.
+
+    Folders are listed level by level: what one level finds is written, and its folders are spread over tasks again, so
+    a tree with one top folder is listed by as many tasks as it has folders in a level.
+    """
+    level, names = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = written(level.mapInPandas(_listed(root), _NAMES))
+        names.append(found.where("not folder").select("path", "size"))
+        below = found.where("folder").select("path")
+        n = below.count()
+        if not n:
+            return reduce(DataFrame.unionByName, names)
+        level = below.repartition(max(1, min(slices, n)), "path")
+
+
 def read_tree(spark: SparkSession, root: str, max_bytes: int = 1 << 20, slices: int = 64) -> DataFrame:
     """path (relative to root), size and content of every regular file below root, hidden and empty ones as well
     (Spark's binaryFile source leaves those out); links aren't followed, contents above max_bytes are null.
 
-    root is a path or URI that all executors can read.  The driver lists only the top folder; tasks list the rest,
-    names are spread by hash, and tasks read the contents a few files at a time.
+    root is a path or URI that all executors can read.  Names are spread by hash, and tasks read the contents file by file.
     """
 
-    def below(batches):
-        fs, base = pafs.FileSystem.from_uri(root)
-        for pdf in batches:
-            for top in pdf["top"]:
-                for start in range(0, len(found := _walk(fs, f"{base}/{top}")), 10_000):
-                    part = found[start : start + 10_000]
-                    yield pd.DataFrame([(p[len(base) :].lstrip("/"), n) for p, n in part], columns=["path", "size"])
-
     def contents(batches):
         fs, base = pafs.FileSystem.from_uri(root)
         for pdf in batches:
@@ -59,25 +90,7 @@ def read_tree(spark: SparkSession, root: str, max_bytes: int = 1 << 20, slices:
                 with fs.open_input_stream(f"{base}/{path}") as f:
                     yield pd.DataFrame({"path": [path], "size": [size], "content": [f.read() if size <= max_bytes else None]})
 
-    fs, base = pafs.FileSystem.from_uri(root)
-    top = [(i.base_name,) for i in fs.get_file_info(pafs.FileSelector(base))]
-    names = spark.createDataFrame(top, "top string").repartition(max(1, min(slices, len(top))), "top").mapInPandas(below, "path string, size long")
-    return names.repartition(slices, "path").mapInPandas(contents, "path string, size long, content binary")
-
-
-def _walk(fs: pafs.FileSystem, path: str) -> list[tuple[str, int]]:
-    """Path and size of the files at or below path; links to folders or files are left out."""
-    info, out = fs.get_file_info(path), []
-    todo = [info]
-    while todo:
-        i = todo.pop()
-        if fs.type_name == "local" and os.path.islink(i.path):
-            continue
-        if i.type == pafs.FileType.File:
-            out.append((i.path, i.size))
-        elif i.type == pafs.FileType.Directory:
-            todo.extend(fs.get_file_info(pafs.FileSelector(i.path)))
-    return out
+    return tree_names(spark, root, slices).repartition(slices, "path").mapInPandas(contents, "path string, size long, content binary")
 
 
 def extension(path: Column) -> Column:

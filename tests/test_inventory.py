@@ -28,6 +28,20 @@ def test_inventory(spark, tmp_path):
     assert got["a.py"].sha256 == hashlib.sha256(files["a.py"]).hexdigest()
 
 
+def test_deep_tree_with_one_top_folder(spark, tmp_path):
+    want = set()
+    for i in range(4):
+        for j in range(6):
+            name = f"top/a/b{i}/c/.d{j}/f{i}{j}.txt"
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text("x" * j)
+            want.add((name, j))
+    (tmp_path / "top" / "loop").symlink_to(tmp_path / "top")
+    (tmp_path / "empty").mkdir()
+    assert {(r.path, r.size) for r in I.tree_names(spark, str(tmp_path)).collect()} == want
+    assert I.tree_names(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_excludes_and_archives(spark):
     paths = spark.createDataFrame([("lib/gen/a.py",), ("lib/gen2/a.py",), ("x/lib/gen/a",), ("a.tmp",), ("d/a.tmp",)], "path string")
     got = {r.path for r in paths.where(I.excluded(F.col("path"), ["lib/gen/", "*.tmp"])).collect()}
