@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findinglake.operators import documents, merge, retest, sarif, secrets
+from findinglake.operators import classes, documents, merge, retest, sarif, secrets
 from findinglake.plans import adapter as A
 from findinglake.sources import archives, inventory
 from findinglake.storage import shared_folder
@@ -245,6 +245,18 @@ def _archives(spark, sf):
     return out.select(F.col("archive").alias("name"), "path", "size", F.sha2("content", 256).alias("sha256"), "note", "error")
 
 
+def _classes(spark, sf):
+    """Types of parts as classes, their entries as JSON, and the lines of orders as findings that these describe."""
+    p = A.table(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("k"))
+    t, k = F.col("p_type"), F.col("k")
+    code = lambda lang: F.struct(F.concat(F.lit(f"{lang} "), t).alias("vulnerable"), F.concat(F.lit(f"safe {lang} "), t).alias("secure"))
+    both = F.struct(code("php").alias("php"), code("javascript").alias("javascript"))
+    entry = F.struct(t.alias("key"), F.lower(t).alias("name"), F.when(k % 2 == 0, "AISEC").alias("engine"), F.concat(t, F.lit(" \n  is bad ")).alias("description"), F.lit("Mend it.").alias("remediation"), F.when(k % 3 != 0, both).alias("examples"))
+    o = A.occurrences(spark, sf).select(F.when(F.col("line") != 7, F.col("vuln_class")).alias("vuln_class"), A._choice(F.col("line") % 3, ["php", "tsx", "go"]).alias("language"))
+    out = classes.described(o, classes.catalog(p.where("p_type not like '%0'").select(F.to_json(entry).alias("json"))))
+    return out.groupBy("vuln_class", "language", "class_name", "category", "root_cause", "secure_pattern").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sarif_document": _sarif,
     "sarif_document_rules": _sarif_log_rules,
@@ -255,6 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retest_changed_code": _changed,
     "secret_patterns": _all_patterns,
     "file_statuses": _statuses,
+    "class_catalogue": _classes,
     "archive_members": _archives,
     "finding_state_stream": _state,
 }
@@ -270,6 +283,14 @@ _LEVEL = "case {0} when 'CRITICAL' then 'error' when 'HIGH' then 'error' when 'M
 _VALUES = ", ".join(f"({i}, '{d}', '{a.replace(chr(39), chr(39) * 2)}', '{v}', '{s}', '{c}', {str(e).lower()})" for i, (d, a, v, _, s, c, e) in enumerate(SAMPLES))
 
 ORACLE: dict[str, str] = {
+    "class_catalogue": """with p as (select p_type as t, min(p_partkey) as k from part where p_type not like '%0' group by 1),
+        o as (select case when cast(l_quantity as int) <> 7 then p_type end as vuln_class, case cast(l_quantity as int) % 3 when 0 then 'php' when 1 then 'tsx' else 'go' end as language
+            from lineitem join part on p_partkey = l_partkey),
+        c as (select o.*, lower(t) as class_name, case when k % 2 = 0 then 'AI Security' when k is not null then 'Application Security' end as category, t || ' is bad' as root_cause,
+            case when t is null then null when k % 3 = 0 then 'Mend it.' else 'Mend it.' || chr(10) || chr(10) || 'Instead of:' || chr(10) || '    ' || case language when 'tsx' then 'javascript ' else 'php ' end || t
+                || chr(10) || chr(10) || 'write:' || chr(10) || '    safe ' || case language when 'tsx' then 'javascript ' else 'php ' end || t end as secure_pattern
+            from o left join p on t = vuln_class)
+        select *, count(*) as n from c group by all""",
     "archive_members": """with d as (select doc_id // 25 as g, doc_id, source || '/' || doc_id || '.txt' as path, coalesce(text, '') as t from documents)
         select case when g % 2 = 0 then 'g' || g || '.zip' else 'g' || g || '.tar.gz' end as name, path, cast(strlen(t) as bigint) as size, sha256(t) as sha256,
             cast(null as varchar) as note, cast(null as varchar) as error from d
