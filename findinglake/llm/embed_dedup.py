@@ -92,8 +92,9 @@ def embedding_groups(
 
     Vectors link when their labels are equal and their cosine, in double precision, is `least` or more.  A vector that
     is null, zero, or holds null or non-finite components, and one without label or vec_id, links with nothing;
-    vectors of different lengths don't link.  Equal rows are vectors of their own and link with each other.  kept is
-    true for the smallest vec_id of a component, and null for rows without vec_id.
+    vectors of different lengths don't link.  Equal rows are vectors of their own and link with each other, and so are
+    rows that share a vec_id but not a vector.  kept is true for the smallest vec_id of a component, and null for rows
+    without vec_id.  Labels can be of any type that Spark groups by; columns other than the three named aren't read.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     fit = (
@@ -105,7 +106,9 @@ def embedding_groups(
     )
     rows = cut_lineage(rows.withColumn("fit", F.coalesce(fit, F.lit(False))))
     valid = rows.where("fit").withColumn("hash", F.xxhash64("v"))
-    reps = cut_lineage(valid.groupBy("label", "hash", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    # Several vectors can share a vec_id, so each distinct vector has a number (`rep`) of its own, given as it is written.
+    reps = valid.groupBy("label", "hash", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    reps = cut_lineage(reps.withColumn("rep", F.monotonically_increasing_id()))
 
     def hashed(batches):
         for pdf in batches:
@@ -143,13 +146,17 @@ def embedding_groups(
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    known = reps.join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    named = cut_lineage(groups.join(reps.select(F.col("rep").alias("node"), "first_id"), "node"))
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("low"))
+    named = named.join(lowest, "component").select(F.col("node").alias("rep"), "low")
+    known = reps.join(links, "rep", "left").join(named, "rep", "left")
     known = known.select(
         "label",
         "hash",
         "v",
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("low", "first_id").alias("component_id"),
     )
     out = valid.join(known, ["label", "hash", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from findinglake.llm.embed_dedup import embedding_groups
 
@@ -46,3 +47,30 @@ def test_equals_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in out if r.vec_id is not None)
         assert len(out) == len(rows)
     assert embedding_groups(df.limit(0)).count() == 0
+
+
+def test_shared_ids_lengths_and_names(spark):
+    """Rows of one vec_id are vectors of their own; lengths, labels of strings and other columns mix up nothing."""
+    rng = np.random.default_rng(5)
+    a, b = (rng.standard_normal(16) for _ in range(2))
+    near = lambda v: [float(x) for x in v + rng.standard_normal(16) * 0.01]
+    a, b = [float(x) for x in a], [float(x) for x in b]
+    rows = [(1, a, "x"), (1, b, "x"), (2, near(a), "x"), (3, near(b), "x"), (4, near(a), "x"), (5, a[:8], "x"),
+            (6, a[:8], "x"), (7, a, "y"), (8, a + [0.0], "x"), (9, [], "x"), (-3, near(b), "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for c in ("n", "rep", "key", "component", "first_id"):
+        df = df.withColumn(c, F.lit(1))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_groups(df, block=3).collect())
+    want = [(-3, 2, -3), (1, 2, -3), (1, 2, 1), (2, 2, 1), (3, 2, -3), (4, 2, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
+    assert got == want
+
+
+def test_recall_on_a_table(spark, sf):
+    """All pairs within each label, by matrix products, against the links found."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    got = {r.vec_id: r.n_links for r in embedding_groups(df).collect()}
+    for _, own in df.toPandas().groupby("label"):
+        x = np.stack(own["embedding"]).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        want = ((x @ x.T) >= 0.98).sum(1) - 1
+        assert [got[i] for i in own["vec_id"]] == want.tolist()
