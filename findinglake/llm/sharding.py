@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .tables import cut_lineage
 
+_COPIES = 65_536
+
 
 def hypergeometric(good: int, bad: int, draws: int, rnd: random.Random) -> int:
     """How many of `draws` items, taken without replacement, are among the `good` ones.  Any size; exact inversion.
@@ -86,7 +88,10 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 1, rows: int = 20_000, m
     size = (F.octet_length(text) + F.lit(1)).cast("long")
     order = ["doc_id", "text_crc32", "size", "copy"]
     table = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32")).groupBy(*order[:3]).agg(F.count("*").alias("n"))
-    table = cut_lineage(table.select(*order[:3], F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")))
+    # Equal rows are numbered in blocks of _COPIES, so that no array grows with a group's size.
+    heads = table.select(*order[:3], "n", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(_COPIES))).alias("head"))
+    tail = F.least("n", F.col("head") + (_COPIES - 1))
+    table = cut_lineage(heads.select(*order[:3], F.explode(F.sequence("head", tail)).alias("copy")))
     total = table.count()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
 

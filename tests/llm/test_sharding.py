@@ -20,6 +20,17 @@ def test_shards_are_exact(spark, sf):
     assert shard(docs.limit(0)).count() == 0
 
 
+def test_many_equal_rows(spark, monkeypatch):
+    """A group of more copies than a block holds; the result doesn't depend on the block's size."""
+    from findinglake.llm import sharding
+
+    docs = spark.range(5000).selectExpr("cast(null as long) as doc_id", "if(id < 4990, cast(null as string), 'a') as text", "id as n", "1 as copy")
+    want = sorted(map(tuple, shard(docs, rows=100).collect()), key=str)
+    assert len(want) == 5000 and Counter(r[4] for r in want) == {s: 625 for s in range(8)}
+    monkeypatch.setattr(sharding, "_COPIES", 7)
+    assert sorted(map(tuple, shard(docs, rows=100).collect()), key=str) == want
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = shard(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
