@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from findinglake.plans import catalog, console, lake, portfolio, software
+from findinglake.plans import catalog, console, lake, outcomes, portfolio, software
 
-QUERIES = catalog.QUERIES | software.QUERIES | portfolio.QUERIES | lake.QUERIES | console.QUERIES
-ORACLE = catalog.ORACLE | software.ORACLE | portfolio.ORACLE | lake.ORACLE | console.ORACLE
+QUERIES = catalog.QUERIES | software.QUERIES | portfolio.QUERIES | lake.QUERIES | console.QUERIES | outcomes.QUERIES
+ORACLE = catalog.ORACLE | software.ORACLE | portfolio.ORACLE | lake.ORACLE | console.ORACLE | outcomes.ORACLE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
