@@ -28,13 +28,16 @@ _WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_L1_LETTER}]+|[{_L1_DIGIT}]|[^{_L1_SPACE}{_L1_LETTER}{_L1_DIGIT}]+"
 )
 _OTHER = re.compile("[^\x00-\xff]|<\\|(?:start|end)oftext\\|>")
+# The same words of lower-cased ASCII texts; the branches begin with different characters, so the commonest stands first.
+_ASCII_WORDS = re.compile("[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\x0b\x0c\ra-z0-9]+")
 
 
 class Encoder:
     """Ids of the tokenizer as packed little-endian 32-bit integers.
 
-    Every word is encoded by the tokenizer itself, once; its ids are remembered (at most `limit` words).  Texts
-    outside Latin-1 and texts with special tokens go to the tokenizer whole.
+    Every word is encoded by the tokenizer itself, and its ids are remembered: at most `limit` words, in two halves.  When
+    the younger half is full it becomes the older one, which is forgotten but for the words met again since, so frequent
+    words stay.  Texts outside Latin-1 and texts with special tokens go to the tokenizer whole.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -42,24 +45,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = limit
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Words that aren't known yet: those of the older half, the others in one run, parted by spaces as in a text."""
+        kept = {w: self.older[w] for w in words if w in self.older}
+        new = [w for w in words if w not in kept]
+        if len(self.known) + len(words) > self.limit // 2:
+            self.older, self.known = self.known, {}
+        self.known.update(kept)
+        if not new:
+            return
+        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+        ends = (4 * np.append(np.flatnonzero(word[1:] != word[:-1]) + 1, word.size)).tolist()
+        if len(ends) == len(new):
+            self.known.update({w: ids[a:b] for w, a, b in zip(new, [0, *ends], ends)})
+        else:  # a tokenizer that cuts a word further, or drops one
+            self.known.update({w: self.whole(w) for w in new})
+
     def __call__(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        ascii_ = text.isascii()
+        if (not ascii_ or "<|" in text) and _OTHER.search(text):
             return self.whole(text)
-        found = _WORDS.findall(text.lower())
-        get = self.known.get
-        parts = list(map(get, found))
+        found = (_ASCII_WORDS if ascii_ else _WORDS).findall(text.lower())
+        parts = list(map(self.known.get, found))
         if None in parts:
-            if len(self.known) > self.limit:
-                self.known.clear()
-                parts = [None] * len(found)
-            new = list({w for w, p in zip(found, parts) if p is None})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.learn(list(dict.fromkeys(w for w, p in zip(found, parts) if p is None)))
             parts = [p if p is not None else self.known[w] for w, p in zip(found, parts)]
         return b"".join(parts)
 

@@ -212,3 +212,19 @@ def test_packed_words_are_the_tokenizers():
     for a in chars:
         text = " ".join(f"x{a}{b}y" for b in chars)
         assert encode(text) == encode.whole(text), hex(ord(a))
+
+
+def test_encoder_forgets_words_but_not_their_ids():
+    """Ids are the tokenizer's own, whatever is remembered, for ASCII, Latin-1 and other texts."""
+    import random
+
+    from findinglake.llm import packing
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeABC019'-_!") for _ in range(rng.randrange(1, 7)))
+    texts = [rng.choice(" \t\n").join(word() for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["''s don't 'tis WE'LL", "a\x1cb\x85c\xa0d", "<|endoftext|> x", "<| x", "ÀÉß ªº ²³ l'été", "İx ſ", "a\x00b \x1d'S", "x" * 3000, ""]
+    small, large = (packing.Encoder(packing.default_tokenizer(), n) for n in (40, 100_000))
+    for t in texts * 2:
+        assert small(t) == large(t) == large.whole(t)
+    assert len(small.known) <= 200 and len(small.older) <= 200 and len(large.known) > 400
