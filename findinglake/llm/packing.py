@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut_lineage
+from .workers import release, remembered
 
 # Words of the tokenizer's own pattern, for texts of Latin-1 characters (letters and digits are spelled out).
 _L1_LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -80,6 +81,7 @@ class Encoder:
         return b"".join(parts)
 
 
+@remembered
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -103,6 +105,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: i
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        release(keep=encoder)
         encode = encoder(path)
         for pdf in batches:
             rows = []
@@ -112,6 +115,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: i
                     part = ids[at : at + 4 * size]
                     rows.append((d, no, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["id", "no_id", "piece", "start", "length", "ids_crc32"])
+        release(keep=encoder)
 
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
     return rows.mapInPandas(run, f"{_PIECE}, length long, ids_crc32 long")

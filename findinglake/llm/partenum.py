@@ -40,6 +40,7 @@ from .components import components
 from .suffix_dedup import _range_of, _split
 from .tables import cut_lineage
 from .textarrays import _C, blocks, mix, shingles, span_hashes, words
+from .workers import lean, lean_pair
 
 _CENTRE, _COPY = -1, -2  # no node: mark a centre, and a document whose set an earlier one has
 _CELLS, _SPARE = 3, 1  # n2 and k2
@@ -332,11 +333,11 @@ def jaccard_groups(
         return pd.DataFrame(rows, columns=["range", "chunk", "copies", "sigs", "nodes", "more"])
 
     stars = (
-        parts.applyInPandas(sign, "range int, chunk int, copies boolean, sigs binary, nodes binary, more binary")
+        parts.applyInPandas(lean(sign), "range int, chunk int, copies boolean, sigs binary, nodes binary, more binary")
         .groupBy("range")
-        .applyInPandas(lambda pdf: _stars(pdf, ranges), "bucket int, centre binary, other binary")
+        .applyInPandas(lean(lambda pdf: _stars(pdf, ranges)), "bucket int, centre binary, other binary")
         .groupBy("bucket")
-        .applyInPandas(_distinct_pairs, "centre long, other long")
+        .applyInPandas(lean(_distinct_pairs), "centre long, other long")
     )
     # Each document with a candidate learns its centres; a centre learns that it is one.  Pairs come back with
     # the documents' sets, so all this is one job and the texts are shuffled once.
@@ -362,7 +363,7 @@ def jaccard_groups(
 
     told = cut_lineage(
         parts.cogroup(wanted.groupBy("chunk")).applyInPandas(
-            tell, "node long, id long, no_id boolean, n long, key1 long, key2 long, sketch binary, elements binary, centres array<long>"
+            lean_pair(tell), "node long, id long, no_id boolean, n long, key1 long, key2 long, sketch binary, elements binary, centres array<long>"
         )
     )
     same = told.where("n > 0 and not no_id").groupBy("n", "key1", "key2").agg(F.min("id").alias("b"), F.max("id").alias("m"))
@@ -378,14 +379,14 @@ def jaccard_groups(
         """Links (a, b) of tasks (centre, i, j, node, head), each of heads against members of other components."""
         task = F.pmod(F.xxhash64("centre", "i", "j"), F.lit(spread)).cast("int").alias("task")
         live = tasks.select("*", task).join(groups, "node").groupBy("task").applyInPandas(
-            lambda pdf: _sifted(pdf, percent), "task int, centre long, i int, j int, node long, head boolean, component long"
+            lean(lambda pdf: _sifted(pdf, percent)), "task int, centre long, i int, j int, node long, head boolean, component long"
         )
         live = cut_lineage(live)
         some = live.select("node").distinct()
         some = F.broadcast(some) if some.limit(_NODES + 1).count() <= _NODES else some
         return cut_lineage(
             live.join(sets.join(some, "node", "left_semi"), "node").groupBy("task")
-            .applyInPandas(lambda pdf: _linked(pdf, percent), "a long, b long")
+            .applyInPandas(lean(lambda pdf: _linked(pdf, percent)), "a long, b long")
         )
 
     blocks_of = F.ceil(F.sum("n") / block).cast("int")

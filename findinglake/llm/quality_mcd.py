@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut_lineage
-from .textarrays import _C, blocks, mix, shingles, span_hashes, words
+from .textarrays import _C, blocks, mix, shingles, span_hashes, text_parts, words
+from .workers import release
 
 # Smallest standard deviation of each component of the vector.
 FLOORS = (0.5, 0.06, 0.4, 0.4, 0.11, 0.16)
@@ -88,18 +89,15 @@ def text_counts(docs: DataFrame) -> DataFrame:
     the batch itself, whatever its number of rows.
     """
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     def run(batches):
+        release()
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()))
-            group = np.cumsum(sizes + 1) // (1 << 19)
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
-            parts = [count_texts([(t or "").encode("utf-8", "surrogatepass") for t in text.slice(i, j - i).to_pylist()]) for i, j in zip(cuts, cuts[1:])]
+            parts = [count_texts(texts) for texts in text_parts(batch.column(batch.num_columns - 1))]
             n = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
             columns = [*batch.columns[:-1], *(pa.array(n[:, k]) for k in range(len(COUNTS)))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *COUNTS])
+            release()
 
     id_ = F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")
     out = docs.select(id_, F.col("doc_id").isNull().alias("no_id"), "lang", "source", F.xxhash64("text").alias("text_hash"), "text")

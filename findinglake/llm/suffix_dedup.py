@@ -34,6 +34,11 @@ from pyspark.sql import functions as F
 
 from .blobs import pack, pack_bytes, pack_sorted, unpack, unpack_bytes, unpack_sorted
 from .textarrays import loads, mix, spans, window_hash
+from .workers import lean, lean_pair
+
+
+_RUNS = 1 << 13  # runs whose windows are listed at a time
+_PART = 1 << 20  # bytes of runs that a range compares at a time
 
 
 def _anchor_size(length: int, level: int = 0) -> int:
@@ -160,6 +165,14 @@ class _Chunk:
             yield level, start, count, doc, entry, list(seen), doc[f], (anchor - start)[f], _range_of(key[f], ranges)
 
 
+def _true_in(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many values are true in each of the spans, which lie side by side and together are the mask."""
+    out, some = np.zeros(starts.size, np.int64), ends > starts
+    if some.any():
+        out[some] = np.add.reduceat(mask, starts[some], dtype=np.int64)
+    return out
+
+
 def _split(ranges: np.ndarray):
     """(range, indexes in given order) for each range that occurs."""
     order = np.argsort(ranges, kind="stable")
@@ -238,44 +251,66 @@ def _marks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of one range: for each entry a chunk sent, which of its windows its smallest document repeats."""
     rows = []
     for level, runs in pdf.sort_values("chunk").groupby("level"):
-        seen: dict[bytes, int] = {}
-        least: list[int] = []
-        offset: list[int] = []
-        sent = []
-        for b, sizes, offs, ids, data in zip(runs["chunk"], runs["sizes"], runs["offsets"], runs["ids"], runs["data"]):
-            ends = np.cumsum(unpack(sizes, np.uint16).astype(np.int64)).tolist()
-            ids, data, entry, s = unpack(ids, np.int64), unpack_bytes(data), [], 0
-            for e, d, o in zip(ends, ids.tolist(), unpack(offs, np.uint8).tolist()):
-                x = data[s:e]
-                s = e
-                i = seen.get(x)
-                if i is None:
-                    i = seen[x] = len(least)
-                    least.append(d)
-                    offset.append(o)
-                elif d < least[i]:
-                    least[i] = d
-                entry.append(i)
-            sent.append((b, ids, np.array(entry, np.int64)))
         k = _anchor_size(length, int(level))
-        groups: dict[bytes, int] = {}
-        texts = list(seen)
-        group = np.array([groups.setdefault(x[o : o + k], len(groups)) for x, o in zip(texts, offset)])
-        several = np.flatnonzero(np.bincount(group)[group] > 1)
-        mask, doc = np.zeros(len(texts), np.uint64), np.array(least, np.int64)
-        if several.size:
-            sizes = np.array([len(texts[i]) for i in several])
-            buf = np.frombuffer(b"".join(texts[i] for i in several), np.uint8)
-            c = sizes - length + 1
-            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            at = np.repeat(np.cumsum(sizes) - sizes, c) + nth
-            hit = lpf_array(buf, at, np.repeat(doc[several], c), length) >= length
-            np.bitwise_or.at(mask, np.repeat(several, c)[hit], np.uint64(1) << nth[hit].astype(np.uint64))
-        for b, ids, entry in sent:
-            rows.append((b, int(level), pack(np.where(doc[entry] < ids, ~np.uint64(0), mask[entry]))))
+        sent, total = [], 0
+        for sizes, offs, ids, data in zip(runs["sizes"], runs["offsets"], runs["ids"], runs["data"]):
+            sizes, data = unpack(sizes, np.uint16).astype(np.int64), unpack_bytes(data)
+            sent.append((np.cumsum(sizes) - sizes, sizes, unpack(offs, np.uint8).astype(np.int64), unpack(ids, np.int64), data))
+            total += len(data)
+        # Only runs of one anchor can share a window, so runs are taken in parts by a hash of their anchor's bytes.
+        n_parts = -(-total // _PART)
+        masks = [np.zeros(ids.size, np.uint64) for _, _, _, ids, _ in sent]
+        where: list[list] = [[] for _ in range(n_parts)]
+        for row, (s, _, o, _, data) in enumerate(sent):
+            key = window_hash(np.frombuffer(data, np.uint8), k, 6, s + o)
+            for p, i in _split(_range_of(key, n_parts)):
+                where[p].append((row, i))
+        for part in where:
+            if part:
+                _marks_of(part, sent, masks, length, k)
+        for b, mask in zip(runs["chunk"], masks):
+            rows.append((b, int(level), pack(mask)))
     return pd.DataFrame(rows, columns=["chunk", "level", "mask"]).assign(range=pdf["range"].iloc[0])
 
 
+def _marks_of(part: list, sent: list, masks: list, length: int, k: int) -> None:
+    """Sets the masks of some entries: part has (row, entries of the row), sent each row's starts, sizes, anchor
+    offsets, documents and bytes; k: the anchor's bytes."""
+    seen: dict[bytes, int] = {}
+    least: list[int] = []
+    offset: list[int] = []
+    entries = []
+    for row, own in part:
+        starts, sizes, offs, ids, data = sent[row]
+        entry = []
+        for s, n, o, d in zip(*(x[own].tolist() for x in (starts, sizes, offs, ids))):
+            x = data[s : s + n]
+            i = seen.get(x)
+            if i is None:
+                i = seen[x] = len(least)
+                least.append(d)
+                offset.append(o)
+            elif d < least[i]:
+                least[i] = d
+            entry.append(i)
+        entries.append(np.array(entry, np.int64))
+    groups: dict[bytes, int] = {}
+    texts = list(seen)
+    group = np.array([groups.setdefault(x[o : o + k], len(groups)) for x, o in zip(texts, offset)])
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    mask, doc = np.zeros(len(texts), np.uint64), np.array(least, np.int64)
+    if several.size:
+        sizes = np.array([len(texts[i]) for i in several])
+        buf = np.frombuffer(b"".join(texts[i] for i in several), np.uint8)
+        c = sizes - length + 1
+        nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        at = np.repeat(np.cumsum(sizes) - sizes, c) + nth
+        hit = lpf_array(buf, at, np.repeat(doc[several], c), length) >= length
+        np.bitwise_or.at(mask, np.repeat(several, c)[hit], np.uint64(1) << nth[hit].astype(np.uint64))
+    for (row, own), entry in zip(part, entries):
+        masks[row][own] = np.where(doc[entry] < sent[row][3][own], ~np.uint64(0), mask[entry])
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = 50,
@@ -342,42 +377,46 @@ def remove_repeats(
                 m[i] = unpack(masks[level, r], np.uint64)
             m = m[entry]
             m[doc > ids[entry]] = ~np.uint64(0)
-            start, c, m = start[m != 0], count[m != 0], m[m != 0]
-            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            hit = (np.repeat(m, c) >> nth.astype(np.uint64)) & np.uint64(1) == 1
-            at = (np.repeat(start, c) + nth)[hit]
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + length, -1)
-        gone = np.cumsum(mark[:-1]) > 0
+            runs = np.flatnonzero(m)
+            for part in np.split(runs, range(_RUNS, runs.size, _RUNS)):
+                c = count[part]
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                hit = (np.repeat(m[part], c) >> nth.astype(np.uint64)) & np.uint64(1) == 1
+                at = (np.repeat(start[part], c) + nth)[hit]
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + length, -1)
+        np.cumsum(mark, out=mark)
+        gone = mark[:-1] > 0
+        del mark
         starts = np.append(0, chunk.ends[:-1])
         begun = gone.copy()
         begun[1:] &= ~gone[:-1]
         inner = starts[(starts < gone.size) & (chunk.ends > starts)]
         begun[inner] = gone[inner]  # a removed run ends with its document
-        lost, new = (np.append(0, np.cumsum(x, dtype=np.int64)) for x in (gone, begun))
+        sizes, lost, new = chunk.ends - starts, _true_in(gone, starts, chunk.ends), _true_in(begun, starts, chunk.ends)
         rest = chunk.buf[~gone].tobytes()
-        left = np.append(0, np.cumsum(~gone, dtype=np.int64))
+        left = np.cumsum(sizes - lost)
         rows = [
-            (d, no, e - s, int(lost[e] - lost[s]), int(new[e] - new[s]), rest[left[s] : left[e]])
-            for d, no, s, e in zip(chunk.ids.tolist(), chunk.pdf["no_id"].tolist(), starts.tolist(), chunk.ends.tolist())
+            (d, no, n, gone_, runs, rest[e - (n - gone_) : e])
+            for d, no, n, gone_, runs, e in zip(chunk.ids.tolist(), chunk.pdf["no_id"].tolist(), *(x.tolist() for x in (sizes, lost, new, left)))
         ]
         return pd.concat([pd.DataFrame(rows, columns=columns), chunk.pdf[list(names)]], axis=1)
 
     shared = (
-        parts.applyInPandas(anchors, "range int, chunk int, keys binary, counts binary")
+        parts.applyInPandas(lean(anchors), "range int, chunk int, keys binary, counts binary")
         .groupBy("range")
-        .applyInPandas(lambda pdf: _shared(pdf, hot), "chunk int, cold binary, hot binary")
+        .applyInPandas(lean(lambda pdf: _shared(pdf, hot)), "chunk int, cold binary, hot binary")
     )
     marks = (
         parts.cogroup(shared.groupBy("chunk"))
-        .applyInPandas(entries, "range int, chunk int, level int, sizes binary, offsets binary, ids binary, data binary")
+        .applyInPandas(lean_pair(entries), "range int, chunk int, level int, sizes binary, offsets binary, ids binary, data binary")
         .groupBy("range")
-        .applyInPandas(lambda pdf: _marks(pdf, length), "chunk int, level int, mask binary, range int")
+        .applyInPandas(lean(lambda pdf: _marks(pdf, length)), "chunk int, level int, mask binary, range int")
     )
     told = marks.unionByName(shared.withColumn("level", F.lit(-1)), allowMissingColumns=True)
     kept = ", ".join(f"`{n}` {types[c]}" for n, c in names.items())
     out = parts.cogroup(told.groupBy("chunk")).applyInPandas(
-        cut, "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary" + (kept and f", {kept}")
+        lean_pair(cut), "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary" + (kept and f", {kept}")
     )
     doc_id = F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept", *(F.col(n).alias(c) for n, c in names.items()))

@@ -95,6 +95,17 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarr
     return mix(h)[keep], owner[:n][keep]
 
 
+def text_parts(column, limit: int = 1 << 19):
+    """The texts of an Arrow column as UTF-8 (null: empty), in lists of about `limit` bytes, one text at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()))
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes + 1) // limit)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    for i, j in zip(cuts, cuts[1:]):
+        yield [(t or "").encode("utf-8", "surrogatepass") for t in column.slice(i, j - i).to_pylist()]
+
+
 def blocks(texts: list[bytes], limit: int = 1 << 19):
     """Index ranges of texts whose joint length stays near `limit` bytes."""
     first, total = 0, 0

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import _TABLE, blocks, mix, span_hashes, spans
+from .textarrays import _TABLE, blocks, mix, span_hashes, spans, text_parts
+from .workers import lean, release
 
 BITS = 18
 _PREFIXES = (4, 5, 6, 7, 8)
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 2500, longest: int =
         w = fit([t.encode("utf-8", "surrogatepass") for t in pdf["text"]], y, c / c.mean())
         return pd.DataFrame({"w": [w.tobytes()]})
 
-    out = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInPandas(one, "w binary").collect()
+    out = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInPandas(lean(one), "w binary").collect()
     return np.frombuffer(out[0].w, np.float32) if out else none
 
 
@@ -186,10 +187,13 @@ def score_documents(docs: DataFrame, w: np.ndarray) -> DataFrame:
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        release()
         for batch in batches:  # the other columns pass through as they are
-            p, s = score([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()], w)
-            found = pa.array([[{"start": a, "end": b} for a, b in x] for x in s], spans_type)
+            parts = [score(texts, w) for texts in text_parts(batch.column(at))]
+            p = np.concatenate([np.empty(0), *(p for p, _ in parts)])
+            found = pa.array([[{"start": a, "end": b} for a, b in x] for _, s in parts for x in s], spans_type)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), found], names=[*batch.schema.names, "score", "sentences"])
+            release()
 
     return docs.mapInArrow(run, schema)
 
