@@ -2,6 +2,9 @@
 
 Each step is a grouped minimum and a join over edges, so no component has to fit anywhere.  Nodes of high degree are
 split by AQE's skew-join handling: the step joins edges to one minimum per node instead of collecting neighbours.
+
+Few edges are one partition, so that a round needs no shuffle: the driver keeps what it knows of each task, and rounds of
+empty ones would fill its memory.
 """
 
 from __future__ import annotations
@@ -13,6 +16,12 @@ from .tables import cut_lineage
 
 
 _EDGES = 100_000  # edges for each task; fewer edges than tasks would make files of nothing
+_ALONE = 200_000  # so many edges (some 10 MB) are one partition
+
+
+def tasks_for(edges: int) -> int:
+    """Partitions of a table of so many edges."""
+    return 1 if edges <= _ALONE else 8 + edges // _EDGES
 
 
 def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
@@ -36,13 +45,12 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut_lineage(now)
-    tasks = 8 + now.count() // _EDGES
-    state = None
+    tasks = tasks_for(now.count())
+    now, state = now.coalesce(tasks), None
     for _ in range(rounds):
-        now = cut_lineage(_star(_star(now, True, tasks), False, tasks).coalesce(tasks))
+        now = cut_lineage(_star(_star(now, True, tasks), False, tasks).coalesce(tasks)).coalesce(tasks)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.col("b") >= F.col("a")).cast("int"))).first()
-        chained = now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi").limit(1).count()
-        if tuple(seen) == state and not chained:
+        if tuple(seen) == state and not now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a"), "left_semi").limit(1).count():
             break
         state = tuple(seen)
     else:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import pack, pack_sorted, unpack, unpack_sorted
-from .components import components
+from .components import components, tasks_for
 from .suffix_dedup import _range_of, _split
 from .tables import cut_lineage
 from .textarrays import _C, blocks, mix, shingles, span_hashes, words
@@ -288,6 +288,7 @@ def _linked(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _labels(links: DataFrame, hops: int = 3) -> DataFrame:
     """doc and label: the smallest document within some links of it; only documents with links have a row."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both.coalesce(tasks_for(links.count()))
     out = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc"), F.least("a", "m").alias("label"))
     for _ in range(hops - 1):
         next_ = both.join(out, F.col("b") == F.col("doc")).groupBy("a").agg(F.min("label").alias("label"))
@@ -399,7 +400,7 @@ def jaccard_groups(
     members = pairs.drop("n").join(sizes, "centre").withColumn("at", block_of("nb"))
     heads = sizes.select("centre", F.col("centre").alias("node"), each("nb").alias("at"))
     near = compared(members.select(*row(F.col("at"), zero, False)).unionByName(heads.select(*row(F.col("at"), zero, True))), sketches)
-    links = copies.unionByName(near)
+    links = cut_lineage(copies.unionByName(near))
     own = _labels(links)
     labels = sketches.join(own, sketches["component"] == own["doc"], "left").select(
         "node", F.coalesce("label", "component").alias("component"), "n", "sketch"

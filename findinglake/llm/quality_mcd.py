@@ -14,6 +14,9 @@ quarters, while that bin's rows share the remaining places.  Every row of a grou
 in many blocks.  Sums are of whole numbers, so nothing depends on their order.  Groups of fewer than `least` rows, too
 few for 27 parameters, take their language's estimate, and small languages that of all documents.
 
+What a step keeps of a group is small, so a few hundred groups' histograms and sums are one partition, which windows and
+joins take without a shuffle: the driver keeps what it knows of each task, and steps of empty ones would fill its memory.
+
 Variances have floors, since most clean documents share one value (no symbols, no repeated lines); without them any
 document with one symbol would be an outlier.
 """
@@ -39,6 +42,8 @@ _DIM = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i, _DIM)]
 _SCALE = 1 << 16  # fixed point of the sums
 _FEW = 20_000  # so many estimates are broadcast at most
+_KEYS = 200  # keys whose histograms and estimates are one partition; a histogram has some thousand bins
+_BLOCKS = 16  # blocks (3 MB) for each task
 _GRID = 128  # histogram bins per unit (medians) and per doubling (distances)
 _SYMBOL, _UPPER, _SHOUT = (np.zeros(256, bool) for _ in range(3))
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -136,7 +141,9 @@ def blocks_of(vectors: DataFrame, size: int = 4_000) -> DataFrame:
     if "deal" not in vectors.columns:
         vectors = cut_lineage(vectors).withColumn("deal", F.monotonically_increasing_id())
     counts = vectors.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-    counts = F.broadcast(counts) if counts.limit(_FEW + 1).count() <= _FEW else counts
+    counts = cut_lineage(counts)
+    n, parts = counts.agg(F.count("*"), F.sum("parts")).first()
+    counts = F.broadcast(counts) if n <= _FEW else counts
     # Rows are dealt by numbers that they were given before the join, so a repeated task deals them alike.
     dealt = vectors.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("v", "deal"), F.col("parts")).cast("int"))
 
@@ -144,13 +151,19 @@ def blocks_of(vectors: DataFrame, size: int = 4_000) -> DataFrame:
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [len(x)], "data": [x.tobytes()]})
 
-    return cut_lineage(dealt.select("key", "part", "v").groupBy("key", "part").applyInPandas(one, "key string, n long, data binary"))
+    packed = cut_lineage(dealt.select("key", "part", "v").groupBy("key", "part").applyInPandas(one, "key string, n long, data binary"))
+    return packed.coalesce(8 + (parts or 0) // _BLOCKS)
+
+
+def _held(df: DataFrame, tasks: int | None) -> DataFrame:
+    """A table of a few rows for each key in so many partitions; None: as it is."""
+    return df.coalesce(tasks) if tasks else df
 
 
-def _over(blocks: DataFrame, told: DataFrame | None, few: bool, run, schema: str) -> DataFrame:
-    """run(vectors, row) -> rows, for each block and each row of `told` with its key."""
+def _over(blocks: DataFrame, told: DataFrame | None, tasks: int | None, run, schema: str) -> DataFrame:
+    """run(vectors, row) -> rows, for each block and each row of `told` with its key; tasks: None if keys are too many to broadcast."""
     if told is not None:
-        blocks = blocks.join(F.broadcast(told) if few else told, "key")
+        blocks = blocks.join(F.broadcast(told) if tasks else told, "key")
 
     def each(batches):
         for pdf in batches:
@@ -189,11 +202,11 @@ def _estimate(mean: np.ndarray, cov: np.ndarray, factor: float = 1.0) -> tuple[l
     return mean.tolist(), ((axes / low) @ axes.T).ravel().tolist(), float(np.log(low).sum())
 
 
-def _medians(hist: DataFrame) -> DataFrame:
+def _medians(hist: DataFrame, tasks: int | None) -> DataFrame:
     """Of a histogram (key, dim, bin, n): key, mid (the median of each component, on the grid) and the key's rows."""
     w = F.expr("sum(n) over (partition by key, dim order by bin)")
     total = F.expr("sum(n) over (partition by key, dim)")
-    reached = hist.groupBy("key", "dim", "bin").agg(F.sum("n").alias("n")).withColumns({"upto": w, "total": total})
+    reached = _held(hist.groupBy("key", "dim", "bin").agg(F.sum("n").alias("n")), tasks).withColumns({"upto": w, "total": total})
     mid = reached.where(2 * F.col("upto") >= F.col("total")).groupBy("key", "dim").agg(F.min("bin").alias("bin"), F.max("total").alias("total"))
     place = F.array_sort(F.collect_list(F.struct("dim", (F.col("bin") / _GRID).alias("x"))))["x"]
     return mid.groupBy("key").agg(place.alias("mid"), F.max("total").alias("rows"))
@@ -207,12 +220,12 @@ def _histogram(key: str, x: np.ndarray) -> list[tuple]:
     return out
 
 
-def _starts(blocks: DataFrame, few: bool) -> DataFrame:
+def _starts(blocks: DataFrame, tasks: int | None) -> DataFrame:
     """key, rows, start, center, inverse of three starts for each key; medians and deviations are on the grid."""
     schema = "key string, dim int, bin long, n long"
-    mid = cut_lineage(_medians(_over(blocks, None, few, lambda x, r: _histogram(r.key, x), schema)))
-    away = _medians(_over(blocks, mid, few, lambda x, r: _histogram(r.key, np.abs(x - np.array(r.mid))), schema))
-    known = cut_lineage(mid.join(away.select("key", F.col("mid").alias("mad")), "key"))
+    mid = _held(cut_lineage(_medians(_over(blocks, None, tasks, lambda x, r: _histogram(r.key, x), schema), tasks)), tasks)
+    away = _medians(_over(blocks, mid, tasks, lambda x, r: _histogram(r.key, np.abs(x - np.array(r.mid))), schema), tasks)
+    known = _held(cut_lineage(mid.join(away.select("key", F.col("mid").alias("mad")), "key")), tasks)
     spread = lambda mad: np.maximum(np.array(mad) * 1.4826, FLOORS)
 
     def sums(x, r):
@@ -220,8 +233,8 @@ def _starts(blocks: DataFrame, few: bool) -> DataFrame:
         length = np.linalg.norm(z, axis=1, keepdims=True)
         return [(r.key, "all", *_fixed(x)), (r.key, "signs", *_fixed(z / np.maximum(length, 1e-9)))]
 
-    total = _over(blocks, known, few, sums, "key string, kind string, " + ", ".join(f"{c} long" for c in _SUMS))
-    total = total.groupBy("key", "kind").agg(*(F.sum(c).alias(c) for c in _SUMS)).join(known, "key")
+    total = _over(blocks, known, tasks, sums, "key string, kind string, " + ", ".join(f"{c} long" for c in _SUMS))
+    total = _held(total.groupBy("key", "kind").agg(*(F.sum(c).alias(c) for c in _SUMS)), tasks).join(known, "key")
 
     def made(batches):
         for pdf in batches:
@@ -242,8 +255,9 @@ def _starts(blocks: DataFrame, few: bool) -> DataFrame:
 _ESTIMATE = "key string, rows long, start int, center array<double>, inverse array<double>, log_det double"
 
 
-def _concentrated(blocks: DataFrame, now: DataFrame, few: bool, share: float, factor: float) -> DataFrame:
+def _concentrated(blocks: DataFrame, now: DataFrame, tasks: int | None, share: float, factor: float) -> DataFrame:
     """One step: the estimates of the `share` of rows nearest to each present one."""
+    now = _held(now, tasks)
 
     def bins(x, r):
         d = x - np.array(r.center)
@@ -253,7 +267,8 @@ def _concentrated(blocks: DataFrame, now: DataFrame, few: bool, share: float, fa
     def count(x, r):
         return [(r.key, r.start, b, c) for b, c in zip(*(y.tolist() for y in np.unique(bins(x, r), return_counts=True)))]
 
-    hist = _over(blocks, now, few, count, "key string, start int, bin long, n long").groupBy("key", "start", "bin").agg(F.sum("n").alias("n"))
+    hist = _over(blocks, now, tasks, count, "key string, start int, bin long, n long").groupBy("key", "start", "bin").agg(F.sum("n").alias("n"))
+    hist = _held(hist, tasks)
     upto = F.expr("sum(n) over (partition by key, start order by bin)")
     edge = hist.withColumn("upto", upto).join(now.select("key", "start", F.ceil(F.col("rows") * share).alias("h")), ["key", "start"])
     edge = edge.where("upto >= h").groupBy("key", "start").agg(F.min(F.struct("bin", "n", "upto")).alias("x"), F.max("h").alias("h"))
@@ -266,8 +281,8 @@ def _concentrated(blocks: DataFrame, now: DataFrame, few: bool, share: float, fa
         return [(r.key, r.start, *_fixed(x[b < r.edge]), *_fixed(x[b == r.edge]))]
 
     columns = [*_SUMS, *(f"e{c}" for c in _SUMS)]
-    total = _over(blocks, told, few, sums, "key string, start int, " + ", ".join(f"{c} long" for c in columns))
-    total = total.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in columns))
+    total = _over(blocks, told, tasks, sums, "key string, start int, " + ", ".join(f"{c} long" for c in columns))
+    total = _held(total.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in columns)), tasks)
     total = total.join(told.select("key", "start", "rows", "h", "part"), ["key", "start"])
 
     def made(batches):
@@ -288,18 +303,19 @@ def estimates(vectors: DataFrame, share: float = 0.75, steps: int | None = None)
     An empty table gives an empty table.
     """
     blocks = blocks_of(vectors)
-    few = blocks.select("key").distinct().limit(_FEW + 1).count() <= _FEW
+    keys = blocks.select("key").distinct().limit(_FEW + 1).count()
+    tasks = 1 + keys // _KEYS if keys <= _FEW else None
     # The variance of the three quarters nearest the centre is too small by this factor for normal rows.
     factor = _consistency(share, _DIM)
-    now, ended = cut_lineage(_concentrated(blocks, _starts(blocks, few), few, share, factor)), []
+    now, ended = cut_lineage(_concentrated(blocks, cut_lineage(_starts(blocks, tasks)), tasks, share, factor)), []
     for step in range(1, 500):  # steps end by themselves; a long way would be an error
         if not now.limit(1).count():
             break
         if step == steps:
             ended.append(now)
             break
-        new = cut_lineage(_concentrated(blocks, now, few, share, factor))
-        both = new.join(now.select("key", "start", F.col("log_det").alias("before")), ["key", "start"])
+        new = cut_lineage(_concentrated(blocks, now, tasks, share, factor))
+        both = _held(new, tasks).join(_held(now, tasks).select("key", "start", F.col("log_det").alias("before")), ["key", "start"])
         both = both.withColumn("falls", F.col("log_det") < F.col("before") - 1e-4)
         ended.append(both.where("not falls").drop("falls", "before"))
         now = cut_lineage(both.where("falls").drop("falls", "before").select(*new.columns))
@@ -307,7 +323,7 @@ def estimates(vectors: DataFrame, share: float = 0.75, steps: int | None = None)
         raise RuntimeError("determinants still fall after 500 steps")
     if not ended:
         return now.drop("start")
-    every = functools.reduce(DataFrame.unionByName, ended)
+    every = _held(functools.reduce(DataFrame.unionByName, ended), tasks)
     best = every.groupBy("key").agg(F.min_by(F.struct("center", "inverse", "log_det", "rows"), F.struct("log_det", "start")).alias("x"))
     return best.select("key", "x.*")
 
