@@ -112,3 +112,45 @@ def test_query_on_changed_code_by_brute_force(spark, sf):
     want |= {fp: ("NEW", "NONE") for own in free.values() for fp in own}
     got = {r.fingerprint: (r.result, r.method) for r in lake.QUERIES["retest_changed_code"](spark, sf).collect()}
     assert got == want and sum(m == "FUZZY" for _, m in got.values()) > 50
+
+
+def test_equal_findings_are_queues(spark):
+    """Findings that only their order tells apart: pairs would be four million, and each round of pairs settles one."""
+    from pyspark.sql import functions as F
+
+    side = lambda p: spark.range(2000).select(
+        F.format_string(f"{p}%05d", "id").alias("fingerprint"), F.lit("a.py").alias("path"), F.lit("s").alias("scanner"), F.lit("x").alias("vuln_class"), F.lit("k").alias("source_kind"),
+        F.lit("f").alias("function"), F.lit(3).alias("line"), F.lit("run(x)").alias("snippet"), F.lit("r").alias("rule_id"),
+    )
+    old, now = side("o"), side("n").limit(1500)
+    got = {(r.fingerprint, r.result, r.method) for r in R.compare_scans_fuzzy(old, now, old.select("fingerprint").limit(0)).collect()}
+    assert got == {(f"o{i:05d}", "STILL_OPEN", "FUZZY") if i < 1500 else (f"o{i:05d}", "RESOLVED", "NONE") for i in range(2000)}
+    shape = lambda df: df.withColumns({"id": F.col("fingerprint"), "ord": F.col("fingerprint")})
+    assert {(r.base, r.cur) for r in R.fuzzy_matches(shape(old), shape(now)).collect()} == {(f"o{i:05d}", f"n{i:05d}") for i in range(1500)}
+
+
+def test_places_and_pairs_agree(spark):
+    """Nulls, repeated and missing fingerprints, in places settled at once and in places settled by their pairs."""
+    import random
+
+    from findinglake.operators.findings import compare_scans
+
+    rng = random.Random(5)
+    some = lambda p, n: [
+        row(rng.choice([f"{p}{i}", f"{p}{i}", f"{p}{i // 3}", f"both{i}"]), path=rng.choice(["a.py", "b.py"]), line=rng.choice([None, *range(60)]), snippet=rng.choice(["abcd", "abce", "wxyz", None]),
+            function=rng.choice(["f", "g", "", None]), scanner=rng.choice("st")) for i in range(n)
+    ]
+    odd = [row(None), row(None, path=None), row("nopath", path=None), row("kindless", kind=None)]
+    old = spark.createDataFrame(some("o", 120) + odd, COLS)
+    now = spark.createDataFrame(some("n", 80) + odd[:2], COLS)
+    history = spark.createDataFrame([("n1",), ("n1",), ("both3",)], "fingerprint string")
+    run = lambda **k: sorted((r.fingerprint or "", r.result, r.method) for r in R.compare_scans_fuzzy(old, now, history, **k).collect())
+    got = run()
+    assert got == run(most=0) == run(most=0, bound=10) and sum(m == "FUZZY" for _, _, m in got) > 20
+    exact = [r for r in compare_scans(old, now, history).collect()]
+    taken = len(exact) - len(got)  # current findings that an earlier one took aren't reported
+    firsts = {f for f, _, m in got if m == "FUZZY"}
+    assert taken == len(firsts) > 10
+    assert sorted((r.fingerprint or "", r.result) for r in exact if r.fingerprint not in firsts and r.result != "NEW" and r.result != "REGRESSION") == sorted(
+        (f, r) for f, r, _ in got if f not in firsts and r not in ("NEW", "REGRESSION")
+    )
