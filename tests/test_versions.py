@@ -61,3 +61,46 @@ def test_enrich_and_severity(spark):
     rows = [([("CVSS_V2", "x"), ("CVSS_V3", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H")], ["low"]), ([], ["?", "moderate"]), (None, None)]
     sev = spark.createDataFrame(rows, "s array<struct<type:string,score:string>>, l array<string>").select(V.advisory_severity(F.col("s"), F.col("l")).alias("v"))
     assert [r.v for r in sev.collect()] == ["CRITICAL", "MEDIUM", "MEDIUM"]
+
+
+ENTRIES = "advisory_id string, ecosystem string, name string, versions array<string>, ranges array<struct<type:string,events:array<map<string,string>>>>"
+
+
+def test_matches_equal_every_pair_judged(spark):
+    """Repeated dependencies and entries, advisories with several entries, missing ids, names and versions."""
+    import random
+
+    rng = random.Random(2)
+    names = ["a.b", "A-b", "c", None]
+    deps = [(rng.choice([None, *range(12)]), rng.choice(["PyPI", "npm", None]), rng.choice(names), rng.choice(["1.0", "1.5", "2.0", "3.0rc1", "x", None])) for _ in range(60)]
+    span = lambda a, b: ("ECOSYSTEM", [{"introduced": a}, {"fixed": b}])
+    entries = [
+        (rng.choice([None, "A1", "A2", "A3", "A4"]), rng.choice(["PyPI", "npm"]), rng.choice(names), rng.choice([None, ["1.5"], ["x"]]), rng.choice([None, [], [span("0", "1.5")], [span("1.5", "3.0"), span("0", "1.1")]]))
+        for _ in range(25)
+    ]
+    d, e = spark.createDataFrame(deps, "dep_id int, ecosystem string, name string, version string"), spark.createDataFrame(entries, ENTRIES)
+    package = lambda eco, name: name if name is None or eco != "PyPI" else name.lower().replace(".", "-")
+    pairs = [(i, x, y) for i, x in enumerate(deps) for y in entries if None not in (x[1], x[2], x[3], y[2]) and x[1] == y[1] and (package(x[1], x[2]) or "").lower() == (package(y[1], y[2]) or "").lower()]
+    rows = [(n, x[1], x[3], y[3], y[4]) for n, (_, x, y) in enumerate(pairs)]
+    judged = spark.createDataFrame(rows, "id int, eco string, version string, versions array<string>, ranges array<struct<type:string,events:array<map<string,string>>>>")
+    hits = {r.id for r in judged.where(V.is_affected(F.col("eco"), F.col("version"), F.col("versions"), F.col("ranges"))).collect()}
+    want = {(pairs[n][1][0], pairs[n][2][0]) for n in hits}
+    got = [tuple(r) for r in V.advisory_matches(d, e).select("dep_id", "advisory_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    ids = {k: sorted(a for i, a in want if i == k and a is not None) for k in {i for i, _ in want if i is not None}}
+    for r in V.enrich(d, e).collect():
+        status = "NOT_VERIFIED" if r.version is None else "VULNERABLE" if r.dep_id in ids else "NO_KNOWN_VULNERABILITIES"
+        assert (r.vuln_status, r.advisory_ids) == (status, ids.get(r.dep_id, []))
+    assert V.enrich(d, e).count() == len(deps)
+
+
+def test_a_popular_package_is_judged_by_version(spark):
+    """300,000 dependencies on one package and 3,000 advisories of two kinds: 900 million pairs, four of them judged."""
+    deps = spark.range(300_000).select(F.col("id").alias("dep_id"), F.lit("npm").alias("ecosystem"), F.lit("p").alias("name"), F.when(F.col("id") % 100_000 == 0, "1.0.0").otherwise("5.0.0").alias("version"))
+    event = lambda k, v: F.create_map(F.lit(k), v)
+    events = F.array(event("introduced", F.lit("0")), event("fixed", F.when(F.col("id") % 3 == 0, "2.0.0").otherwise("1.0.0")))
+    entries = spark.range(3000).select(
+        F.col("id").alias("advisory_id"), F.lit("npm").alias("ecosystem"), F.lit("p").alias("name"), F.array().cast("array<string>").alias("versions"),
+        F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges"),
+    )
+    assert sorted(V.advisory_matches(deps, entries).collect()) == [(d, a) for d in (0, 100_000, 200_000) for a in range(0, 3000, 3)]
