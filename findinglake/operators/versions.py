@@ -206,8 +206,14 @@ def enrich(deps: DataFrame, entries: DataFrame, answered: bool = True) -> DataFr
     Without a version, or if the source of advisories didn't answer, a dependency is NOT_VERIFIED: no answer isn't a
     clean one.
     """
-    found = advisory_matches(deps, entries).groupBy("dep_id").agg(F.sort_array(F.collect_set("advisory_id")).alias("advisory_ids"))
+    own = _own_versions(deps)
+    found = _advisories_of_versions(own, entries)
+    single, several = _divided(own, found)
+    of_many = several.groupBy("dep_id").agg(F.collect_list("advisory_id").alias("_all"))
+    of_one = found.select(*(F.col(c).alias(f"_{c}") for c in _VERSION), F.array_compact("ids").alias("_own"))
+    rows = deps.join(single.select("dep_id", *(F.col(c).alias(f"_{c}") for c in _VERSION)), "dep_id", "left").join(of_many, "dep_id", "left")
+    rows = rows.join(of_one, [f"_{c}" for c in _VERSION], "left").withColumn("advisory_ids", F.sort_array(F.coalesce("_own", "_all")))
     status = F.when(F.lit(not answered) | F.col("version").isNull(), "NOT_VERIFIED")
     status = status.when(F.col("advisory_ids").isNotNull(), "VULNERABLE").otherwise("NO_KNOWN_VULNERABILITIES")
     ids = F.coalesce("advisory_ids", F.array().cast("array<string>")) if answered else F.array().cast("array<string>")
-    return deps.join(found, "dep_id", "left").withColumn("vuln_status", status).withColumn("advisory_ids", ids)
+    return rows.select(*(deps[c] for c in deps.columns), status.alias("vuln_status"), ids.alias("advisory_ids"))

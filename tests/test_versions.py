@@ -104,3 +104,5 @@ def test_a_popular_package_is_judged_by_version(spark):
         F.array(F.struct(F.lit("SEMVER").alias("type"), events.alias("events"))).alias("ranges"),
     )
     assert sorted(V.advisory_matches(deps, entries).collect()) == [(d, a) for d in (0, 100_000, 200_000) for a in range(0, 3000, 3)]
+    found = V.enrich(deps, entries).groupBy("vuln_status").agg(F.count("*").alias("n"), F.sum(F.size("advisory_ids")).alias("k")).collect()
+    assert {tuple(r) for r in found} == {("VULNERABLE", 3, 3000), ("NO_KNOWN_VULNERABILITIES", 299_997, 0)}
