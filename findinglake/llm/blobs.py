@@ -7,25 +7,31 @@ per hash would cost 28 bytes and a JVM object each; a sorted, delta-coded and co
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import zstandard
 
 _LEVEL = 1
 
+# Cells are small and many, so making these anew for each would take longer than using them.
+_compressor = functools.cache(lambda level: zstandard.ZstdCompressor(level=level))
+_decompressor = functools.cache(zstandard.ZstdDecompressor)
+
 
 def pack(array: np.ndarray) -> bytes:
     """Any one-dimensional array as bytes: byte planes, compressed."""
     if array.size == 0:
         return b""
     planes = np.ascontiguousarray(array.view(np.uint8).reshape(array.size, array.itemsize).T)
-    return zstandard.ZstdCompressor(level=_LEVEL).compress(planes.tobytes())
+    return _compressor(_LEVEL).compress(planes.tobytes())
 
 
 def unpack(blob: bytes | None, dtype) -> np.ndarray:
     if not blob:
         return np.empty(0, dtype)
     dtype = np.dtype(dtype)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    planes = np.frombuffer(_decompressor().decompress(blob), np.uint8)
     return np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
@@ -41,8 +47,8 @@ def unpack_sorted(blob: bytes | None) -> np.ndarray:
 
 
 def pack_bytes(data: bytes, level: int = _LEVEL) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data) if data else b""
+    return _compressor(level).compress(data) if data else b""
 
 
 def unpack_bytes(blob: bytes | None) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob) if blob else b""
+    return _decompressor().decompress(blob) if blob else b""

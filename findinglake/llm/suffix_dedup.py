@@ -6,7 +6,8 @@ a smaller id", a window start is marked when its LPF is at least `length`.  The
 prefix with its previous or next smaller position in suffix order (the nearest suffixes before and after it that are
 of a smaller document), so one sort answers all windows at once.
 
-A suffix array of the whole corpus would ship fifty bytes for each byte of text.  It is built piecewise instead:
+A suffix array of the whole corpus would ship fifty bytes for each byte of text.  It is built piecewise instead, of texts
+without their copies: a text that a smaller id has too goes whole.
 
 1. Each window has an anchor, its smallest hashed 16-byte substring.  Equal windows have equal anchors, so only
    windows whose anchor occurs in two or more documents can be repeated.  Anchors meet by hash range.
@@ -14,7 +15,8 @@ A suffix array of the whole corpus would ship fifty bytes for each byte of text.
    range of their anchor; equal runs are folded to their smallest document before they leave a chunk.
 3. A range builds the suffix array of its distinct runs (up to `length` bytes; ties by document), the common prefixes
    of neighbours, and from the previous and next smaller documents each suffix's LPF.  Equal runs would be neighbours
-   there, so all but that of the smallest document are repeated whole and only that one takes part.
+   there, so all but that of the smallest document are repeated whole and only that one takes part.  So do only
+   suffixes whose `length` bytes hash like another's, as no other can reach a factor of that length.
 4. An anchor found in more than `hot` documents, such as a frequent phrase, would bring its many contexts to one range.
    The windows of such anchors are anchored again, by their smallest hashed substring of ten bytes less than a window,
    and take the same way; what shares such an anchor is a repeated passage and folds.
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import pack, pack_bytes, pack_sorted, unpack, unpack_bytes, unpack_sorted
+from .tables import cut_lineage
 from .textarrays import loads, mix, spans, window_hash
 from .workers import lean, lean_pair
 
@@ -46,7 +49,7 @@ def _anchor_size(length: int, level: int = 0) -> int:
     return max(8, length - 10) if level else max(8, min(16, length // 2), length - 62)
 
 
-def _runs(buf: np.ndarray, ends: np.ndarray, length: int, block: int = 1 << 18):
+def _runs(buf: np.ndarray, ends: np.ndarray, length: int, block: int = 1 << 16):
     """Runs of windows with one anchor: (start, number of windows, anchor start, anchor key)."""
     k = _anchor_size(length)
     w, n = length - k + 1, buf.size - length + 1
@@ -232,16 +235,16 @@ def _shared(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     pdf = pdf.sort_values("chunk")
     keys = [unpack_sorted(x) for x in pdf["keys"]]
     counts = [unpack(x, np.uint16) for x in pdf["counts"]]
-    owner = np.repeat(np.arange(len(keys)), [k.size for k in keys])
     k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     order = np.argsort(k, kind="stable")
     first = np.flatnonzero(np.append(True, k[order][1:] != k[order][:-1]))
     total = np.empty(k.size, np.int64)
     total[order] = np.repeat(np.add.reduceat(c[order], first), np.diff(np.append(first, k.size)))
-    rows = []
-    for i, b in enumerate(pdf["chunk"]):
-        mine = owner == i
-        cold, many = k[mine & (total > 1) & (total <= hot)], k[mine & (total > hot)]
+    rows, at = [], 0
+    for b, own in zip(pdf["chunk"], keys):  # each chunk's keys lie side by side
+        n = total[at : at + own.size]
+        at += own.size
+        cold, many = own[(n > 1) & (n <= hot)], own[n > hot]
         if cold.size or many.size:
             rows.append((b, pack_sorted(cold), pack_sorted(many)))
     return pd.DataFrame(rows, columns=["chunk", "cold", "hot"])
@@ -252,63 +255,59 @@ def _marks(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     rows = []
     for level, runs in pdf.sort_values("chunk").groupby("level"):
         k = _anchor_size(length, int(level))
-        sent, total = [], 0
-        for sizes, offs, ids, data in zip(runs["sizes"], runs["offsets"], runs["ids"], runs["data"]):
-            sizes, data = unpack(sizes, np.uint16).astype(np.int64), unpack_bytes(data)
-            sent.append((np.cumsum(sizes) - sizes, sizes, unpack(offs, np.uint8).astype(np.int64), unpack(ids, np.int64), data))
-            total += len(data)
+        own = [unpack(x, np.uint16) for x in runs["sizes"]]
+        sizes = np.concatenate(own).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        offs = np.concatenate([unpack(x, np.uint8) for x in runs["offsets"]]).astype(np.int64)
+        ids = np.concatenate([unpack(x, np.int64) for x in runs["ids"]])
+        data = b"".join(unpack_bytes(x) for x in runs["data"])
+        mask = np.zeros(ids.size, np.uint64)
         # Only runs of one anchor can share a window, so runs are taken in parts by a hash of their anchor's bytes.
-        n_parts = -(-total // _PART)
-        masks = [np.zeros(ids.size, np.uint64) for _, _, _, ids, _ in sent]
-        where: list[list] = [[] for _ in range(n_parts)]
-        for row, (s, _, o, _, data) in enumerate(sent):
-            key = window_hash(np.frombuffer(data, np.uint8), k, 6, s + o)
-            for p, i in _split(_range_of(key, n_parts)):
-                where[p].append((row, i))
-        for part in where:
-            if part:
-                _marks_of(part, sent, masks, length, k)
-        for b, mask in zip(runs["chunk"], masks):
-            rows.append((b, int(level), pack(mask)))
+        key = window_hash(np.frombuffer(data, np.uint8), k, 6, starts + offs)
+        for _, part in _split(_range_of(key, -(-len(data) // _PART))):
+            mask[part] = _marks_of(data, *(x[part] for x in (starts, sizes, offs, ids)), length, k)
+        ends = np.cumsum([x.size for x in own])
+        for b, e, x in zip(runs["chunk"], ends.tolist(), own):
+            rows.append((b, int(level), pack(mask[e - x.size : e])))
     return pd.DataFrame(rows, columns=["chunk", "level", "mask"]).assign(range=pdf["range"].iloc[0])
 
 
-def _marks_of(part: list, sent: list, masks: list, length: int, k: int) -> None:
-    """Sets the masks of some entries: part has (row, entries of the row), sent each row's starts, sizes, anchor
-    offsets, documents and bytes; k: the anchor's bytes."""
+def _marks_of(data: bytes, starts: np.ndarray, sizes: np.ndarray, offs: np.ndarray, ids: np.ndarray, length: int, k: int) -> np.ndarray:
+    """The masks of some entries, of which are given starts and sizes in data, anchor offsets and documents; k: the
+    anchor's bytes."""
     seen: dict[bytes, int] = {}
-    least: list[int] = []
-    offset: list[int] = []
-    entries = []
-    for row, own in part:
-        starts, sizes, offs, ids, data = sent[row]
-        entry = []
-        for s, n, o, d in zip(*(x[own].tolist() for x in (starts, sizes, offs, ids))):
-            x = data[s : s + n]
-            i = seen.get(x)
-            if i is None:
-                i = seen[x] = len(least)
-                least.append(d)
-                offset.append(o)
-            elif d < least[i]:
-                least[i] = d
-            entry.append(i)
-        entries.append(np.array(entry, np.int64))
+    entry = np.array([seen.setdefault(data[s:e], len(seen)) for s, e in zip(starts.tolist(), (starts + sizes).tolist())], np.int64)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(entry), prepend=-1))  # entries are numbered as they come
+    doc = np.full(first.size, np.iinfo(np.int64).max)
+    np.minimum.at(doc, entry, ids)
     groups: dict[bytes, int] = {}
-    texts = list(seen)
-    group = np.array([groups.setdefault(x[o : o + k], len(groups)) for x, o in zip(texts, offset)])
+    anchors = starts[first] + offs[first]
+    group = np.array([groups.setdefault(data[s : s + k], len(groups)) for s in anchors.tolist()], np.int64)
     several = np.flatnonzero(np.bincount(group)[group] > 1)
-    mask, doc = np.zeros(len(texts), np.uint64), np.array(least, np.int64)
+    mask = np.zeros(first.size, np.uint64)
     if several.size:
-        sizes = np.array([len(texts[i]) for i in several])
-        buf = np.frombuffer(b"".join(texts[i] for i in several), np.uint8)
-        c = sizes - length + 1
+        buf, c = np.frombuffer(data, np.uint8), sizes[first[several]] - length + 1
         nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        at = np.repeat(np.cumsum(sizes) - sizes, c) + nth
-        hit = lpf_array(buf, at, np.repeat(doc[several], c), length) >= length
-        np.bitwise_or.at(mask, np.repeat(several, c)[hit], np.uint64(1) << nth[hit].astype(np.uint64))
-    for (row, own), entry in zip(part, entries):
-        masks[row][own] = np.where(doc[entry] < sent[row][3][own], ~np.uint64(0), mask[entry])
+        at, run = np.repeat(starts[first[several]], c) + nth, np.repeat(several, c)
+        h = window_hash(buf, length, 2, at)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        some = order[np.append(False, same) | np.append(same, False)]
+        hit = some[lpf_array(buf, at[some], doc[run[some]], length) >= length]
+        np.bitwise_or.at(mask, run[hit], np.uint64(1) << nth[hit].astype(np.uint64))
+    return np.where(doc[entry] < ids, ~np.uint64(0), mask[entry])
+
+
+def _copies(rows: DataFrame, length: int, most: int) -> DataFrame:
+    """text_key (SHA-256), first (the smallest id), n and size of texts that have several ids, the `most` most frequent.
+
+    Whichever copies are found here needn't be compared later on; the result is the same without them.
+    """
+    size = F.octet_length("text")
+    found = rows.where(size >= length).groupBy(F.unhex(F.sha2("text", 256)).alias("text_key")).agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.max(size).cast("long").alias("size")
+    )
+    return cut_lineage(found.where("first < last").drop("last").orderBy(F.desc("n"), "text_key").limit(most))
 
 
 def remove_repeats(
@@ -318,6 +317,7 @@ def remove_repeats(
     chunk_bytes: int = 6 << 20,
     range_bytes: int = 12 << 20,
     keep: tuple[str, ...] = (),
+    copies: int = 200_000,
 ) -> DataFrame:
     """Removes repeated passages; returns doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and `keep`.
 
@@ -326,19 +326,27 @@ def remove_repeats(
     id there can be, after all others: no other loses bytes to it.  Columns other than doc_id, text and those named in keep (which must not be
     called like a result) are not read.
 
-    hot: anchors of more documents than this are divided; the result is the same.  chunk_bytes, range_bytes: text for each
+    hot: anchors of more documents than this are divided; copies: that many texts at most, which have several ids, are
+    told to all tasks beforehand; the result is the same with any number.  chunk_bytes, range_bytes: text for each
     chunk of documents and each range of anchors; their numbers follow from the size of the input.
     """
     spark: SparkSession = docs.sparkSession
     types = dict(docs.dtypes)
     names = {f"keep{i}": c for i, c in enumerate(keep)}  # no clash with columns of the operator's own
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text",
+        *(F.col(c).alias(n) for n, c in names.items()),
+    )
+    known_copies = _copies(rows.select("id", "text"), length, copies)
+    again = known_copies.agg(F.sum((F.col("n") - 1) * F.col("size"))).first()[0] or 0
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) - again
+    if again:
+        rows = rows.withColumn("text_key", F.unhex(F.sha2("text", 256))).join(F.broadcast(known_copies.select("text_key", "first")), "text_key", "left")
+    is_copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False)) if again else F.lit(False)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, ranges = max(least, total // chunk_bytes), max(least, total // range_bytes)
-    parts = docs.select(
-        F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "text",
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), *(F.col(c).alias(n) for n, c in names.items()),
-    ).groupBy("chunk")
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk")
+    parts = rows.where(~is_copy).select("id", "no_id", "text", chunk, *names).groupBy("chunk")
 
     def anchors(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _Chunk(pdf, length).anchors()
@@ -418,6 +426,10 @@ def remove_repeats(
     out = parts.cogroup(told.groupBy("chunk")).applyInPandas(
         lean_pair(cut), "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary" + (kept and f", {kept}")
     )
+    if again:
+        size = F.octet_length("text").cast("long")
+        whole = rows.where(is_copy).select("id", "no_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"), *names)
+        out = out.unionByName(whole)
     doc_id = F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept", *(F.col(n).alias(c) for n, c in names.items()))
 

@@ -78,3 +78,42 @@ def test_large_ids_long_texts_and_columns(spark):
         got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out)
         assert [r[:4] for r in got] == [(7, 300, 0, 0), (7, len(long), 0, 0), (8, 300, 300, 1), (2**53, 302, 300, 1),
                                         (2**53 + 1, 300, 300, 1), (2**63 - 1, 160, 160, 1)]
+
+
+def test_copies_of_whole_texts(spark):
+    """Texts told beforehand as copies, all, some or none of them, and copies among rows without id or with one id."""
+    rows = _texts(9, 20)
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[:15])] + [(200 + i, rows[3][1]) for i in range(9)] + [(300, "short")] * 3 + [(301, "short")]
+    df = spark.createDataFrame([(d, t, f"k{d}") for d, t in rows], "doc_id long, text string, mark string")
+    want = sorted(remove_repeats_by_brute_force(rows))
+    for copies in (0, 1, 200_000):
+        out = remove_repeats(df, keep=("mark",), copies=copies).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out) == want
+        assert all(r.mark == f"k{r.doc_id}" for r in out)
+    text = "these are more than fifty bytes of one text that several rows have"
+    odd = spark.createDataFrame([(None, text), (None, text), (2**63 - 1, text), (5, None), (6, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(odd).collect()) == [(0, 0), (0, 0), (5, 0), (6, 0), (2**63 - 1, 0)]
+
+
+def test_anchors_of_many_chunks_in_one_pass():
+    """As many anchors of 100 times the chunks take about as long; each chunk's share was found by a look at all before."""
+    import time
+
+    import pandas as pd
+
+    from findinglake.llm import suffix_dedup as S
+
+    took, found = [], []
+    for n in (30, 3000):
+        rnd = np.random.default_rng(4)
+        keys = [np.unique(rnd.integers(0, 200_000, 300_000 // n).astype(np.uint64)) for _ in range(n)]
+        pdf = pd.DataFrame([(1, c, S.pack_sorted(k), S.pack(np.ones(k.size, np.uint16))) for c, k in enumerate(keys)], columns=["range", "chunk", "keys", "counts"])
+        began = time.process_time()
+        out = S._shared(pdf, 3).set_index("chunk")
+        took.append(time.process_time() - began)
+        total = np.bincount(np.concatenate(keys).astype(np.int64))
+        for c in (0, n // 2, n - 1):
+            k = keys[c]
+            t = total[k.astype(np.int64)]
+            assert S.unpack_sorted(out.loc[c, "cold"]).tolist() == k[(t > 1) & (t <= 3)].tolist() and S.unpack_sorted(out.loc[c, "hot"]).tolist() == k[t > 3].tolist()
+    assert took[1] < 8 * took[0] + 0.3
